@@ -220,3 +220,27 @@ def clean(documents: DataFrame, benchmark: DataFrame, mode: str = "document") ->
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(*names)
+
+
+def _sql(window: int = WINDOW) -> str:
+    """DuckDB: windows as joined words, positions by join."""
+    lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    taken = words.format(lower.format("text"))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {taken} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {taken} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(len(w), {window}) AS size, array_to_string(w[i:i + least(len(w), {window}) - 1], ' ') AS t
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - {window} + 1, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS t
+       FROM (SELECT r, size, w, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT r, i, dw.size, item_id FROM dw JOIN bw ON bw.t = dw.t AND bw.size = dw.size),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)"""
+
+
+SQL = _sql()
