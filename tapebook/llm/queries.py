@@ -6,25 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapebook.llm import decontaminate, packing, secrets, simhash, tokenstore
+from tapebook.llm import chat, decontaminate, packing, repetition, resampling, secrets, simhash, tokenstore, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_read(spark, sf_dir, "documents"))
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_read(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(_read(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.report(_read(spark, sf_dir, "documents"))
+
+
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.report(_read(spark, sf_dir, "pages"))
+
+
 def op9_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.report(_read(spark, sf_dir, "documents"))
 
@@ -34,9 +54,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_resampling": op3_resampling,
     "op4_secrets": op4_secrets,
+    "op5_chat": op5_chat,
     "op6_decontaminate": op6_decontaminate,
+    "op7_repetition": op7_repetition,
+    "op8_wrappers": op8_wrappers,
     "op9_tokenstore": op9_tokenstore,
     "op10_packing": op10_packing,
 }
