@@ -15,7 +15,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapebook.llm.common import LOWER, SPACED, batch, chunks, columns, cut, spaced, words
@@ -209,17 +209,23 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, shard: int = SHARD)
     return _link_shards(found, radius)
 
 
+def _rooted(docs: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every fingerprint of docs: equal roots are reachable from one another."""
+    own = docs.select("fp").distinct()
+    comps = components(links(own, radius))
+    return own.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """One row per row of documents: doc_id, fp, component_id: the smallest doc_id reachable over links, itself included.
 
     Equal fingerprints (empty texts too) are linked. Repeated rows stay; a null doc_id gets its component's smallest id,
     or null if the component has none."""
     docs = cut(fingerprints(documents, shingle=shingle), "simhash")
-    own = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = components(links(own.select("fp"), radius))
-    rooted = own.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    rooted = _rooted(docs, radius)
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -230,10 +236,13 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """documents without all but the first (smallest doc_id) of each component; columns as they were.
-
-    Rows that share the smallest doc_id are told apart by their content's hash; wholly repeated rows keep one."""
-    found = near_duplicates(documents, radius, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = documents.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
-    return first.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    """documents with one row of each component: the smallest doc_id's (null first, then by text hash); columns as they were.
+
+    Of rows with the same doc_id and text one stays, whichever."""
+    keys = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b")]
+    docs = cut(fingerprints(documents.select("doc_id", "text", *keys), ("doc_id", "_a", "_b"), shingle), "simhash")
+    rooted = _rooted(docs, radius)
+    first = F.min(F.struct("doc_id", "_a", "_b")).alias("first")
+    per_fp = docs.groupBy("fp").agg(first).join(rooted, "fp")
+    kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select("first._a", "first._b")
+    return documents.select("*", *keys).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")
