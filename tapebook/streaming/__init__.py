@@ -1,0 +1 @@
+"""Sessions that arrive while the stream runs."""
