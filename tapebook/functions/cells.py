@@ -27,12 +27,21 @@ def parse_ts_ms(cell: Column) -> Column:
     return part(1, 2) * 3_600_000 + part(3, 2) * 60_000 + part(5, 2) * 1000 + part(7, 3)
 
 
+def once(value: Column, case) -> Column:
+    """case(value), with the value computed once however often the case names it."""
+    return F.get(F.transform(F.array(value), case), F.lit(0))
+
+
 def session_label(ts_ms: Column) -> Column:
     """The trading phase by clock time."""
-    label = F
-    for name, end in SESSION_STARTS:
-        label = label.when(ts_ms < end, name)
-    return label.otherwise("close")
+
+    def label(ts: Column) -> Column:
+        found = F
+        for name, end in SESSION_STARTS:
+            found = found.when(ts < end, name)
+        return found.otherwise("close")
+
+    return once(ts_ms, label)
 
 
 def aggressor(cell: Column) -> Column:

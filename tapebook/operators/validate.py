@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.functions.cells import within
+from tapebook.functions.cells import once, within
 from tapebook.operators.normalize import quote_levels
 from tapebook.schemas import CHECKPOINTS, CLOCK_WINDOWS, CONTINUOUS_WINDOWS, DEPTH, KEY, VALIDATION_REPORT
 
@@ -58,10 +58,14 @@ def match_rates(quotes: DataFrame, report: DataFrame) -> DataFrame:
 
 def _window(ts_ms: Column, windows: dict[str, tuple[int, int]]) -> Column:
     """The first window that holds a time; null if none does."""
-    label = F
-    for name, bounds in windows.items():
-        label = label.when(within(ts_ms, bounds), name)
-    return label.otherwise(F.lit(None).cast("string"))
+
+    def label(ts: Column) -> Column:
+        found = F
+        for name, bounds in windows.items():
+            found = found.when(within(ts, bounds), name)
+        return found.otherwise(F.lit(None).cast("string"))
+
+    return once(ts_ms, label)
 
 
 def match_rates_by_window(quotes: DataFrame, report: DataFrame, windows: dict[str, tuple[int, int]] = CLOCK_WINDOWS) -> DataFrame:

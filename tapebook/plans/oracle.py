@@ -114,9 +114,9 @@ _A["cp"] = """SELECT symbol, trade_date, symbol || '-' || trade_date || '-' || q
 actual_price_int AS raw_price_int, actual_qty AS raw_qty, price_match AS raw_price_match, qty_match AS raw_qty_match, true AS quote_anchor_match, NOT price_match AS correction_price_changed, cost AS inter_quote_drift_abs_qty, cost AS correction_cost, cost AS correction_abs_qty FROM cp0"""
 _A["req0"] = "SELECT e AS request_id, symbol, trade_date, ts_ms, 1 + e % 10 AS depth FROM base WHERE e % 7 = 0"
 _A["req"] = "SELECT * FROM req0 UNION ALL SELECT -1, '999999.SH', trade_date, ts_ms, depth FROM req0 WHERE request_id = (SELECT min(request_id) FROM req0) UNION ALL SELECT -2, symbol, trade_date, 86400000, 0 FROM req0 WHERE request_id = (SELECT min(request_id) FROM req0)"
-_A["asof"] = "SELECT r.*, (SELECT max(c.ts_ms) FROM q c WHERE c.symbol = r.symbol AND c.trade_date = r.trade_date AND c.ts_ms <= r.ts_ms) AS found_ts FROM req r"
+_A["sought"] = "SELECT r.*, (SELECT max(c.ts_ms) FROM q c WHERE c.symbol = r.symbol AND c.trade_date = r.trade_date AND c.ts_ms <= r.ts_ms) AS found_ts FROM req r"
 _A["lastq"] = "SELECT symbol, trade_date, ts_ms, max(event_id) AS event_id FROM tape WHERE event_type = 'quote' GROUP BY ALL"
-_FOUND = """SELECT a.request_id, a.symbol, a.trade_date, a.ts_ms AS asked_ts, a.depth, a.found_ts, cp.* EXCLUDE (symbol, trade_date, ts_ms) FROM asof a LEFT JOIN {cp} cp ON cp.symbol = a.symbol AND cp.trade_date = a.trade_date AND cp.ts_ms = a.found_ts AND cp.level <= a.depth"""
+_FOUND = """SELECT a.request_id, a.symbol, a.trade_date, a.ts_ms AS asked_ts, a.depth, a.found_ts, cp.* EXCLUDE (symbol, trade_date, ts_ms) FROM sought a LEFT JOIN {cp} cp ON cp.symbol = a.symbol AND cp.trade_date = a.trade_date AND cp.ts_ms = a.found_ts AND cp.level <= a.depth"""
 _A["found_all"] = _FOUND.format(cp="cp")
 _A["cp_last"] = "SELECT cp.* FROM cp JOIN lastq USING (symbol, trade_date, ts_ms, event_id)"
 _A["found_last"] = _FOUND.format(cp="cp_last")
@@ -195,6 +195,9 @@ _BODIES = {
     "opening_snapshots": f"SELECT w.*, s.* EXCLUDE (symbol, trade_date, quote_seq) FROM opening w JOIN (SELECT symbol, trade_date, quote_seq, {_SHOTS(own=_SHOT('expected_price_int', 'expected_qty'), name='opening_snapshot', raw=_SHOT(*_OVER))} FROM cmp GROUP BY symbol, trade_date, quote_seq) s ON s.symbol = w.symbol AND s.trade_date = w.trade_date AND s.quote_seq = w.opening_quote_seq",
     "diagnostic_totals": "SELECT count(*) AS mismatch_count, count(*) FILTER (WHERE NOT price_match) AS price_mismatch_count, count(*) FILTER (WHERE NOT qty_match) AS qty_mismatch_count, (SELECT count(*) FROM mlog) AS missing_order_count FROM rep",
     "order_ref_coverage": "SELECT role, count(*) AS checked, count(*) FILTER (WHERE o.id IS NULL) AS missing FROM (SELECT symbol, trade_date, 'passive' AS role, CASE aggressor_side WHEN 'B' THEN ask_order_id ELSE bid_order_id END AS id FROM t WHERE aggressor_side <> 'unknown' UNION ALL SELECT symbol, trade_date, 'active', CASE aggressor_side WHEN 'B' THEN bid_order_id ELSE ask_order_id END FROM t WHERE aggressor_side <> 'unknown') r LEFT JOIN (SELECT DISTINCT symbol, trade_date, exchange_order_id AS id FROM o WHERE exchange_order_id <> '') o USING (symbol, trade_date, id) GROUP BY role",
+    "csv_roundtrip": "SELECT * FROM o",
+    "parquet_roundtrip": "SELECT * FROM t",
+    "path_sessions": "SELECT symbol, trade_date, count(*) AS row_count FROM t GROUP BY ALL",
     "import_counts": "SELECT 'quotes' AS artifact, symbol, trade_date, count(*) AS row_count FROM q GROUP BY ALL UNION ALL SELECT 'orders', symbol, trade_date, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'trades', symbol, trade_date, count(*) FROM t GROUP BY ALL",
 }
 SQL = {k: _with(v, _A) for k, v in _BODIES.items()}

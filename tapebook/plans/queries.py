@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapebook.operators import book, diagnostics, seek, validate
+from tapebook.operators.normalize import normalize_orders as normalize_orders_
 from tapebook.operators.normalize import quote_levels
 from tapebook.operators.tape import session_event_counts
-from tapebook.plans.tapes import Tape, requests_a, tape_a, tape_b_events
+from tapebook.plans.tapes import Tape, raw_a, requests_a, tape_a, tape_b_events
 from tapebook.schemas import KEY
+from tapebook.sources.session_csv import read_csv
+from tapebook.sources.session_tables import read_sessions, session_of_path, write_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,3 +276,36 @@ def b_missing_reason_counts(spark, d):
 def b_order_lifecycle_totals(spark, d):
     life = book.lifecycle(book.legs(tape_b_events(spark, d)))
     return life.groupBy(*KEY, "kind").agg(F.count("*").alias("n"), F.sum("removed").alias("removed"), F.sum("rem_after").alias("rem_after"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
+
+
+@_query
+def csv_roundtrip(spark, d):
+    """Raw orders written as GB18030 files, one a session, and read, numbered and typed again."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    at, (_, orders, _) = _scratch(spark), raw_a(spark, d)
+    rows = orders.withColumns({"s": F.col("万得代码"), "d": F.trim("自然日")}).repartition("s", "d").sortWithinPartitions("s", "d", "seq")
+    rows.drop("seq").write.option("header", True).option("encoding", "GB18030").option("ignoreLeadingWhiteSpace", False).partitionBy("s", "d").csv(at)
+    return normalize_orders_(read_csv(spark, f"{at}/*/*/*.csv", "gb18030"))
+
+
+@_query
+def parquet_roundtrip(spark, d):
+    """Trades written by session and read again."""
+    at = _scratch(spark)
+    write_sessions(tape_a(spark, d).trades, at, "trades")
+    return read_sessions(spark, at, "trades")
+
+
+@_query
+def path_sessions(spark, d):
+    """Sessions by the folders of the written trades, and each folder's rows."""
+    at = _scratch(spark)
+    write_sessions(tape_a(spark, d).trades, at, "trades")
+    rows = spark.read.parquet(f"{at}/trades").select(session_of_path(F.col("_metadata.file_path")).alias("s"))
+    return rows.groupBy("s.symbol", "s.trade_date").agg(F.count("*").alias("row_count"))
