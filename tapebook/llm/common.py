@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -18,7 +18,7 @@ import pyarrow as pa
 from tapebook.llm.common import Chunk, chunks, span_hash
 
 #: Pieces that a worker remembers; beyond it, it starts anew.
-CACHE = 1_000_000
+CACHE = 600_000
 
 _END = 0xFF  # in no UTF-8 text: stands before and between the texts of a chunk
 _SOLID = np.ones(256, dtype=bool)
