@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 500_000
 
@@ -69,6 +70,31 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def packed(documents: DataFrame, *also: str) -> DataFrame:
+    """_row (all columns but text, as one), the columns named besides, and text: nothing in documents can clash with what
+    an operator adds."""
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    return documents.select(F.struct(*rest).alias("_row"), *also, "text")
+
+
+def unpacked(df: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of documents again; n_chars, if there is such a column, follows a text that has changed (column _new)."""
+    new = "_new" in df.columns
+    text = F.when(F.col("_new"), F.length("text")) if new else None
+    out = []
+    for f in documents.schema.fields:
+        own = F.col("text") if f.name == "text" else F.col("_row")[f.name]
+        if new and f.name == "n_chars":
+            own = F.coalesce(text.cast(f.dataType), own)
+        out.append(own.alias(f.name))
+    return df.select(*out)
+
+
+def grown(fields: list[T.StructField], more: str) -> T.StructType:
+    """A schema of fields and of columns told as "name type, ..."."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
+
+
 # ---------------------------------------------------------------- chunks of texts
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import ALNUM, LOWER, Chunk, Words, batch, chunks, columns, cut, span_hash, words
+from tapebook.llm.common import ALNUM, LOWER, Chunk, Words, batch, chunks, columns, cut, grown, packed, span_hash, unpacked, words
 
 WINDOW = 13
 #: Broadcast at most this many bytes of benchmark windows at once; a larger benchmark is taken in several slices.
@@ -104,10 +104,10 @@ def _hits(c: Chunk, index: dict, filters: dict) -> tuple[np.ndarray, Words, dict
     return np.cumsum(cover[:-1]) > 0, w, items
 
 
-def _scan(docs: DataFrame, rows: list, carry: str, keep_text: bool) -> DataFrame:
+def _scan(docs: DataFrame, rows: list, keep_text: bool) -> DataFrame:
     """Per row of docs (key, text): n_words, spans of hit words [first, last) by word and by byte, items."""
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    out = f"{carry}, n_words long, hit array<long>, cut array<long>, items array<string>" + (", text string" if keep_text else "")
+    out = grown(docs.schema.fields[:-1], "n_words long, hit array<long>, cut array<long>, items array<string>" + (", text string" if keep_text else ""))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared.value)
@@ -148,17 +148,16 @@ def scan(documents: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("
     The benchmark is broadcast in slices of slice_bytes; with more than one slice the documents are written
     once with a row id and the slices' spans are merged by it."""
     docs = columns(documents, *carry, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     parts = list(_slices(benchmark_windows(benchmark, window), slice_bytes))
     if len(parts) == 1:
-        return _scan(docs, parts[0], kinds, keep_text)
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "decon-docs")
-    bare = rows.select("_row", "text")
-    found = _scan(bare, parts[0], "_row long", False)
+        return _scan(docs, parts[0], keep_text)
+    rows = cut(docs.withColumn("_nth", F.monotonically_increasing_id()), "decon-docs")
+    bare = rows.select("_nth", "text")
+    found = _scan(bare, parts[0], False)
     for p in parts[1:]:
-        found = found.unionByName(_scan(bare, p, "_row long", False))
+        found = found.unionByName(_scan(bare, p, False))
     spans = "array<long>"
-    merged = found.groupBy("_row").agg(
+    merged = found.groupBy("_nth").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hit")).alias("hit"),
         F.flatten(F.collect_list("cut")).alias("cut"),
@@ -172,7 +171,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("
     )
     for c in ("hit", "cut"):
         merged = merged.withColumn(c, F.expr(union.format(p=pairs.format(c=c))).cast(spans))
-    return rows.join(merged, "_row").select(*carry, "n_words", "hit", "cut", "items", *["text"] * keep_text)
+    return rows.join(merged, "_nth").select(*carry, "n_words", "hit", "cut", "items", *["text"] * keep_text)
 
 
 def _measures(df: DataFrame) -> DataFrame:
@@ -186,10 +185,13 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-def _without(column: pa.Array, cuts: pa.Array) -> list[str]:
+def _without(column: pa.Array, cuts: pa.Array) -> list[str | None]:
     out = []
     for text, spans in zip(column.to_pylist(), cuts.to_pylist()):
-        raw, at, kept = (text or "").encode(), 0, []
+        if not spans:
+            out.append(text)
+            continue
+        raw, at, kept = text.encode(), 0, []
         for a, z in zip(spans[0::2], spans[1::2]):
             kept.append(raw[at:a])
             at = z
@@ -202,24 +204,18 @@ def clean(documents: DataFrame, benchmark: DataFrame, mode: str = "document") ->
 
     mode "document" drops contaminated documents and leaves the rest as it is; mode "span" keeps every document and
     cuts the hit spans out of the text (n_chars follows, if there is such a column)."""
-    names = documents.columns
-    df = _measures(scan(documents, benchmark, carry=tuple(n for n in names if n != "text"), keep_text=True))
+    df = _measures(scan(packed(documents), benchmark, carry=("_row",), keep_text=True))
     if mode == "document":
-        return df.filter(~F.col("contaminated")).select(*names)
+        return unpacked(df.filter(~F.col("contaminated")), documents)
     if mode != "span":
         raise ValueError(f"mode is document or span, not {mode}")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = b.column(b.num_columns - 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(_without(t, b.column(b.num_columns - 1)), pa.string())], names=[*b.schema.names[:-2], "text"])
-
-    others = [n for n in names if n != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != "text")
-    out = df.select(*others, "text", "cut").mapInArrow(of, f"{kinds}, text string")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_without(b.column(2), b.column(3)), pa.string())], names=["_row", "_new", "text"])
+
+    rows = df.select("_row", (F.size("cut") > 0).alias("_new"), "text", "cut")
+    return unpacked(rows.mapInArrow(of, grown(rows.schema.fields[:2], "text string")), documents)
 
 
 def _sql(window: int = WINDOW) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import ALNUM, Chunk, chunks, columns, cut, mix, span_hash
+from tapebook.llm.common import ALNUM, Chunk, chunks, columns, cut, grown, mix, packed, span_hash, unpacked
 
 #: Hash buckets of unigrams and bigrams.
 BUCKETS = 1 << 16
@@ -82,7 +82,6 @@ def _counts(labelled: DataFrame) -> np.ndarray:
 def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """docs (doc_id, ..., text) -> the same columns with n_grams, log_weight and noisy_weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,7 +95,7 @@ def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n)), pa.array(weight)], names=[*b.schema.names, "n_grams", "log_weight"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return docs.mapInArrow(of, f"{kinds}, n_grams long, log_weight double").withColumn("noisy_weight", F.col("log_weight") - F.log(-F.log(uniform)))
+    return docs.mapInArrow(of, grown(docs.schema.fields, "n_grams long, log_weight double")).withColumn("noisy_weight", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
 def _threshold(weight: np.ndarray, good: np.ndarray) -> float:
@@ -172,5 +171,4 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filtered(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in the sample, columns as they were."""
-    names = documents.columns
-    return resampled(documents, labels, carry=tuple(n for n in names if n != "text")).filter("kept").select(*names)
+    return unpacked(resampled(packed(documents, "doc_id"), labels, carry=("_row", "doc_id")).filter("kept"), documents)

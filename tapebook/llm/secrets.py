@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import columns, cut
+from tapebook.llm.common import columns, cut, packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -99,9 +99,17 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def joined(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """documents with found: the findings of their text, null if none. Every document that holds a blob gets its findings."""
-    docs = documents.withColumn("_blob", _blob(F.col("text")))
-    return docs.join(findings(ledger, rules).withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    """documents with found: the findings of their text, null if none (an own column found is replaced). Every document
+    that holds a blob gets its findings."""
+    docs = documents.drop("found")
+    rows = _found(docs, ledger, rules)
+    return rows.select(*[(F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns], "found")
+
+
+def _found(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """_row, text and found of documents."""
+    rows = packed(documents).withColumn("_blob", _blob(F.col("text")))
+    return rows.join(findings(ledger, rules).withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -120,8 +128,7 @@ def report(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every found span (overlapping ones as one) replaced by the mark; columns as they were, and n_chars,
     if there is such a column, follows the text. Documents without findings stay as they are."""
-    names = documents.columns
-    df = joined(documents, scan(documents))
+    df = _found(documents, scan(documents), RULES)
     ends = F.aggregate(
         "found",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -136,9 +143,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     to = lambda i: F.when(i < last, F.get("_spans", i)["start"]).otherwise(F.length("text"))
     kept = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", (from_(i) + 1).cast("int"), (to(i) - from_(i)).cast("int")))
     df = df.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, mark)))
-    if "n_chars" in names:
-        df = df.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return df.select(*names)
+    return unpacked(df.withColumn("_new", F.col("_spans").isNotNull()), documents)
 
 
 def _sql() -> str:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import LOWER, SPACED, batch, chunks, columns, cut, spaced, words
+from tapebook.llm.common import LOWER, SPACED, batch, chunks, columns, cut, grown, packed, spaced, unpacked, words
 from tapebook.llm.graph import components
 
 SEED = 42
@@ -70,8 +70,7 @@ def fingerprints(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), shi
             fp = np.concatenate([*_fingerprints(b.column("text"), shingle), np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(of, f"{kinds}, fp long")
+    return docs.mapInArrow(of, grown(docs.schema.fields[:-1], "fp long"))
 
 
 # ---------------------------------------------------------------- shards and trees
@@ -245,4 +244,5 @@ def one_of_each(documents: DataFrame, radius: int = 2, shingle: int = 3) -> Data
     first = F.min(F.struct("doc_id", "_a", "_b")).alias("first")
     per_fp = docs.groupBy("fp").agg(first).join(rooted, "fp")
     kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select("first._a", "first._b")
-    return documents.select("*", *keys).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")
+    rows = packed(documents, "doc_id").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64("text", "doc_id")})
+    return unpacked(rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), documents)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import ALNUM, LOWER, Chunk, chunks, columns, cut, span_hash, words
+from tapebook.llm.common import ALNUM, LOWER, Chunk, chunks, columns, cut, grown, span_hash, words
 
 #: Labelled rows that are used for fitting at most, chosen by the hash of their doc_id.
 MAX_TRAIN = 12_000
@@ -248,8 +248,7 @@ def scored(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id
             score = np.concatenate([*(shared.value.score(c) for c in chunks(b.column(b.num_columns - 1))), np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], names=[*b.schema.names[:-1], "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(of, f"{kinds}, score double")
+    return docs.mapInArrow(of, grown(docs.schema.fields[:-1], "score double"))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

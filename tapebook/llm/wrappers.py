@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import columns, cut
+from tapebook.llm.common import columns, cut, grown
 
 SALTS = 32
 #: Wrappers are broadcast up to these bytes, and joined by host beyond.
@@ -356,8 +356,7 @@ def extracted(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) ->
             text = [read(p, w) if p else "" for p, w in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(text, pa.string())], names=[*b.schema.names[:-2], "text"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(of, f"{kinds}, text string")
+    return rows.mapInArrow(of, grown(rows.schema.fields[:-2], "text string"))
 
 
 def report(pages: DataFrame) -> DataFrame:
