@@ -9,6 +9,8 @@ looked up, and every hit is verified against the window's words before it counts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,17 +147,16 @@ def scan(documents: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("
     (the same spans in UTF-8 bytes), items (ids with occurring windows, sorted as strings), and text if kept.
 
     Null and empty texts have no words. Repeated rows give repeated rows. An empty benchmark hits nothing.
-    The benchmark is broadcast in slices of slice_bytes; with more than one slice the documents are written
-    once with a row id and the slices' spans are merged by it."""
+    The benchmark is broadcast in slices of slice_bytes, of which the driver holds two at most; with more than one slice
+    the documents are written once with a row id, each slice's spans too, and the spans are merged by that id."""
     docs = columns(documents, *carry, "text")
-    parts = list(_slices(benchmark_windows(benchmark, window), slice_bytes))
-    if len(parts) == 1:
-        return _scan(docs, parts[0], keep_text)
+    slices = _slices(benchmark_windows(benchmark, window), slice_bytes)
+    first, more = next(slices), next(slices, None)
+    if more is None:
+        return _scan(docs, first, keep_text)
     rows = cut(docs.withColumn("_nth", F.monotonically_increasing_id()), "decon-docs")
     bare = rows.select("_nth", "text")
-    found = _scan(bare, parts[0], False)
-    for p in parts[1:]:
-        found = found.unionByName(_scan(bare, p, False))
+    found = reduce(DataFrame.unionByName, [cut(_scan(bare, p, False), "decon-slice") for p in chain((first, more), slices)])
     spans = "array<long>"
     merged = found.groupBy("_nth").agg(
         F.max("n_words").alias("n_words"),
