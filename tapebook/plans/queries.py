@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +28,28 @@ def _query(f: Query) -> Query:
     return f
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
+
+
 class _Replayed:
-    """Tape A with everything derived from it, each as a plan."""
+    """Tape A with everything derived from it. The compared levels, which most queries use more than once, are written and
+    read again; the rest are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.tape: Tape = tape_a(spark, sf_dir)
         self.events = self.tape.events
         self.deltas, self.log = book.replay(self.events)
 
-    @property
+    @cached_property
     def levels(self) -> DataFrame:
         top = book.top_at_quotes(self.deltas, self.tape.quotes)
-        return validate.compared(self.tape.quotes, self.events, top)
+        rows, at = validate.compared(self.tape.quotes, self.events, top), _scratch(self.spark)
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
 
     @property
     def report(self) -> DataFrame:
@@ -278,12 +288,6 @@ def b_order_lifecycle_totals(spark, d):
     return life.groupBy(*KEY, "kind").agg(F.count("*").alias("n"), F.sum("removed").alias("removed"), F.sum("rem_after").alias("rem_after"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
-
-
 @_query
 def csv_roundtrip(spark, d):
     """Raw orders written as GB18030 files, one a session, and read, numbered and typed again."""

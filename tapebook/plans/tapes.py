@@ -112,8 +112,7 @@ def tape_b_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("exchange_order_id"), F.when(buy("o_orderkey"), "B").otherwise("S").alias("side"),
         F.when(buy("o_orderkey"), F.lit(10_000) - step).otherwise(F.lit(10_010) + step).cast("bigint").alias("price_int"), ((F.col("o_custkey") % 5 + 1) * 100).cast("bigint").alias("qty"),
     )
-    quote = add.join(o.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("bigint").alias("source_seq")), "source_seq", "left_semi")
-    quote = quote.select("symbol", "trade_date", "ts_ms", F.lit("quote").alias("event_type"), "source_seq")
+    quote = o.filter("o_orderstatus = 'P'").select(symbol("o_orderkey").alias("symbol"), day.alias("trade_date"), clock("o_orderdate").alias("ts_ms"), F.lit("quote").alias("event_type"), F.col("o_orderkey").cast("bigint").alias("source_seq"))
     li = _table(spark, sf_dir, "lineitem")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
     nth = F.row_number().over(Window.partitionBy(symbol("l_orderkey")).orderBy(*keys))
