@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapebook.functions.cells import aggressor, clean, or_unknown, parse_ts_ms, session_label, to_int
-from tapebook.schemas import COMMON_HEADERS, DEPTH, ORDER_HEADERS, ORDERS, PRICE_SCALE, QUOTE_HEADERS, QUOTE_LEVEL_HEADERS, QUOTES, TRADE_HEADERS, TRADES, SIDES
+from tapebook.schemas import COMMON_HEADERS, DEPTH, ORDER_HEADERS, ORDERS, PRICE_SCALE, QUOTE_HEADERS, QUOTE_LEVEL_HEADERS, QUOTES, SIDES, TRADE_HEADERS, TRADES
 
 
 def _common(strict: bool) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapebook.functions.cells import aggressor, clean, minute_label, or_unknown, parse_ts_ms, session_label, to_int
 from tapebook.operators import book, diagnostics, seek, validate
-from tapebook.schemas import CHECKPOINTS, EVENTS, MISSING_ORDER_REPORT, QUOTES, TRADES, VALIDATION_REPORT, ORDERS, KEY
+from tapebook.schemas import CHECKPOINTS, EVENTS, MISSING_ORDER_REPORT, QUOTES, ORDERS, TRADES, VALIDATION_REPORT
 
 
 def rows_of(spark, schema, rows):
@@ -205,4 +205,4 @@ def test_empty_inputs(spark):
         assert df.count() == 0
     assert tuple(diagnostics.totals(report, log).first()) == (0, 0, 0, 0)
     assert validate.match_rates(quotes, report).first()["raw_match_rate"] == 0.0
-    assert report.schema.fieldNames() == VALIDATION_REPORT.fieldNames() and log.schema.fieldNames() == MISSING_ORDER_REPORT.fieldNames() and KEY
+    assert report.schema.fieldNames() == VALIDATION_REPORT.fieldNames() and log.schema.fieldNames() == MISSING_ORDER_REPORT.fieldNames()
