@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 500_000
+BATCH_ROWS = 1000
+BATCH_BYTES = "8m"
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -65,14 +67,23 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: fewer rows than the default of 10,000, in the JVM and in Python at once."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever they are called, never meet an operator's own."""
+    _small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
 def packed(documents: DataFrame, *also: str) -> DataFrame:
     """_row (all columns but text, as one), the columns named besides, and text: nothing in documents can clash with what
     an operator adds."""
+    _small_batches(documents.sparkSession)
     rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     return documents.select(F.struct(*rest).alias("_row"), *also, "text")
 
