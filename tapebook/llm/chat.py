@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import columns, cut, drop_table, write_table
+from tapebook.llm.common import columns, cut, drop_table, grown, write_table
 
 _CALL = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
@@ -74,38 +74,60 @@ def _calls(messages: DataFrame) -> DataFrame:
     return rows.filter("call_id IS NOT NULL")
 
 
+def _until_stable(spark, start: DataFrame, step, value: str) -> DataFrame:
+    """start, and step of it again and again, each written, until neither its rows nor their values change."""
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*_KEY, value).cast("decimal(38,0)"))).first())
+    path = write_table(start, "call-order")
+    now = spark.read.schema(start.schema).parquet(path)
+    before = state(now)
+    while before[0]:
+        after = write_table(step(now), "call-order")
+        drop_table(spark, path)
+        path, now = after, spark.read.schema(start.schema).parquet(after)
+        if (new := state(now)) == before:
+            break
+        before = new
+    return now
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, cyclic): in the order (level, turn, pos) a call comes after all that it needs.
+    """(conv_id, call_id, slot, level, cyclic): in the order (slot, level, turn, pos) a call comes after all that it needs.
 
-    References to earlier messages need no work; those to the same place or later raise the level of the call, and of what
-    needs it, in rounds over what changed. A call whose level outgrows its conversation's later references is on, or
-    behind, a cycle."""
+    slot is the last place (turn, pos) among the call and all that it needs, directly or not: the place that it waits for.
+    Calls that need earlier messages only are their own slot and cost no round; the rounds are as many as the longest
+    chain of calls that stand before what they wait for. level orders the calls of one slot; one whose level outgrows the
+    slot's references is on, or behind, a cycle there."""
     spark = calls.sparkSession
     nodes = calls.select(*_KEY, F.struct("turn", "pos").alias("at"), "after")
-    edges = nodes.select(*_KEY, "at", F.explode(F.array_distinct("after")).alias("need"))
     needed = nodes.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("need_at"))
-    linked = edges.join(needed, ["conv_id", "need"]).select(*_KEY, "need", (F.col("need_at") >= F.col("at")).cast("int").alias("later"))
-    edges = cut(linked, "call-edges")
-    most = edges.groupBy("conv_id").agg(F.sum("later").alias("most")).filter("most > 0")
-    now = edges.filter("later = 1").select(*_KEY).distinct().withColumn("level", F.lit(1))
-    path = write_table(now, "call-levels")
-    while True:
-        now = spark.read.schema(now.schema).parquet(path)
+    edges = cut(nodes.select(*_KEY, "at", F.explode(F.array_distinct("after")).alias("need")).join(needed, ["conv_id", "need"]).select(*_KEY, "at", "need", "need_at"), "call-edges")
+
+    def delayed(now: DataFrame) -> DataFrame:
+        below = now.select("conv_id", F.col("call_id").alias("need"), "slot")
+        more = edges.join(below, ["conv_id", "need"]).filter(F.col("slot") > F.col("at")).select(*_KEY, "slot")
+        return now.unionByName(more).groupBy(*_KEY).agg(F.max("slot").alias("slot"))
+
+    first = edges.filter(F.col("need_at") >= F.col("at")).groupBy(*_KEY).agg(F.max("need_at").alias("slot"))
+    waiting = _until_stable(spark, first, delayed, "slot")
+    theirs = waiting.select("conv_id", F.col("call_id").alias("need"), F.col("slot").alias("need_slot"))
+    slotted = edges.join(waiting, _KEY, "left").join(theirs, ["conv_id", "need"], "left").withColumns({"slot": F.coalesce("slot", "at"), "need_slot": F.coalesce("need_slot", "need_at")})
+    inner = cut(slotted.filter(F.col("slot") == F.col("need_slot")).select(*_KEY, "need", "slot"), "call-slots")
+    most = inner.groupBy("conv_id", "slot").agg(F.count("*").alias("most"))
+
+    def raised(now: DataFrame) -> DataFrame:
         below = now.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("base"))
-        raised = edges.join(below, ["conv_id", "need"]).select(*_KEY, (F.col("base") + F.col("later")).alias("level"))
-        best = now.unionByName(raised).groupBy(*_KEY).agg(F.max("level").alias("level")).join(most, "conv_id").select(*_KEY, F.least("level", F.col("most") + 1).cast("int").alias("level"))
-        after = write_table(best, "call-levels")
-        new = spark.read.schema(now.schema).parquet(after)
-        same = [tuple(t.agg(F.count("*"), F.sum("level")).first()) for t in (now, new)]
-        drop_table(spark, path)
-        path, now = after, new
-        if same[0] == same[1]:
-            break
-    return now.join(most, "conv_id").select(*_KEY, "level", (F.col("level") > F.col("most")).alias("cyclic"))
+        more = inner.join(below, ["conv_id", "need"]).select(*_KEY, "slot", (F.col("base") + 1).alias("level"))
+        best = now.unionByName(more).groupBy(*_KEY, "slot").agg(F.max("level").alias("level"))
+        return best.join(most, ["conv_id", "slot"]).select(*_KEY, "slot", F.least("level", F.col("most") + 1).alias("level"))
+
+    levels = _until_stable(spark, inner.select(*_KEY, "slot").distinct().withColumn("level", F.lit(1).cast("bigint")), raised, "level")
+    marked = levels.join(most, ["conv_id", "slot"]).select(*_KEY, "level", (F.col("level") > F.col("most")).alias("cyclic"))
+    return waiting.join(marked, _KEY, "full")
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, and per result without one: conv_id, call_id, turn, pos, level, name, status, errors, record.
+    """One row per call, and per result without one: conv_id, call_id, turn, pos, slot, level, name, status, duplicates,
+    errors, record. Calls in the order (slot, level, turn, pos) come after those that they need.
 
     status: linked, unanswered, early (the result stands before the call), cyclic, or orphan (a result without a call).
     Of calls or results with one id in a conversation the first counts and duplicates says how many more there are.
@@ -124,7 +146,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     status = (
         F.when(F.col("after").isNull(), "orphan").when(F.coalesce("cyclic", F.lit(False)), "cyclic").when(F.col("r").isNull(), "unanswered").when(F.col("r.turn") <= F.col("turn"), "early").otherwise("linked")
     )
-    flat = linked.select(*_KEY, F.coalesce("turn", "r.turn").alias("turn"), "pos", F.coalesce("level", F.lit(0)).alias("level"), "name", status.alias("status"), (F.coalesce("again", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("duplicates"), "arguments", "after", F.col("r.content").alias("content"))
+    flat = linked.select(*_KEY, F.coalesce("turn", "r.turn").alias("turn"), "pos", F.coalesce("slot", F.struct(F.coalesce("turn", "r.turn").alias("turn"), "pos")).alias("slot"), F.coalesce("level", F.lit(0)).alias("level"), "name", status.alias("status"), (F.coalesce("again", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("duplicates"), "arguments", "after", F.col("r.content").alias("content"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,11 +160,10 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 wrong.append([] if status == "orphan" else bad)
                 record = {"id": call, "result": content}
                 records.append(canonical(record if status == "orphan" else record | {"name": name, "arguments": value, "after": sorted(set(after))}))
-            kept = [b.column(k) for k in range(8)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(wrong, pa.list_(pa.string())), pa.array(records, pa.string())], names=[*b.schema.names[:8], "errors", "record"])
+            kept = [b.column(k) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(wrong, pa.list_(pa.string())), pa.array(records, pa.string())], names=[*b.schema.names[:9], "errors", "record"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields[:8])
-    out = flat.mapInArrow(of, f"{kinds}, errors array<string>, record string")
+    out = flat.mapInArrow(of, grown(flat.schema.fields[:9], "errors array<string>, record string"))
     return out.withColumn("conv_id", F.when(F.col("conv_id") != none, F.col("conv_id")))
 
 
@@ -156,12 +177,12 @@ TOOLS = {
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Tool messages made from plain ones: every assistant turn calls a tool with its whole text, every following user turn
-    is the answer to it. Each call needs the one before; those of every fifth turn need the next one instead."""
+    is the answer to it. Each call needs the one before; those of every fifth turn need the next one instead, which needs none."""
     call = F.struct(
         F.concat(F.lit("c"), F.col("turn")).alias("id"),
         F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "translate").otherwise("draw").alias("name"),
         F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") % 7).alias("limit"))).alias("arguments"),
-        F.when(F.col("turn") % 5 == 0, F.array(F.concat(F.lit("c"), F.col("turn") + 2))).otherwise(F.array(F.concat(F.lit("c"), F.col("turn") - 2))).alias("after"),
+        F.when(F.col("turn") % 5 == 0, F.array(F.concat(F.lit("c"), F.col("turn") + 2))).when(F.col("turn") % 5 == 2, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), F.col("turn") - 2))).alias("after"),
     )
     calls = conversations.filter("role = 'assistant'").select("conv_id", "turn", "role", F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
     answer = F.struct(F.concat(F.lit("c"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))
@@ -172,4 +193,4 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 def report(conversations: DataFrame) -> DataFrame:
     """Per call and orphan result of the conversations as tool messages: its place, status, number of errors, and its record's SHA-256."""
     df = link(as_tool_messages(conversations), TOOLS)
-    return df.select("conv_id", "call_id", "turn", "level", "name", "status", "duplicates", F.size("errors").cast("long").alias("n_errors"), F.sha2("record", 256).alias("record_sha256"))
+    return df.select("conv_id", "call_id", "turn", F.col("slot.turn").alias("slot_turn"), "level", "name", "status", "duplicates", F.size("errors").cast("long").alias("n_errors"), F.sha2("record", 256).alias("record_sha256"))

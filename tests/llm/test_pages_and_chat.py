@@ -99,8 +99,8 @@ def test_linking(spark):
     got = {(r["conv_id"], r["call_id"]): r for r in chat.link(df, SCHEMA).collect()}
     say = {k: (r["status"], r["level"], len(r["errors"]), r["duplicates"]) for k, r in got.items()}
     assert say == {
-        (1, "c1"): ("linked", 1, 0, 2), (1, "c2"): ("unanswered", 0, 1, 0), (1, "c3"): ("early", 1, 1, 0), (1, "zz"): ("orphan", 0, 0, 0),
-        (2, "x"): ("cyclic", 2, 0, 0), (2, "y"): ("cyclic", 2, 0, 0), (2, "z"): ("linked", 0, 0, 0), (None, "n"): ("linked", 0, 0, 0),
+        (1, "c1"): ("linked", 1, 0, 2), (1, "c2"): ("unanswered", 0, 1, 0), (1, "c3"): ("early", 0, 1, 0), (1, "zz"): ("orphan", 0, 0, 0),
+        (2, "x"): ("cyclic", 3, 0, 0), (2, "y"): ("cyclic", 3, 0, 0), (2, "z"): ("linked", 0, 0, 0), (None, "n"): ("linked", 0, 0, 0),
     }
     assert got[1, "c1"]["record"] == '{"after":["c2"],"arguments":{"a":1},"id":"c1","name":"f","result":"r1"}'
     assert chat.link(df.limit(0), SCHEMA).count() == 0
@@ -117,7 +117,7 @@ def test_order_against_brute_force(spark):
             deps[conv, c] = [x for x in range(12) if place[x] < place[c] and r.random() < 0.2]
             rows.append((conv, c, "assistant", call((str(c), "f", "{}", map(str, deps[conv, c])))))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(x["conv_id"], int(x["call_id"])): (x["level"], x["turn"], x["pos"]) for x in chat.link(df, SCHEMA).collect()}
+    got = {(x["conv_id"], int(x["call_id"])): (tuple(x["slot"]), x["level"], x["turn"], x["pos"]) for x in chat.link(df, SCHEMA).collect()}
     assert len(got) == 96 and all(got[conv, x] < got[conv, c] for (conv, c), need in deps.items() for x in need)
     assert not any(x["status"] == "cyclic" for x in chat.link(df, SCHEMA).collect())
 
