@@ -2,7 +2,11 @@
 
 SimHash links within two bits reach near-identical texts only (texts of similarity 0.8 differ in 5 to 14 of 64 bits).
 This pass goes beyond them: 16 bands of 4 minimum hashes bring candidates together (a pair of similarity 0.8 meets with
-probability 0.9998), every candidate is verified on its whole text, and verified links make components.
+probability 0.9998), candidates are verified on their whole texts, and verified links make components.
+
+A bucket's members are compared with two heads of it first.  Buckets whose members are then still in several components
+are gone through pair by pair: every pair over two components whose parity sketches do not rule the similarity out is
+verified, a growing share of all pairs a round, so that what has become one component is not compared again.
 """
 
 from __future__ import annotations
@@ -18,6 +22,13 @@ from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, mix,
 from tapebook.llm.graph import components
 
 BANDS, ROWS = 16, 4
+#: Bits of a parity sketch.
+BITS = 1024
+#: At most about so many members of a bucket meet so many others in one group.
+LEFT, RIGHT = 2048, 8192
+#: With more open pairs than these, the shares of all pairs that rounds go up to.
+AT_ONCE = 1_000_000
+SHARES = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
 
 
@@ -60,19 +71,91 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(of, "node long, bands array<long>")
 
 
-def candidates(docs: DataFrame, size: int) -> DataFrame:
-    """(u, v): each document with two others of each band bucket that it is in: the smallest node, and the one that shares
-    most buckets with others (the original of a group of copies). Linear in a bucket's size, however large."""
+def buckets(docs: DataFrame, size: int) -> DataFrame:
+    """(band, key, node, n, score): the members of buckets with several; n of this bucket, score the sum of all the node's."""
     keyed = cut(_sketched(docs, size).select("node", F.posexplode("bands").alias("band", "key")), "bands", "lz4")
     several = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     member = keyed.join(several, ["band", "key"])
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    rated = cut(member.join(score, "node").select("band", "key", "node", "score"), "buckets", "lz4")
+    return cut(member.join(score, "node").select("band", "key", "node", "n", "score"), "buckets", "lz4")
+
+
+def candidates(rated: DataFrame) -> DataFrame:
+    """(u, v): each document with two others of each band bucket that it is in: the smallest node, and the one that shares
+    most buckets with others (the original of a group of copies). Linear in a bucket's size; open_pairs() has the rest."""
     heads = rated.groupBy("band", "key").agg(F.min("node").alias("least"), F.max(F.struct("score", "node")).alias("most"))
     pairs = rated.join(heads.select("band", "key", "least", F.col("most.node").alias("most")), ["band", "key"])
     return pairs.select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def parities(docs: DataFrame, size: int) -> DataFrame:
+    """(node, many, bits) of docs (node, text): the number of different shingles, and for each of BITS places whether an odd
+    number of them falls there. Two sets differ in at least as many shingles as their sketches in bits."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many, bits = [np.zeros(0, np.int64)], []
+            for c in chunks(b.column(1)):
+                h, at = shingles(c, size)
+                text = np.repeat(np.arange(c.n), np.diff(at))
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                fresh = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+                text, h = text[fresh], h[fresh]
+                many.append(np.bincount(text, minlength=c.n))
+                odd = np.bincount(text * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=c.n * BITS) & 1
+                bits += [row.tobytes() for row in np.packbits(odd.astype(bool).reshape(c.n, BITS), axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(many)), pa.array(bits, pa.binary())], names=["node", "many", "bits"])
+
+    return docs.mapInArrow(of, "node long, many long, bits binary")
+
+
+def open_buckets(rated: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (band, key, node, root) of the buckets that may have untested pairs, and those buckets (band, key, main, lefts,
+    n): members are in several components, and there are more than three (of three, the heads have met all)."""
+    member = rated.filter("n > 3").join(found, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    member = cut(member, "members", "lz4")
+    parts = member.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("n")).filter("main.c < n")
+    return member, cut(whole.select("band", "key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.c")).alias("lefts"), "n"), "open", "lz4")
+
+
+def open_pairs(member: DataFrame, opened: DataFrame, sketches: DataFrame, low: float, high: float, similarity: float) -> DataFrame:
+    """(u, v): the pairs of a bucket's members of different components, of the share low to high of all pairs, that can reach
+    the similarity by their sketches. Members outside the bucket's largest component meet all members, in bounded groups."""
+    rows = member.join(opened, ["band", "key"]).join(sketches, "node")
+    rows = rows.withColumns({"lefts": F.ceil(F.col("lefts") / LEFT), "rights": F.ceil(F.col("n") / RIGHT), "is_main": F.col("root") == F.col("main")})
+    place = F.xxhash64("node", "band")
+    each = ["node", "root", "many", "bits", "is_main"]
+    left = rows.filter("NOT is_main").select("band", "key", F.pmod(place, "lefts").alias("i"), F.explode(F.expr("sequence(0L, rights - 1)")).alias("j"), F.lit(True).alias("left"), *each)
+    right = rows.select("band", "key", F.explode(F.expr("sequence(0L, lefts - 1)")).alias("i"), F.pmod(place, "rights").alias("j"), F.lit(False).alias("left"), *each)
+    groups = left.unionAll(right).groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("left", *each)).alias("members")).select("members")
+    first, last = np.uint64(int(low * 2**53)), np.uint64(int(high * 2**53))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                inner = b.column(0)[k].values
+                is_left, node, root, many, is_main = (inner.field(f).to_numpy(zero_copy_only=False) for f in (0, 1, 2, 3, 5))
+                bits = np.frombuffer(b"".join(inner.field(4).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+                x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+                name = node.view(np.uint64)
+                step = max(1, 500_000 // max(1, len(y)))
+                for a in range(0, len(x), step):
+                    some = x[a : a + step, None]
+                    share = ((name[some] ^ name[y]) * _ODD[0, 0]) >> np.uint64(11)
+                    i, j = np.nonzero((root[some] != root[y]) & (is_main[y] | (node[some] < node[y])) & (share >= first) & (share < last))
+                    i, j = x[a + i], y[j]
+                    for z in range(0, len(i), 50_000):
+                        u, v = i[z : z + 50_000], j[z : z + 50_000]
+                        away = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+                        can = away * (1 + similarity) <= (many[u] + many[v]) * (1 - similarity) + 1e-6
+                        u, v = node[u[can]], node[v[can]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return groups.mapInArrow(of, "u long, v long").distinct()
+
+
 def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
@@ -100,16 +183,44 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     return both.mapInArrow(of, "u long, v long")
 
 
+def grouped(docs: DataFrame, size: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes of docs (node, text; nodes distinct) that are similar to others, or linked by known edges."""
+    rated = buckets(docs, size)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = cut(docs.join(asked, "node", "left_semi"), "pair-texts")  # of candidates only
+        return cut(verified(pairs, texts, size, similarity), "similar")
+
+    links = linked(candidates(rated))
+    links = links if known is None else links.unionAll(known)
+    found = components(links)
+    sketches, low = None, 0.0
+    while low < 1:
+        member, opened = open_buckets(rated, found)
+        work = opened.agg(F.sum(F.col("lefts") * F.col("n"))).first()[0]
+        if not work:
+            break
+        if sketches is None:
+            asked = member.join(opened, ["band", "key"], "left_semi").select("node").distinct()
+            sketches = cut(parities(docs.join(asked, "node", "left_semi"), size), "parities")
+        high = 1.0 if work <= AT_ONCE else min(s for s in SHARES if s > low)
+        new = linked(open_pairs(member, opened, sketches, low, high, similarity))
+        if new.first() is not None:
+            links = links.unionAll(new)
+            found = components(links)
+        low = high
+    return found
+
+
 def one_of_similar(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents with one document of each component of similar ones: the smallest doc_id's (null first); columns as they
     were. Texts without words are similar to nothing. Rows alike in doc_id and text count as one document and share its fate."""
     docs = columns(documents, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("node"), "text")
-    pairs = cut(candidates(docs.select("node", "text"), size), "pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = cut(docs.join(asked, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")  # of candidates only
-    links = verified(pairs, texts, size, similarity)
-    found = components(cut(links, "similar"))
-    ids = found.join(texts.select("node", "doc_id"), "node")
+    docs = cut(docs.dropDuplicates(["node"]), "texts")
+    found = grouped(docs.select("node", "text"), size, similarity)
+    ids = found.join(docs.select("node", "doc_id"), "node")
     first = ids.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("root", "first.node")
     dropped = found.join(first, ["root", "node"], "left_anti").select(F.col("node").alias("_node"))
     rows = packed(documents, "doc_id").withColumn("_node", F.xxhash64("doc_id", "text"))

@@ -124,3 +124,44 @@ def test_similar_hard(spark, hard, empty):
     kept = similar.one_of_similar(hard)
     assert kept.columns == hard.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 6, 7, 8, 9, None]))
     assert similar.one_of_similar(empty).count() == 0
+
+
+def edited_copies(n, r, edits=3, size=200):
+    """n copies of one text that is not among them, each with some words replaced."""
+    base = [f"w{r.randrange(5000)}" for _ in range(size)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for k in r.sample(range(size), edits):
+            text[k] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(text))
+    return base, out
+
+
+def exact_classes(texts):
+    """Over all pairs, by counts of common shingles."""
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    place = {}
+    rows = np.zeros((len(sets), len(set().union(*sets))), np.float32)
+    for i, s in enumerate(sets):
+        rows[i, [place.setdefault(g, len(place)) for g in s]] = 1
+    common, size = rows @ rows.T, np.array([len(s) for s in sets])
+    near = common >= 0.8 * (size[:, None] + size - common) - 1e-4
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label, len(sets)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_thousand_copies_without_their_original(spark, docs_of, at_once, monkeypatch):
+    monkeypatch.setattr(similar, "AT_ONCE", at_once)
+    monkeypatch.setattr(similar, "LEFT", 100)
+    monkeypatch.setattr(similar, "RIGHT", 300)
+    texts = edited_copies(1000, random.Random(5))[1]
+    want = {i for i, c in enumerate(exact_classes(texts)) if c == i}
+    assert len(want) < 50
+    kept = {x["doc_id"] for x in similar.one_of_similar(docs_of(list(enumerate(texts)))).collect()}
+    assert kept == want
