@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapebook.llm import decontaminate, packing, resampling, secrets, similar, simhash
+from tapebook.llm import decontaminate, packing, resampling, secrets, similar
 from tapebook.llm.common import cut
 
 
@@ -14,9 +14,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays: SimHash components first (radius 2), then, among what they
-    leave, documents whose five-word shingles are similar to 0.8 or more."""
-    return similar.one_of_similar(cut(simhash.one_of_each(docs), "simhash-kept"))
+    """The document with the smallest doc_id of each group stays; groups are the components over SimHash links (radius 2) and
+    pairs whose five-word shingles are similar to 0.8 or more, of all documents together."""
+    return similar.one_of_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, shard: int = SHARD)
     return _link_shards(found, radius)
 
 
-def _rooted(docs: DataFrame, radius: int) -> DataFrame:
+def rooted(docs: DataFrame, radius: int) -> DataFrame:
     """(fp, root) of every fingerprint of docs: equal roots are reachable from one another."""
     own = docs.select("fp").distinct()
     comps = components(links(own, radius))
@@ -221,7 +221,7 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3) ->
     Equal fingerprints (empty texts too) are linked. Repeated rows stay; a null doc_id gets its component's smallest id,
     or null if the component has none."""
     docs = cut(fingerprints(documents, shingle=shingle), "simhash")
-    rooted = _rooted(docs, radius)
+    rooted = rooted(docs, radius)
     least = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
@@ -240,7 +240,7 @@ def one_of_each(documents: DataFrame, radius: int = 2, shingle: int = 3) -> Data
     Of rows with the same doc_id and text one stays, whichever."""
     keys = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b")]
     docs = cut(fingerprints(documents.select("doc_id", "text", *keys), ("doc_id", "_a", "_b"), shingle), "simhash")
-    rooted = _rooted(docs, radius)
+    rooted = rooted(docs, radius)
     first = F.min(F.struct("doc_id", "_a", "_b")).alias("first")
     per_fp = docs.groupBy("fp").agg(first).join(rooted, "fp")
     kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select("first._a", "first._b")

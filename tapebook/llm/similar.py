@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapebook.llm import simhash
 from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, mix, packed, span_hash, unpacked, words
 from tapebook.llm.graph import components
 
@@ -225,3 +226,20 @@ def one_of_similar(documents: DataFrame, size: int = 5, similarity: float = 0.8)
     dropped = found.join(first, ["root", "node"], "left_anti").select(F.col("node").alias("_node"))
     rows = packed(documents, "doc_id").withColumn("_node", F.xxhash64("doc_id", "text"))
     return unpacked(rows.join(dropped, "_node", "left_anti"), documents)
+
+
+def one_of_near(documents: DataFrame, radius: int = 2, shingle: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents with one row of each component over SimHash links and similar pairs together: the smallest doc_id's (null
+    first, then by text hash); columns as they were. Equal texts are one node. Of rows with the same doc_id and text one stays."""
+    keys = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b")]
+    docs = columns(documents, "doc_id", "text").withColumn("node", F.xxhash64("text"))
+    texts = cut(docs.select("node", "text").dropDuplicates(["node"]), "texts")
+    prints = cut(simhash.fingerprints(texts, ("node",), shingle), "simhash")
+    class_of = prints.join(simhash.rooted(prints, radius), "fp").select("node", "root")
+    heads = class_of.groupBy("root").agg(F.min("node").alias("v"))
+    known = cut(class_of.join(heads, "root").filter("node <> v").select(F.col("node").alias("u"), "v"), "simhash-links")
+    found = grouped(texts, size, similarity, known)
+    ids = docs.select("doc_id", "node", *keys).join(found, "node", "left")
+    kept = ids.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "_a", "_b")).alias("first")).select("first._a", "first._b")
+    rows = packed(documents, "doc_id").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64("text", "doc_id")})
+    return unpacked(rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), documents)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -165,3 +166,20 @@ def test_thousand_copies_without_their_original(spark, docs_of, at_once, monkeyp
     assert len(want) < 50
     kept = {x["doc_id"] for x in similar.one_of_similar(docs_of(list(enumerate(texts)))).collect()}
     assert kept == want
+
+
+def test_links_of_documents_that_simhash_drops(spark, docs_of, hard):
+    """The original (5) goes for a copy (3) within two bits; what is similar to the original only (7) is of the group too."""
+    r = random.Random(11)
+    share = lambda a, b: (lambda x, y: len(x & y) / len(x | y))(*({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b)))
+    while True:
+        base = [f"w{r.randrange(5000)}" for _ in range(600)]
+        near = base[:300] + ["new"] + base[301:]
+        if (brute_fp(" ".join(base)) ^ brute_fp(" ".join(near))).bit_count() <= 2:
+            break
+    far = [f"x{k}" for k in range(66)] + base[66:]
+    assert share(base, far) >= 0.8 > share(near, far)
+    rows = [(5, " ".join(base)), (3, " ".join(near)), (7, " ".join(far)), (8, " ".join(base)), (9, "apart from all of them")]
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect()} == {3, 9}
+    kept = corpus_pipeline.near_dedup(spark, hard, "")
+    assert kept.columns == hard.columns and sorted(str(x["doc_id"]) for x in kept.collect()) == sorted(map(str, [1, 3, 6, 7, 8, 9, None]))
