@@ -43,6 +43,16 @@ ADDED = (
 )
 RULES = (*BASE, *ADDED)
 
+_HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: What redact() scans for besides (a Java expression): a private key's header with its body up to the END line; without such
+#: a line, with what looks like its body. Not in RULES: the spans and the SQL of the query tell the header only.
+KEY_BODY = Rule(
+    "private_key",
+    3,
+    _HEADER + r"[A-Za-z0-9+/=\s:,\\-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|"
+    + _HEADER + r"(?:(?:\s+[A-Za-z-]+:\x20[^\n]*){0,8}[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+=*(?=\s*(?:\n|\z)|\\[nr]))?)?",
+)
+
 _LEDGER = "blob binary, kind string, version int, start long, end long"
 
 
@@ -126,9 +136,10 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """documents with every found span (overlapping ones as one) replaced by the mark; columns as they were, and n_chars,
-    if there is such a column, follows the text. Documents without findings stay as they are."""
-    df = _found(documents, scan(documents), RULES)
+    """documents with every found span (overlapping ones as one) replaced by the mark, private keys with their bodies; columns
+    as they were, and n_chars, if there is such a column, follows the text. Documents without findings stay as they are."""
+    rules = (*RULES, KEY_BODY)
+    df = _found(documents, scan(documents, rules=rules), rules)
     ends = F.aggregate(
         "found",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
