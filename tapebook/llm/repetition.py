@@ -2,7 +2,7 @@
 
 A suffix array over each text's words gives the maximal repeated runs of words as its LCP intervals; the union of the
 runs of MIN_RUN words or more is the repeated part.  A text is kept if it passes the base rules, the repeated part is at
-most MAX_COVERED of its words, and the longest repeated run is at most MAX_RUN words or MAX_RUN_SHARE of its words.
+most MAX_COVERED of its words, and the longest repeated run is at most MAX_RUN words and MAX_RUN_SHARE of its words.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def measures(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_run
 def judged(measured: DataFrame, max_covered: float = MAX_COVERED, max_run: int = MAX_RUN, max_run_share: float = MAX_RUN_SHARE) -> DataFrame:
     """measured with base_failed and kept."""
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    fine = (F.col("n_run_words") <= F.col("n_words") * max_covered) & ((F.col("longest_run") <= max_run) | (F.col("longest_run") <= F.col("n_words") * max_run_share))
+    fine = (F.col("n_run_words") <= F.col("n_words") * max_covered) & (F.col("longest_run") <= max_run) & (F.col("longest_run") <= F.col("n_words") * max_run_share)
     return measured.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine)
 
 

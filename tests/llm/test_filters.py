@@ -165,6 +165,15 @@ def test_rules(spark, docs_of, empty):
     assert got["20"]["kept"] and got["22"]["kept"] and not got["21"]["kept"] and repetition.report(empty).count() == 0
 
 
+def test_long_repeat_in_a_text_that_passes_base(spark, docs_of):
+    """A passage that stands twice, apart, is rejected over 100 words, and kept below."""
+    plain = lambda n, mark: [f"{mark}{k}" for k in range(n)]
+    passage = lambda n: [*plain(300, "a"), *plain(n, "p"), *plain(300, "b"), *plain(n, "p"), *plain(300, "c")]
+    long = [*plain(5000, "p"), *plain(10_000, "a"), *plain(5000, "p")]
+    got = {x["doc_id"]: x for x in repetition.report(docs_of([(1, " ".join(passage(120))), (2, " ".join(passage(90))), (3, " ".join(long))])).collect()}
+    assert not any(x["base_failed"] for x in got.values()) and {d: x["kept"] for d, x in got.items()} == {1: False, 2: True, 3: False}
+
+
 # ---------------------------------------------------------------- classifiers
 
 INSULTS = ["idiot", "scum", "lowei"]
