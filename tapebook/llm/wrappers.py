@@ -239,25 +239,24 @@ def _has_paragraphs(node: list) -> bool:
     return any(x[0].split(" ")[0] == "p" or x[0] == "()" and _has_paragraphs(x) for x in node[2])
 
 
-def content(nodes: list) -> list[tuple]:
-    """Paths of the wrapper's nodes whose slots are the main text: the article; without one, the main element or what is
-    named like one; without that, whatever holds paragraphs; at last the body or the whole page."""
+def content(nodes: list) -> list[list[tuple]]:
+    """Paths of the wrapper's nodes whose slots are the main text, by kind, the better ones first: the article; the main
+    element or what is named like one; whatever holds paragraphs; at last the body and the whole page. A page is read by the
+    first kind that it has an element of."""
     tag = lambda node: node[0].split(" ")[0]
-    for wanted in (
+    kinds = (
         lambda x: tag(x) == "article",
         lambda x: tag(x) == "main" or "main" in x[0].split(" ")[1:],
         lambda x: bool(_MAIN_NAMES.search(x[0].partition(" ")[2])),
         _has_paragraphs,
         lambda x: tag(x) == "body",
-    ):
-        if found := _roots(nodes, wanted):
-            return found
-    return [()]
+    )
+    return [found for wanted in kinds if (found := _roots(nodes, wanted))] + [[()]]
 
 
 @lru_cache(512)
-def _loaded(wrapper: str) -> tuple[frozenset, frozenset]:
-    """Content roots, and all element paths, of a wrapper."""
+def _loaded(wrapper: str) -> tuple[list[frozenset], frozenset]:
+    """Content roots by kind, and all element paths, of a wrapper."""
     nodes = json.loads(wrapper)
     known: set[tuple] = set()
 
@@ -268,12 +267,24 @@ def _loaded(wrapper: str) -> tuple[frozenset, frozenset]:
             walk(node[2], here)
 
     walk(nodes, ())
-    return frozenset(content(nodes)), frozenset(known)
+    return [frozenset(roots) for roots in content(nodes)], frozenset(known)
 
 
 def read(page: str, wrapper: str) -> str:
-    """The main text of a page through its host's wrapper: the slots inside the content roots, blocks joined by \\n."""
-    roots, known = _loaded(wrapper)
+    """The main text of a page through its host's wrapper: the slots inside the content roots of the best kind that the page
+    has, blocks joined by \\n."""
+    kinds, known = _loaded(wrapper)
+    root = parse(page)
+    has: set[tuple] = {()}
+
+    def look(e: Element, path: tuple) -> None:
+        for c in e.children:
+            if isinstance(c, Element) and not _skipped(c.label):
+                has.add((*path, c.label))
+                look(c, (*path, c.label))
+
+    look(root, ())
+    roots = next(r for r in kinds if not has.isdisjoint(r))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -299,7 +310,7 @@ def read(page: str, wrapper: str) -> str:
             if inside or within:
                 close()
 
-    walk(parse(page), (), () in roots)
+    walk(root, (), () in roots)
     close()
     return "\n".join(blocks)
 

@@ -131,3 +131,12 @@ def test_query(spark, sf):
     answers = {(c, t - 1) for (c, t), v in said.items() if v == "user"}
     assert {(r["conv_id"], int(r["call_id"][1:])) for r in rows} == calls | answers
     assert all((r["status"] == "orphan") == ((r["conv_id"], int(r["call_id"][1:])) not in calls) for r in rows)
+
+
+def test_mixed_templates_on_one_host(spark):
+    """Each page is read by the best kind of root that it has itself."""
+    bodies = ["<nav>menu</nav><article><p>in article</p></article><div>aside text</div>", "<nav>menu</nav><main><p>in main</p></main>", "<nav>menu</nav><div class='post-content'><p>in post</p></div>", "<nav>menu</nav><p>bare</p>", "only text"]
+    pages = [(k, url, f"<html><body>{b}</body></html>") for k, b in enumerate(bodies) for url in ("https://one.example/x", None)]
+    out = wrappers.report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    want = ["in article", "in main", "in post", "bare", "only text"]
+    assert sorted((r["page_id"], r["text"]) for r in out) == [(k, w) for k, w in enumerate(want) for _ in range(2)]
