@@ -7,14 +7,17 @@ unless an operator needs one.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +41,19 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 # ---------------------------------------------------------------- written cut points
 
 
+@lru_cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a local session (one JVM, as in tests) gets
+    a temporary folder of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        found = _own_folder()
     return found.rstrip("/")
 
 
@@ -68,7 +78,8 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: fewer rows than the default of 10,000, in the JVM and in Python at once."""
+    """Arrow batches of whole texts: fewer rows than the default of 10,000, in the JVM and in Python at once. The session keeps
+    the setting: plans are lazy and read it when they run."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -174,23 +185,14 @@ def spaced(chunk: Chunk, w: Words) -> tuple[np.ndarray, Words]:
 
 # ---------------------------------------------------------------- hashes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n and their inverses modulo 2**64."""
-    if len(_powers[0]) <= n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for k, b in enumerate((_BASE, inverse)):
-            steps = np.full(n + 1, b, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+#: Longer runs are hashed one by one.
+LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Spread every bit of 64-bit values over all bits."""
+    """Spread every bit of 64-bit values over all bits; different values stay different."""
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> np.uint64(27))
@@ -198,12 +200,73 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], equal for equal runs wherever they stand."""
-    power, inverse = _power(len(values))
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For every place of buf, and the one behind it, the next eight bytes as a number (zeros beyond the end)."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def block(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of eights(buf), those at the places, with only the first size bytes (0 to 8, more counts as 8)."""
+    return values[at] & _MASKS[np.minimum(size, 8)]
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs buf[start:end], equal for equal runs wherever they stand.
+
+    Runs of up to LONG bytes take eight at a time, each mixed in before the next; longer ones are hashed by XXH64. There is
+    no table that grows with a text, and no algebra by which whole families of runs collide."""
+    size = end - start
+    values = eights(buf)
+    h = mix(block(values, start, size) + size.astype(np.uint64) * _STEP)
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        h[live] = mix(h[live] * _STEP + block(values, start[live] + at, size[live] - at))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[s:e], 42) for s, e in zip(start[long].tolist(), end[long].tolist())), np.uint64, len(long))
+    return h
+
+
+def window_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` values in a row: entry i is that of h[i : i + size]."""
+    n = max(0, len(h) - size + 1)
+    out, done, part, width = None, 0, h, 1
+    while True:
+        if size & width:
+            out = part[:n] if out is None else mix(out * _STEP + part[done : done + n])
+            done += width
+        if done == size or not n:
+            return out[:n] + np.uint64(size) if n else np.zeros(0, np.uint64)
+        part, width = mix(part[:-width] * _STEP + part[width:]), 2 * width
+
+
+def same_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the runs of `size` bytes at the places a and b are equal, byte by byte."""
+    values = eights(buf)
+    same = block(values, a, size) == block(values, b, size)
+    live, at = np.flatnonzero(same & (size > 8) & (size <= LONG)), 8
+    while len(live):
+        same[live] = block(values, a[live] + at, size[live] - at) == block(values, b[live] + at, size[live] - at)
+        at += 8
+        live = live[same[live] & (size[live] > at)]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        same[long] = [raw[i : i + n] == raw[j : j + n] for i, j, n in zip(a[long].tolist(), b[long].tolist(), size[long].tolist())]
+    return same
+
+
+def run_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Small numbers of the byte runs: the same for equal runs and for no others (hashes are checked on the bytes)."""
+    _, first, ids = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
+    size, head = end - start, first[ids]
+    if (size == size[head]).all() and same_runs(buf, start, start[head], size).all():
+        return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(buf[s:e].tobytes(), len(known)) for s, e in zip(start.tolist(), end.tolist())], np.int64)
 
 
 def batch(schema: pa.Schema, *arrays) -> pa.RecordBatch:

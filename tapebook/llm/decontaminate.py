@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import ALNUM, LOWER, Chunk, Words, batch, chunks, columns, cut, grown, packed, span_hash, unpacked, words
+from tapebook.llm.common import ALNUM, LOWER, Chunk, Words, batch, chunks, columns, cut, grown, packed, span_hash, unpacked, window_hash, words
 
 WINDOW = 13
 #: Broadcast at most this many bytes of benchmark windows at once; a larger benchmark is taken in several slices.
@@ -52,7 +52,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     size = min(window, z - a)
                     if size and ids[c.first + i] is not None:
                         starts = np.arange(a, z - size + 1)
-                        hashes = span_hash(h, starts, starts + size).view(np.int64)
+                        hashes = window_hash(h[a:z], size).view(np.int64)
                         out += [(ids[c.first + i], size, int(x), _text_of(low, w, s, size)) for s, x in zip(starts.tolist(), hashes)]
                 if out:
                     yield batch(_WINDOWS, *map(list, zip(*out)))
@@ -88,10 +88,7 @@ def _hits(c: Chunk, index: dict, filters: dict) -> tuple[np.ndarray, Words, dict
     cover = np.zeros(len(w.start) + 1, dtype=np.int32)
     items: dict[int, set] = {}
     for size, (hashes, known) in index.items():
-        starts = np.arange(max(0, len(w.start) - size + 1))
-        if not len(starts):
-            continue
-        found = span_hash(h, starts, starts + size)
+        found = window_hash(h, size)
         near = np.flatnonzero(filters[size][(found >> np.uint64(44)).astype(np.int64)])
         near = near[np.isin(found[near], hashes)] if len(near) else near
         text = np.searchsorted(w.of, near, "right") - 1

@@ -4,10 +4,15 @@ Two bag-of-hashed-n-gram models are counted: the target's over labelled good doc
 A document's log weight is the sum of its n-grams' log ratios, and the k documents with the largest log weight plus
 Gumbel noise are a sample, without replacement, in proportion to the weights.  k is the number of documents whose weight
 reaches the threshold that tells the labelled good from the labelled bad best.
+
+The models have as many buckets as the square root of the corpus's bytes times BUCKETS_BY says: the table grows with the
+corpus (2**13 buckets at 25 MB, 2**24 at 100 TB) and can still be broadcast.  Log ratios are whole numbers of 1/UNIT, so
+that a text's weight does not depend on where it stands.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +23,12 @@ from pyspark.sql import functions as F
 
 from tapebook.llm.common import ALNUM, Chunk, chunks, columns, cut, grown, mix, packed, span_hash, unpacked
 
-#: Hash buckets of unigrams and bigrams.
-BUCKETS = 1 << 16
+#: Buckets of unigrams and bigrams: the power of two at or over the root of so many times the corpus's bytes, LEAST at least.
+BUCKETS_BY, LEAST = 2, 1 << 12
+#: Log weights are whole multiples of 1 / UNIT.
+UNIT = 1 << 20
+#: A counting task gives a row for each bucket it has seen, so there are at most so many tasks for each core.
+TASKS = 8
 #: Labelled rows that are used at most, chosen by the hash of their doc_id.
 MAX_LABELS = 50_000
 SEED = 17
@@ -29,7 +38,7 @@ _KIND[:0x21] = 0
 _SAME = np.uint64(0x5265706561746564)
 
 
-def _ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+def _ngrams(c: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the chunk's unigrams and bigrams in text order, and where each text's begin.
 
     Tokens are runs of letters, digits and non-ASCII characters, or of ASCII punctuation. A token equal to the one
@@ -46,53 +55,67 @@ def _ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     h = np.where(same, _SAME, h)
     pair = mix(np.concatenate((np.zeros(1, np.uint64), h[:-1]))[: len(h)] * np.uint64(3) + h)
     grams = np.empty(2 * len(h), np.int64)
-    grams[0::2] = (h % np.uint64(BUCKETS)).astype(np.int64)
-    grams[1::2] = (np.where(inner, pair, mix(h + np.uint64(1))) % np.uint64(BUCKETS)).astype(np.int64)
+    grams[0::2] = (h % np.uint64(buckets)).astype(np.int64)
+    grams[1::2] = (np.where(inner, pair, mix(h + np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
     return grams, 2 * of
 
 
 @dataclass
 class Ratio:
-    """Log ratio of each bucket, and the weight that tells good from bad."""
+    """Log ratio of each bucket in units of 1 / UNIT, and the weight that tells good from bad."""
 
     by_bucket: np.ndarray
     threshold: float
 
 
-def _counts(labelled: DataFrame) -> np.ndarray:
-    """(text, quality) -> counts of the raw and the target model; counted in each batch, summed by bucket."""
+def bucket_count(documents: DataFrame) -> int:
+    """How many buckets the models of these documents have."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST, 1 << math.ceil(math.log2(max(1, BUCKETS_BY * size)) / 2))
+
+
+def _tally(total: np.ndarray, grams: np.ndarray) -> None:
+    if len(total) <= 4 * len(grams):
+        total += np.bincount(grams, minlength=len(total))
+    else:
+        np.add.at(total, grams, 1)
+
+
+def _counts(labelled: DataFrame, buckets: int) -> np.ndarray:
+    """(text, quality) -> counts of the raw and the target model; counted in each task, summed by bucket."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for b in batches:
             good = np.array([q == 1 for q in b.column(1).to_pylist()], bool)
             for c in chunks(b.column(0)):
-                grams, at = _ngrams(c)
-                total[0] += np.bincount(grams, minlength=BUCKETS)
-                total[1] += np.bincount(grams[np.repeat(good[c.first : c.first + c.n], np.diff(at))], minlength=BUCKETS)
+                grams, at = _ngrams(c, buckets)
+                _tally(total[0], grams)
+                if (some := good[c.first : c.first + c.n]).any():
+                    _tally(total[1], grams[np.repeat(some, np.diff(at))])
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["bucket", "raw", "target"])
 
-    out = np.zeros((2, BUCKETS))
-    for r in labelled.mapInArrow(of, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        out[:, r["bucket"]] = r["raw"], r["target"]
+    few = labelled.coalesce(TASKS * labelled.sparkSession.sparkContext.defaultParallelism)
+    counted = few.mapInArrow(of, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows, out = counted.toArrow(), np.zeros((2, buckets))
+    out[:, rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     return out
 
 
-def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def _weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """docs (doc_id, ..., text) -> the same columns with n_grams, log_weight and noisy_weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, weight = [np.zeros(0, np.int64)], [np.zeros(0)]
+            n, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for c in chunks(b.column("text")):
-                grams, at = _ngrams(c)
+                grams, at = _ngrams(c, len(shared.value))
                 n.append(np.diff(at))
-                total = np.concatenate(([0.0], np.cumsum(shared.value[grams])))
+                total = np.concatenate(([0], np.cumsum(shared.value[grams])))
                 weight.append(total[at[1:]] - total[at[:-1]])
-            weight = np.round(np.concatenate(weight), 6)  # sums differ in their last bits with a text's place in its chunk
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n)), pa.array(weight)], names=[*b.schema.names, "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n)), pa.array(np.concatenate(weight) / UNIT)], names=[*b.schema.names, "n_grams", "log_weight"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return docs.mapInArrow(of, grown(docs.schema.fields, "n_grams long, log_weight double")).withColumn("noisy_weight", F.col("log_weight") - F.log(-F.log(uniform)))
@@ -119,11 +142,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, s
 
     Without labels of both kinds every document passes; texts are taken whole, null as empty."""
     labelled = columns(documents, "doc_id", "text").join(F.broadcast(_sample(labels, max_labels)), "doc_id", "left")
-    raw, target = _counts(labelled.select("text", "quality"))
-    ratio = np.log((target + smooth) / (target.sum() + smooth * BUCKETS)) - np.log((raw + smooth) / (raw.sum() + smooth * BUCKETS))
-    known = _scored(labelled.filter("quality IS NOT NULL"), ratio).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("log_weight").alias("w"))
-    rows = known.limit(max_labels).toPandas()
-    return Ratio(ratio, _threshold(rows["w"].to_numpy(float), rows["quality"].to_numpy() == 1))
+    buckets = bucket_count(documents)
+    raw, target = _counts(labelled.select("text", "quality"), buckets)
+    ratio = np.log((target + smooth) / (target.sum() + smooth * buckets)) - np.log((raw + smooth) / (raw.sum() + smooth * buckets))
+    units = np.rint(ratio * UNIT).astype(np.int64)
+    known = _weighed(labelled.filter("quality IS NOT NULL"), units).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("log_weight").alias("w"))
+    rows = known.toPandas()  # a row for each labelled doc_id that is used: max_labels at most
+    return Ratio(units, _threshold(rows["w"].to_numpy(float), rows["quality"].to_numpy() == 1))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -153,15 +178,18 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 
 def resampled(documents: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_labels: int = MAX_LABELS) -> DataFrame:
-    """The carried columns (doc_id among them) and text with n_grams, log_weight, noisy_weight and kept (in the sample).
+    """The carried columns (doc_id among them, text if it is named) with n_grams, log_weight, noisy_weight and kept (in the
+    sample). Texts are weighed once; what is carried is written with their weights.
 
-    The sample has as many documents as reach the threshold; rows that tie with the last one are all in. The noise is a
-    function of doc_id (null is one value), so that repeated rows share their fate. Empty texts have weight 0."""
+    The sample has as many documents as reach the threshold; rows that tie with the last one are all in. Equal texts have
+    equal weights, and the noise is a function of doc_id (null is one value), so that repeated rows share their fate. Empty
+    texts have weight 0."""
     ratio = fit(documents, labels, max_labels)
-    slim = cut(_scored(columns(documents, "doc_id", "text"), ratio.by_bucket).select("log_weight", "noisy_weight"), "weights")
-    k = slim.filter(F.col("log_weight") >= ratio.threshold).count()
-    last = kth_largest(slim, "noisy_weight", k)
-    return _scored(columns(documents, *carry, "text"), ratio.by_bucket).withColumn("kept", F.col("noisy_weight") >= last)
+    rows = _weighed(columns(documents, *dict.fromkeys((*carry, "text"))), ratio.by_bucket)
+    weighed = cut(rows.select(*carry, "n_grams", "log_weight", "noisy_weight"), "weights", "lz4")
+    k = weighed.filter(F.col("log_weight") >= ratio.threshold).count()
+    last = kth_largest(weighed, "noisy_weight", k)
+    return weighed.withColumn("kept", F.col("noisy_weight") >= last)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,4 +199,4 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filtered(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents in the sample, columns as they were."""
-    return unpacked(resampled(packed(documents, "doc_id"), labels, carry=("_row", "doc_id")).filter("kept"), documents)
+    return unpacked(resampled(packed(documents, "doc_id"), labels, carry=("_row", "doc_id", "text")).filter("kept"), documents)

@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most `radius` bits agree on at least blocks-radius of their equal bit blocks, so
 every choice of that many blocks deals the fingerprints into shards that hold each pair at least once.  A shard gets
 its own BK-tree (children keyed by the integer distance to the parent) and every member follows only the edges within
-the radius.  Trees travel to their shard's task, not to all executors: together they grow with the corpus.
+the radius.  Shards that are too large for one tree are dealt again by their free bits, as often as it takes.  Trees
+travel to their shard's task, not to all executors: together they grow with the corpus.
 """
 
 from __future__ import annotations
@@ -62,7 +63,8 @@ def fingerprints(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), shi
     """The carried columns and fp (64 bits as a long) of each row's whole text.
 
     Words are runs without ASCII white space, A-Z lower-cased; a bit is set if it is in over half of the XXH64 values
-    (seed 42) of the shingles, repeats counted. Fewer words than a shingle: the whole sequence. None, or null: zero."""
+    (seed 42) of the shingles, repeats counted. Fewer words than a shingle: the whole sequence. None, or null: zero. A text
+    of any length is taken whole, its bits counted in parts of 65,536 shingles."""
     docs = columns(documents, *carry, "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,88 +126,61 @@ def classes(values: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def classes_by_flips(values: np.ndarray, radius: int, free: int) -> np.ndarray:
-    """The same for very large shards: look up every value with up to radius of the free bits flipped, in one sorted array."""
-    order = np.argsort(values)
-    ranked = values[order]
-    rank = np.arange(len(values))
-    bits = [np.uint64(1 << k) for k in range(64) if free >> k & 1]
-    label = np.arange(len(values))
-    pairs = []
-    for r in range(1, radius + 1):
-        for some in combinations(bits, r):
-            other = ranked ^ np.uint64(sum(map(int, some)))
-            at = np.minimum(np.searchsorted(ranked, other), len(ranked) - 1)
-            ok = (ranked[at] == other) & (at > rank)
-            pairs.append(np.stack([rank[ok], at[ok]], 1))
-    links = np.concatenate(pairs)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, links[:, 0], label[links[:, 1]])
-        np.minimum.at(label, links[:, 1], label[links[:, 0]])
-        label = label[label]
-        if (label == before).all():
-            break
-    out = np.empty_like(label)
-    out[order] = order[label]
-    return out
-
-
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _link_shards(shards: DataFrame, radius: int) -> DataFrame:
-    """shards (members array<long>, free long: the bits in which members can differ) -> edges from members to their class."""
+    """shards (members array<long>) -> edges from members to their class."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            members, free = b.column(0), b.column(1).to_pylist()
             for i in range(b.num_rows):
-                fp = members[i].values.to_numpy()
-                values = fp.view(np.uint64)
-                label = classes(values, radius) if len(fp) <= SHARD else classes_by_flips(values, radius, free[i] & 0xFFFFFFFFFFFFFFFF)
+                fp = b.column(0)[i].values.to_numpy()
+                label = classes(fp.view(np.uint64), radius)
                 moved = np.flatnonzero(label != np.arange(len(fp)))
                 us.append(fp[moved])
                 vs.append(fp[label[moved]])
             yield batch(_EDGES, np.concatenate(us), np.concatenate(vs))
 
-    return shards.select("members", "free").mapInArrow(of, "u long, v long")
+    return shards.select("members").mapInArrow(of, "u long, v long")
 
 
 def _blocks(bits: list[int], n: int) -> list[int]:
-    """The bits in n nearly equal runs, as masks."""
-    return [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+    """The bits in n nearly equal runs, as masks; empty runs fall away."""
+    return [m for k in range(n) if (m := sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]))]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _deal(df: DataFrame, masks: list[int]) -> DataFrame:
-    """One row per mask: the key is what the mask shows, free the bits that neither it nor an earlier mask shows."""
-    each = F.explode(F.array(*[F.lit(_signed(m)) for m in masks]))
-    return df.withColumn("_m", each).select("fp", F.col("mask").bitwiseOR(F.col("_m")).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+def _deal(df: DataFrame, onward: dict[int, list[int]]) -> DataFrame:
+    """df (fp, mask), one row for each mask that its mask goes on to: mask, and key, what it shows of fp."""
+    to = F.create_map(*[x for m, more in onward.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in more]))])
+    return df.select("fp", F.explode(to[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def links(fps: DataFrame, radius: int = 2, blocks: int = 4, shard: int = SHARD) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (column fp, distinct) reachable by steps of at most radius bits.
 
-    Shards of one member are dropped before any is gathered; those over the bound are dealt again by their free bits,
-    which leaves at most 2**22 possible members. What is still over the bound is linked by bit flips instead of a tree."""
+    Shards of one member are dropped before any is gathered. Those of more than `shard` members are dealt again by radius + 1
+    blocks of their free bits, one of which every near pair shares; a few such rounds leave fewer free bits than make up that
+    many members."""
     masks = [sum(some) for some in combinations(_blocks(list(range(64)), blocks), blocks - radius)]
-    dealt = _deal(fps.select("fp", F.lit(0).cast("long").alias("mask")), masks)
-    counted = dealt.groupBy("mask", "key").agg(F.count("*").alias("n"))
-    several = dealt.join(counted.filter("n > 1"), ["mask", "key"])
-    gather = [F.collect_list("fp").alias("members")]
-    few = several.filter(F.col("n") <= shard).groupBy("mask", "key").agg(*gather)
-    again = []
-    for m in masks:
-        free = [b for b in range(64) if not m >> b & 1]
-        again.append(_deal(several.filter((F.col("n") > shard) & (F.col("mask") == _signed(m))).select("fp", "mask"), _blocks(free, radius + 1)))
-    many = reduce(DataFrame.unionAll, again).groupBy("mask", "key").agg(*gather).filter(F.size("members") > 1)
-    found = few.unionAll(many).withColumn("free", F.bitwise_not("mask"))
-    return _link_shards(found, radius)
+    dealt = _deal(fps.select("fp", F.lit(0).cast("long").alias("mask")), {0: masks})
+    found = []
+    while True:
+        counted = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        several = cut(dealt.join(counted, ["mask", "key"]), "shards", "lz4")
+        fits = (F.col("n") <= shard) | (F.bit_count(F.bitwise_not("mask")) <= radius)
+        found.append(_link_shards(several.filter(fits).groupBy("mask", "key").agg(F.collect_list("fp").alias("members")), radius))
+        many = several.filter(~fits)
+        if many.first() is None:
+            return reduce(DataFrame.unionAll, found)
+        onward = {m: [m | k for k in _blocks([b for b in range(64) if not m >> b & 1], radius + 1)] for m in masks}
+        masks = sorted({k for more in onward.values() for k in more})
+        dealt = _deal(many.select("fp", "mask"), onward)
 
 
 def rooted(docs: DataFrame, radius: int) -> DataFrame:
@@ -221,10 +196,10 @@ def near_duplicates(documents: DataFrame, radius: int = 2, shingle: int = 3) ->
     Equal fingerprints (empty texts too) are linked. Repeated rows stay; a null doc_id gets its component's smallest id,
     or null if the component has none."""
     docs = cut(fingerprints(documents, shingle=shingle), "simhash")
-    rooted = rooted(docs, radius)
-    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    roots = rooted(docs, radius)
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
+    by_fp = roots.join(ids, "root").select("fp", "component_id")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -240,9 +215,9 @@ def one_of_each(documents: DataFrame, radius: int = 2, shingle: int = 3) -> Data
     Of rows with the same doc_id and text one stays, whichever."""
     keys = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b")]
     docs = cut(fingerprints(documents.select("doc_id", "text", *keys), ("doc_id", "_a", "_b"), shingle), "simhash")
-    rooted = rooted(docs, radius)
+    roots = rooted(docs, radius)
     first = F.min(F.struct("doc_id", "_a", "_b")).alias("first")
-    per_fp = docs.groupBy("fp").agg(first).join(rooted, "fp")
+    per_fp = docs.groupBy("fp").agg(first).join(roots, "fp")
     kept = per_fp.groupBy("root").agg(F.min("first").alias("first")).select("first._a", "first._b")
     rows = packed(documents, "doc_id").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64("text", "doc_id")})
     return unpacked(rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), documents)

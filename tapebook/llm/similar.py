@@ -2,7 +2,8 @@
 
 SimHash links within two bits reach near-identical texts only (texts of similarity 0.8 differ in 5 to 14 of 64 bits).
 This pass goes beyond them: 16 bands of 4 minimum hashes bring candidates together (a pair of similarity 0.8 meets with
-probability 0.9998), candidates are verified on their whole texts, and verified links make components.
+probability 0.9998), parity sketches rule out what cannot be similar, the rest is verified on whole texts, and verified
+links make components.
 
 A bucket's members are compared with two heads of it first.  Buckets whose members are then still in several components
 are gone through pair by pair: every pair over two components whose parity sketches do not rule the similarity out is
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapebook.llm import simhash
-from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, mix, packed, span_hash, unpacked, words
+from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, mix, packed, span_hash, unpacked, window_hash, words
 from tapebook.llm.graph import components
 
 BANDS, ROWS = 16, 4
@@ -30,6 +31,8 @@ LEFT, RIGHT = 2048, 8192
 #: With more open pairs than these, the shares of all pairs that rounds go up to.
 AT_ONCE = 1_000_000
 SHARES = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)
+#: A document's text goes to its pairs' tasks once for so many pairs.
+SHARE = 256
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
 
 
@@ -41,40 +44,61 @@ def shingles(c: Chunk, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(w.of)
     count = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
     of = np.concatenate(([0], np.cumsum(count)))
-    first = np.arange(of[-1]) + np.repeat(w.of[:-1] - of[:-1], count)
-    return span_hash(h, first, np.minimum(first + size, np.repeat(w.of[1:], count))), of
-
-
-def _bands(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """Per text its band keys; texts without words have none (a row of zeros)."""
-    for c in chunks(column):
-        h, of = shingles(c, size)
-        full = np.flatnonzero(np.diff(of))
-        out = np.zeros((c.n, BANDS), np.int64)
-        for b in range(BANDS if len(full) else 0):
-            key = np.zeros(len(full), np.uint64)
-            for r in range(ROWS):
-                key = mix(key + np.minimum.reduceat(h * _ODD[b, r], of[full]))
-            out[full, b] = key.view(np.int64)
-        yield out
-
-
-def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(node, bands) of docs (node, text) with words."""
+    out = np.zeros(of[-1], np.uint64)
+    for k in range(1, size + 1):
+        some = np.flatnonzero(n == k if k < size else n >= size)
+        if len(some):
+            place = np.arange(count[some].sum()) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            out[np.repeat(of[some], count[some]) + place] = window_hash(h, k)[np.repeat(w.of[some], count[some]) + place]
+    return out, of
+
+
+def _bands(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Per text its band keys (texts without shingles: zeros)."""
+    full = np.flatnonzero(np.diff(of))
+    out = np.zeros((len(of) - 1, BANDS), np.int64)
+    for b in range(BANDS if len(full) else 0):
+        key = np.zeros(len(full), np.uint64)
+        for r in range(ROWS):
+            key = mix(key + np.minimum.reduceat(h * _ODD[b, r], of[full]))
+        out[full, b] = key.view(np.int64)
+    return out
+
+
+def _parities(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each text's shingles the number of different ones, and for each of BITS places whether an odd number of them falls
+    there. Two sets differ in at least as many shingles as their sketches in bits."""
+    n = len(of) - 1
+    text = np.repeat(np.arange(n), np.diff(of))
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    fresh = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+    text, h = text[fresh], h[fresh]
+    odd = np.bincount(text * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
+    return np.bincount(text, minlength=n), [row.tobytes() for row in np.packbits(odd.astype(bool).reshape(n, BITS), axis=1)]
+
+
+def sketched(docs: DataFrame, size: int) -> DataFrame:
+    """(node, bands, many, bits) of docs (node, text): band keys, number of different shingles, parities. Texts without words
+    have no row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.concatenate([*_bands(b.column(1), size), np.zeros((0, BANDS), np.int64)])
-            some = np.flatnonzero(keys.any(axis=1))
-            at = pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.ListArray.from_arrays(at, pa.array(keys[some].ravel()))], names=["node", "bands"])
+            for c in chunks(b.column(1)):
+                h, at = shingles(c, size)
+                keys = _bands(h, at)
+                many, bits = _parities(h, at)
+                some = np.flatnonzero(many)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys[some].ravel()))
+                node = b.column(0).slice(c.first, c.n).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([node, lists, pa.array(many[some]), pa.array([bits[i] for i in some], pa.binary())], names=["node", "bands", "many", "bits"])
 
-    return docs.mapInArrow(of, "node long, bands array<long>")
+    return docs.mapInArrow(of, "node long, bands array<long>, many long, bits binary")
 
 
-def buckets(docs: DataFrame, size: int) -> DataFrame:
+def buckets(sketches: DataFrame) -> DataFrame:
     """(band, key, node, n, score): the members of buckets with several; n of this bucket, score the sum of all the node's."""
-    keyed = cut(_sketched(docs, size).select("node", F.posexplode("bands").alias("band", "key")), "bands", "lz4")
+    keyed = sketches.select("node", F.posexplode("bands").alias("band", "key"))
     several = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     member = keyed.join(several, ["band", "key"])
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
@@ -82,33 +106,30 @@ def buckets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(rated: DataFrame) -> DataFrame:
-    """(u, v): each document with two others of each band bucket that it is in: the smallest node, and the one that shares
+    """(u, v): each document u with two others of each band bucket that it is in: the smallest node, and the one that shares
     most buckets with others (the original of a group of copies). Linear in a bucket's size; open_pairs() has the rest."""
     heads = rated.groupBy("band", "key").agg(F.min("node").alias("least"), F.max(F.struct("score", "node")).alias("most"))
     pairs = rated.join(heads.select("band", "key", "least", F.col("most.node").alias("most")), ["band", "key"])
-    return pairs.select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")).filter("u <> v").distinct()
+
+
+def _can(away: np.ndarray, mu: np.ndarray, mv: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of so many shingles, whose sketches are so many bits apart, can reach the similarity."""
+    return away * (1 + similarity) <= (mu + mv) * (1 - similarity) + 1e-6
 
 
-def parities(docs: DataFrame, size: int) -> DataFrame:
-    """(node, many, bits) of docs (node, text): the number of different shingles, and for each of BITS places whether an odd
-    number of them falls there. Two sets differ in at least as many shingles as their sketches in bits."""
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that their sketches do not rule out."""
+    side = lambda n: sketches.select(F.col("node").alias(n), F.col("many").alias(f"m{n}"), F.col("bits").alias(f"b{n}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "mu", "mv", "bu", "bv")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            many, bits = [np.zeros(0, np.int64)], []
-            for c in chunks(b.column(1)):
-                h, at = shingles(c, size)
-                text = np.repeat(np.arange(c.n), np.diff(at))
-                order = np.lexsort((h, text))
-                text, h = text[order], h[order]
-                fresh = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
-                text, h = text[fresh], h[fresh]
-                many.append(np.bincount(text, minlength=c.n))
-                odd = np.bincount(text * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=c.n * BITS) & 1
-                bits += [row.tobytes() for row in np.packbits(odd.astype(bool).reshape(c.n, BITS), axis=1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(many)), pa.array(bits, pa.binary())], names=["node", "many", "bits"])
+            mu, mv = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            bu, bv = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
+            yield b.filter(pa.array(_can(np.bitwise_count(bu ^ bv).sum(axis=1, dtype=np.int64), mu, mv, similarity))).select([0, 1])
 
-    return docs.mapInArrow(of, "node long, many long, bits binary")
+    return both.mapInArrow(of, "u long, v long")
 
 
 def open_buckets(rated: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +145,7 @@ def open_buckets(rated: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
 def open_pairs(member: DataFrame, opened: DataFrame, sketches: DataFrame, low: float, high: float, similarity: float) -> DataFrame:
     """(u, v): the pairs of a bucket's members of different components, of the share low to high of all pairs, that can reach
     the similarity by their sketches. Members outside the bucket's largest component meet all members, in bounded groups."""
-    rows = member.join(opened, ["band", "key"]).join(sketches, "node")
+    rows = member.join(opened, ["band", "key"]).join(sketches.select("node", "many", "bits"), "node")
     rows = rows.withColumns({"lefts": F.ceil(F.col("lefts") / LEFT), "rights": F.ceil(F.col("n") / RIGHT), "is_main": F.col("root") == F.col("main")})
     place = F.xxhash64("node", "band")
     each = ["node", "root", "many", "bits", "is_main"]
@@ -150,7 +171,7 @@ def open_pairs(member: DataFrame, opened: DataFrame, sketches: DataFrame, low: f
                     for z in range(0, len(i), 50_000):
                         u, v = i[z : z + 50_000], j[z : z + 50_000]
                         away = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
-                        can = away * (1 + similarity) <= (many[u] + many[v]) * (1 - similarity) + 1e-6
+                        can = _can(away, many[u], many[v], similarity)
                         u, v = node[u[can]], node[v[can]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
@@ -158,54 +179,62 @@ def open_pairs(member: DataFrame, opened: DataFrame, sketches: DataFrame, low: f
 
 
 def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+    if min(len(x), len(y)) + 1e-9 < similarity * max(len(x), len(y)):
         return False
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return common >= similarity * (len(x) + len(y) - common)
+    return common + 1e-9 >= similarity * (len(x) + len(y) - common)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets reach the similarity, taken on whole texts."""
-    texts = lambda n: docs.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    both = pairs.join(texts("u"), "u").join(texts("v"), "v").select("u", "v", "tu", "tv")
+    """The pairs (u, v) whose shingle sets reach the similarity, taken on whole texts.
+
+    A pair carries the text of u; that of v comes before SHARE or so of its pairs, sorted to one task, which goes through
+    them one after another: it holds one set besides a batch, however many pairs v has."""
+    text = lambda n: docs.select(F.col("node").alias(n), "text")
+    shares = pairs.groupBy("v").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    dealt = pairs.join(shares, "v").select("u", "v", F.pmod(F.xxhash64("u"), "shares").alias("share"))
+    heads = dealt.select("v", "share").distinct().join(text("v"), "v").select("v", "share", F.lit(None).cast("bigint").alias("u"), "text")
+    rows = heads.unionByName(dealt.join(text("u"), "u").select("v", "share", "u", "text"))
+    in_order = rows.repartition("v", "share").sortWithinPartitions("v", "share", F.col("u").asc_nulls_first()).select("v", "u", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 100):  # the shingles of so many pairs at once
-                b = whole.slice(first, 100)
-                sets: list[list[np.ndarray]] = [[], []]
-                for side in (0, 1):
-                    for c in chunks(b.column(2 + side)):
-                        h, at = shingles(c, size)
-                        sets[side] += [np.unique(h[a:z]) for a, z in zip(at[:-1], at[1:])]
-                keep = [i for i, (x, y) in enumerate(zip(*sets)) if _alike(x, y, similarity)]
-                yield b.take(pa.array(keep, pa.int64())).select([0, 1])
+        head = np.zeros(0, np.uint64)
+        for b in batches:
+            v, u = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keep: list[int] = []
+            for c in chunks(b.column(2)):
+                h, at = shingles(c, size)
+                for i in range(c.n):
+                    own = np.unique(h[at[i] : at[i + 1]])
+                    if u[c.first + i] is None:
+                        head = own
+                    elif _alike(own, head, similarity):
+                        keep.append(c.first + i)
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
 
-    return both.mapInArrow(of, "u long, v long")
+    return in_order.mapInArrow(of, "u long, v long")
 
 
 def grouped(docs: DataFrame, size: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes of docs (node, text; nodes distinct) that are similar to others, or linked by known edges."""
-    rated = buckets(docs, size)
+    sketches = cut(sketched(docs, size), "sketches", "lz4")
+    rated = buckets(sketches)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs")
+        pairs = cut(pairs, "pairs", "lz4")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = cut(docs.join(asked, "node", "left_semi"), "pair-texts")  # of candidates only
-        return cut(verified(pairs, texts, size, similarity), "similar")
+        texts = cut(docs.join(asked, "node", "left_semi"), "pair-texts", "lz4")  # of candidates only
+        return cut(verified(pairs, texts, size, similarity), "similar", "lz4")
 
-    links = linked(candidates(rated))
+    links = linked(possible(candidates(rated), sketches, similarity))
     links = links if known is None else links.unionAll(known)
     found = components(links)
-    sketches, low = None, 0.0
+    low = 0.0
     while low < 1:
         member, opened = open_buckets(rated, found)
         work = opened.agg(F.sum(F.col("lefts") * F.col("n"))).first()[0]
         if not work:
             break
-        if sketches is None:
-            asked = member.join(opened, ["band", "key"], "left_semi").select("node").distinct()
-            sketches = cut(parities(docs.join(asked, "node", "left_semi"), size), "parities")
         high = 1.0 if work <= AT_ONCE else min(s for s in SHARES if s > low)
         new = linked(open_pairs(member, opened, sketches, low, high, similarity))
         if new.first() is not None:

@@ -6,16 +6,18 @@ import numpy as np
 
 
 def suffix_array(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, longest common prefix of each with the one before it) for word ids; text i has of[i]:of[i+1].
+    """(suffixes in order, longest common prefix of each with the one before it) for small word numbers; text i has
+    of[i]:of[i+1].
 
-    Suffixes are ordered within their text, texts one after another; no prefix reaches over a text's end."""
+    Suffixes are ordered within their text, texts one after another; no prefix reaches over a text's end. Ranks are kept
+    once per doubling, in four bytes a word: as many times as the longest repeat's length has bits."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = np.diff(of)
     text = np.repeat(np.arange(len(size)), size)
     stop = np.repeat(of[1:], size)
-    first = np.unique(ids, return_inverse=True)[1] + text * (n + 1)
+    first = ids.astype(np.int64) + text * (int(ids.max()) + 1)
     sa = np.argsort(first, kind="stable")
     sorted_first = first[sa]
     head = np.maximum.accumulate(np.where(np.concatenate(([True], sorted_first[1:] != sorted_first[:-1])), np.arange(n), 0))
@@ -24,7 +26,7 @@ def suffix_array(ids: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     levels, k = [], 1
     place = np.arange(n)
     while True:
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
         start = rank[sa[place]]
         many = np.bincount(start, minlength=n)[start] > 1
         place = place[many]

@@ -1,15 +1,17 @@
 """Operator 1: toxicity by a counterfactual-regularised classifier.
 
-A sparse logistic regression over words and word beginnings (each counted twice at most).  For every labelled text that names a
-group, a counterfactual copy names another group of the same kind instead; training penalises the squared change of the
-score between the two, so that a neutral mention of a group moves no score.
+A sparse logistic regression over words and word beginnings (each counted twice at most).  Every labelled text has
+counterfactual copies that differ in a neutral mention of a group: one that names a group names another of the same kind
+instead; one that names none gets a mention put in, and then another of the same kind in its place.  Training penalises
+the squared change of the score between a text and its copies, so that a neutral mention of a group moves no score.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,40 @@ MAX_FEATURES = 4096
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 
-#: Terms that name groups, by kind; each is swapped with the next of its kind and language.
+#: Rows that a table of group terms may have.
+MAX_TERMS = 10_000
+
+#: Terms that name groups, by kind; the default of fit()'s terms.
 IDENTITY = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"), ("black", "white", "asian", "latino"),
-    ("africans", "europeans", "asians", "americans"), ("mexican", "chinese", "german", "french", "spanish", "turkish", "polish"),
-    ("immigrants", "natives", "refugees"), ("disabled", "deaf", "blind", "autistic"), ("elderly", "young"),
-    ("frauen", "männer"), ("muslime", "christen", "juden"), ("ausländer", "deutsche"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
-    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"), ("mothers", "fathers"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "atheists", "catholics", "protestants"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "atheist", "catholic", "protestant"),
+    ("gay", "straight", "lesbian", "bisexual", "queer"), ("transgender", "cisgender", "nonbinary"), ("black", "white", "asian", "latino", "hispanic", "indigenous"),
+    ("africans", "europeans", "asians", "americans", "arabs", "indians"),
+    ("mexican", "chinese", "german", "french", "spanish", "turkish", "polish", "indian", "russian", "japanese", "korean", "african", "arab", "italian", "nigerian"),
+    ("immigrants", "natives", "refugees", "migrants"), ("disabled", "deaf", "blind", "autistic"), ("elderly", "young", "teenage"),
+    ("frauen", "männer"), ("muslime", "christen", "juden", "atheisten"), ("ausländer", "deutsche", "flüchtlinge"), ("schwule", "lesben"),
+    ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs", "athées"), ("étrangers", "français", "réfugiés"),
+    ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos", "ateos"), ("extranjeros", "españoles", "refugiados"),
 )
 
 
+def groups_of(terms: DataFrame | tuple[tuple[str, ...], ...]) -> tuple[tuple[str, ...], ...]:
+    """The terms by kind, of a table (kind, term) of at most MAX_TERMS rows, or as they are. Kinds of one term have nothing to
+    swap and fall away."""
+    if not isinstance(terms, DataFrame):
+        return terms
+    rows = columns(terms, "kind", "term").dropna().distinct().orderBy("kind", "term").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} group terms")
+    kinds: dict = {}
+    for r in rows:
+        kinds.setdefault(r["kind"], []).append(r["term"].lower())
+    return tuple(tuple(t) for t in kinds.values() if len(t) > 1)
+
+
 def swaps(groups: tuple[tuple[str, ...], ...] = IDENTITY) -> dict[str, str]:
+    """Each term's successor in its kind."""
     return {t: g[(k + 1) % len(g)] for g in groups for k, t in enumerate(g)}
 
 
@@ -48,6 +71,13 @@ def swapped(text: str, table: dict[str, str]) -> str | None:
     return out if n else None
 
 
+def mentioned(text: str, table: dict[str, str]) -> tuple[str, str]:
+    """The text with a mention of a group put in, and with that of another; which ones depends on the text only."""
+    terms = sorted(table)
+    term = terms[zlib.crc32(text.encode()) % len(terms)]
+    return f"{text} {term}", f"{text} {table[term]}"
+
+
 _patterns: dict[tuple[str, ...], re.Pattern] = {}
 
 
@@ -84,11 +114,13 @@ def _distinct(h: np.ndarray, text: np.ndarray, most: int = 1) -> tuple[np.ndarra
 
 @dataclass
 class Model:
-    """Sorted feature hashes with their weights, and a filter over the hashes' top bits."""
+    """Sorted feature hashes with their weights, and a filter over the hashes' top bits. pairs: how many counterfactual pairs
+    it was trained with, of texts that name a group (swapped) and of those that name none (inserted)."""
 
     hashes: np.ndarray
     weight: np.ndarray
     bias: float
+    pairs: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.near = np.zeros(1 << 20, bool)
@@ -153,8 +185,28 @@ def _term_features(table: dict[str, str]) -> np.ndarray:
     return np.unique(np.concatenate([_features(c)[0] for c in chunks(pa.array(sorted(table)))] or [np.zeros(0, np.uint64)]))
 
 
+def _known_lists(texts: list[str], model: Model) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for c in chunks(pa.array(texts, pa.string())):
+        at, text = model.known(c)
+        out += np.split(at, np.searchsorted(text, np.arange(1, c.n)))
+    return out
+
+
+def _change(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[float]]:
+    """The features whose counts differ between two texts, and by how much."""
+    names, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
+    by = np.bincount(inverse[: len(a)], minlength=len(names)) - np.bincount(inverse[len(a) :], minlength=len(names))
+    return names[by != 0].tolist(), by[by != 0].astype(float).tolist()
+
+
+_EXAMPLES = "toxic int, own array<long>, named boolean, changes array<struct<at:array<long>,by:array<double>>>"
+
+
 def _examples(train: DataFrame, hashes: np.ndarray, table: dict[str, str]) -> tuple:
-    """Known features of the training texts and of their counterfactual copies: one small row per text."""
+    """Known features of the training texts, and what changes in their counterfactual copies: one small row per text.
+
+    A text that names a group has one change (to its swapped copy), another text two (to a mention, and from it to another)."""
     shared = train.sparkSession.sparkContext.broadcast((hashes, table))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,21 +214,18 @@ def _examples(train: DataFrame, hashes: np.ndarray, table: dict[str, str]) -> tu
         model = Model(names, np.zeros(len(names)), 0.0)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            other = [swapped(t, swap) for t in texts]
-            sides = []
-            for side in (texts, [t or "" for t in other]):
-                lists = []
-                for c in chunks(pa.array(side, pa.string())):
-                    at, text = model.known(c)
-                    lists += [x.tolist() for x in np.split(at, np.searchsorted(text, np.arange(1, c.n)))]
-                sides.append(lists)
-            pair = [t is not None for t in other]
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sides[0], ints), pa.array(sides[1], ints), pa.array(pair)], names=["toxic", "own", "other", "pair"])
-
-    rows = train.select("text", "toxic").mapInArrow(of, "toxic int, own array<long>, other array<long>, pair boolean").toPandas()
-    y = rows["toxic"].to_numpy(float)
-    return y, list(rows["own"]), list(rows["other"]), rows["pair"].to_numpy(bool)
+            other = [swapped(t, swap) if swap else None for t in texts]
+            put = [mentioned(t, swap) if swap else (t, t) for t in texts]
+            own, named, one, two = (_known_lists(x, model) for x in (texts, [t or "" for t in other], [p[0] for p in put], [p[1] for p in put]))
+            changes = []
+            for i, t in enumerate(other):
+                pairs = [(own[i], named[i])] if t is not None else [(own[i], one[i]), (one[i], two[i])] if swap else []
+                changes.append([dict(zip(("at", "by"), _change(x, y))) for x, y in pairs])
+            kinds = pa.list_(pa.struct([("at", pa.list_(pa.int64())), ("by", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int64())), pa.array([t is not None for t in other]), pa.array(changes, kinds)], names=["toxic", "own", "named", "changes"])
+
+    rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(of, _EXAMPLES).toArrow().to_pydict()  # max_train rows at most
+    return np.array(rows["toxic"], float), rows["own"], np.array(rows["named"], bool), [(c["at"], c["by"]) for cs in rows["changes"] for c in cs]
 
 
 class _Sparse:
@@ -195,18 +244,21 @@ class _Sparse:
         return np.bincount(self.col, weights=r[self.row] * self.value, minlength=self.width)
 
 
-def train_weights(y: np.ndarray, own: list, other: list, pair: np.ndarray, width: int, fairness: float = 5.0, l2: float = 1e-5, l1: float = 5e-5, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated proximal gradient: log loss, the counterfactual penalty, l2 and l1."""
+def train_weights(
+    y: np.ndarray, own: list, changes: list[tuple[list, list]], width: int, fairness: float = 5.0, l2: float = 1e-5, l1: float = 5e-5, rounds: int = 600
+) -> tuple[np.ndarray, float]:
+    """Weights w and bias b by accelerated proximal gradient. The objective: the mean log loss of own against y, plus fairness
+    times the mean squared change of the score over changes (feature places, by how much), plus l2/2 |w|^2 and l1 |w|."""
     x = _Sparse(own, [np.ones(len(r)) for r in own], width)
-    both = [(a, b) for a, b, p in zip(own, other, pair) if p]
-    d = _Sparse([np.concatenate((a, b)) for a, b in both], [np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in both], width)
-    n, m = max(len(y), 1), max(len(both), 1)
-    v = np.ones(width) / max(width, 1) ** 0.5
-    for _ in range(20):  # the largest curvature, for the step
-        u = 0.25 * (x.back(x.dot(v)) + v.sum()) / n + 2 * fairness * d.back(d.dot(v)) / m + l2 * v
-        size = np.linalg.norm(u)
-        v = u / size if size else v
-    step = 1 / (1.1 * size + 0.3)
+    d = _Sparse([a for a, _ in changes], [np.asarray(v) for _, v in changes], width)
+    n, m = max(len(y), 1), max(len(changes), 1)
+    v, c = np.ones(width) / (width + 1) ** 0.5, 1 / (width + 1) ** 0.5
+    for _ in range(30):  # the largest curvature, for the step
+        z = x.dot(v) + c
+        u, e = 0.25 * x.back(z) / n + 2 * fairness * d.back(d.dot(v)) / m + l2 * v, 0.25 * z.sum() / n
+        size = (u @ u + e * e) ** 0.5
+        v, c = (u / size, e / size) if size else (v, c)
+    step = 1 / (1.1 * size + 1e-9)
     rate = min(max(y.mean() if len(y) else 0.0, 1e-4), 1 - 1e-4)
     w, b = np.zeros(width), float(np.log(rate / (1 - rate)))
     wz, bz, t = w, b, 1.0
@@ -222,20 +274,26 @@ def train_weights(y: np.ndarray, own: list, other: list, pair: np.ndarray, width
     return w, float(b)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, fairness: float = 5.0, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """A model from at most max_train labelled rows outside the held-out quarter. Without toxic (or without other) labels
-    it has no features and scores every text with the training rate."""
+def fit(
+    documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, fairness: float = 5.0, terms: DataFrame | tuple[tuple[str, ...], ...] = IDENTITY
+) -> Model:
+    """A model from at most max_train labelled rows outside the held-out quarter. terms: what names groups (see groups_of).
+
+    Of rows with one doc_id the smallest text counts, and it is toxic if one of its labels says so; rows with a null id or
+    label are no labels. Without toxic (or without other) labels there are no features, and every text is scored with the
+    training rate."""
     train = cut(_training(documents, labels, max_train), "toxic-train")
-    table = swaps(groups)
+    table = swaps(groups_of(terms))
     hashes = _chosen(train, max_features)
-    terms = _term_features(table) if len(hashes) else hashes
-    hashes = np.union1d(hashes, terms)
-    y, own, other, pair = _examples(train, hashes, table)
+    if len(hashes):
+        hashes = np.union1d(hashes, _term_features(table))
+    y, own, named, changes = _examples(train, hashes, table)
+    pairs = {"swapped": int(named.sum()), "inserted": len(changes) - int(named.sum())}
     if not len(hashes):
         rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
-        return Model(hashes, np.zeros(0), float(np.log(rate / (1 - rate))))
-    w, b = train_weights(y, own, other, pair, len(hashes), fairness)
-    return Model(hashes, w, b)
+        return Model(hashes, np.zeros(0), float(np.log(rate / (1 - rate))), pairs)
+    w, b = train_weights(y, own, changes, len(hashes), fairness)
+    return Model(hashes, w, b, pairs)
 
 
 def scored(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -252,6 +310,6 @@ def scored(documents: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (1 from a score of 0.3)."""
+    """Per document: doc_id, held_out, score, predicted (1 from a score of 0.3). Repeated rows stay, with one score each."""
     df = scored(documents, fit(documents, labels))
     return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

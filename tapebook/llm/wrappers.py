@@ -1,18 +1,21 @@
 """Operator 8: main text of pages through wrappers inferred per host.
 
-A wrapper is a union-free regular expression over a host's pages: nested elements, text slots, optional elements `?` and
-repeated groups `+`.  It starts from one page and is aligned with the others in turn: an element that one side lacks
-becomes optional, elements that recur become a repeated group, and texts become slots.  Alignment of wrappers with
-wrappers is the same step, so a host's pages are folded in salted shares first and the shares' wrappers afterwards; only
-structures that differ are aligned, however many pages share one.  The wrapper's slots inside the article are marked,
-and each page is read through its host's wrapper.
+A wrapper is a union-free regular expression over a host's pages: nested elements, texts, text slots, optional elements `?`
+and repeated groups `+`.  Pages are aligned one after another: an element that one side lacks becomes optional, elements
+that recur become a repeated group, and where texts differ the text becomes a slot.  What stays is the template: a text
+that stands at its place on all pages which have that place, of TEMPLATE_PAGES different pages or more.  Alignment of
+wrappers with wrappers is the same step, so each task folds its pages by host, and the tasks' wrappers are folded as a
+tree of small groups.  A page is read through its host's wrapper: the slots inside the best kind of content root that the
+page has are the main text, the template's texts are not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import columns, cut, grown
+from tapebook.llm.common import columns, drop_table, grown, write_table
 
-SALTS = 32
+#: About so many wrappers of a host are folded in one group of a round.
+FAN = 32
+#: A text is the template's if it stands on all of at least so many different pages.
+TEMPLATE_PAGES = 12
+#: Elements are nested so deep at most; deeper ones stand beside each other, as in browsers (which stop at some hundred).
+DEPTH = 100
+#: A task's wrappers are handed on when it holds those of so many hosts.
+HOSTS = 2_000
 #: Wrappers are broadcast up to these bytes, and joined by host beyond.
 BROADCAST_BYTES = 16_000_000
 
@@ -33,15 +43,21 @@ _RAW = frozenset("script style textarea title noscript iframe xmp template svg".
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_SKIPPED = frozenset("head nav header footer aside form button select dialog menu script style textarea title noscript iframe xmp template svg canvas object audio video".split())
-_SKIPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|side-?bar|comments?|comment-?list|disqus|replies|notices?|cookies?|consent|gdpr|banner|menu|nav\w*|footer|header|masthead|share|sharing|social|related|recommended|subscribe|newsletter|breadcrumbs?|popup|modal|login|signup|toolbar|pagination|widget)(?:$|[\s_-])",
-    re.I,
+_SKIPPED = frozenset("head nav footer aside form button select dialog menu script style textarea title noscript iframe xmp template svg canvas object audio video".split())
+_CONTAINERS = frozenset("div section ul ol dl table".split())
+
+#: Class, id and role names (whole ones) of containers that hold no main text.
+_SKIPPED_NAMES = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo sidebar side-bar comments comment-list disqus_thread replies notice notices cookie cookies "
+    "cookie-notice cookie-banner consent gdpr banner menu nav navbar navigation main-nav footer header masthead share sharing social related recommended subscribe newsletter "
+    "breadcrumb breadcrumbs popup modal login signup toolbar pagination widget complementary search".split()
 )
-_MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?content|entry-?content|main-?content|story|post|content)(?:$|[\s_-])", re.I)
+#: Names of containers that hold it.
+_MAIN_NAMES = frozenset("article article-body articlebody post-content entry-content main-content story post content".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOPS = re.compile(r"[>\"']")
 
 
 # ---------------------------------------------------------------- pages as nested elements
@@ -56,68 +72,155 @@ class Element:
         self.label, self.children = label, []
 
 
-@lru_cache(4096)
 def _label(tag: str, attributes: str) -> str:
-    names = []
-    for key, value in _NAMES.findall(attributes):
-        value = value.strip("\"'")
-        if key.lower() in ("class", "id", "role"):
-            names.append(re.sub(r"\d+", "", value).strip())
+    return _short_label(tag, attributes) if len(attributes) < 500 else _labelled(tag, attributes)
+
+
+def _labelled(tag: str, attributes: str) -> str:
+    names = [re.sub(r"\d+", "", value.strip("\"'")) for _, value in _NAMES.findall(attributes)]
     return " ".join([tag, *sorted(set(" ".join(names).split()))])
 
 
+_short_label = lru_cache(4096)(_labelled)
+
+
+class _Tags:
+    """The ends of a page's tags. A quote counts behind = only; once one is left open to the end of the page, none counts."""
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.last = page, False, page.rfind(">")
+
+    def end(self, at: int) -> int:
+        """The place of the > that closes the tag around at, or -1."""
+        if at > self.last:
+            return -1
+        place = at
+        while not self.loose:
+            m = _STOPS.search(self.page, place)
+            if m is None:
+                self.loose = True
+            elif m[0] == ">":
+                return m.start()
+            elif self.page[at : m.start()].rstrip()[-1:] == "=" if m.start() - at < 200 else self.page[m.start() - 1] == "=":
+                close = self.page.find(m[0], m.end())
+                self.loose = close < 0
+                place = close + 1
+            else:
+                place = m.end()
+        return self.page.find(">", at)
+
+
 def parse(page: str) -> Element:
-    """The page's elements. Missing end tags are implied as browsers do for paragraphs, items and cells; inline elements
-    leave no trace but their texts; comments, scripts and other raw elements leave none at all."""
+    """The page's elements, in one pass over it. Missing end tags are implied as browsers do for paragraphs, items and cells;
+    inline elements leave no trace but their texts; comments, scripts and other raw elements leave none at all."""
     root = Element("")
-    stack, tags, at, n = [root], [""], 0, len(page)
+    stack, tags = [root], [""]
+    opened: dict[str, int] = {}  # how often each tag is on the stack
+    beside: dict[str, int] = {}  # and how often it is open without being there, for its depth
+    ends, low, at, n = _Tags(page), None, 0, len(page)
+
+    def close(k: int) -> None:
+        for tag in tags[k:]:
+            opened[tag] -= 1
+        del stack[k:], tags[k:]
+
+    def last(tag: str) -> int:
+        return len(tags) - 1 - tags[::-1].index(tag) if tags[-1] != tag else len(tags) - 1
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             stack[-1].children.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        following = page[start + 1 : start + 2]
+        m = _TAG.match(page, start + 1)
+        if m is None and following not in ("!", "?"):  # no tag: a plain character
+            stack[-1].children.append(page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        if m is None:
+            mark, skip = ("-->", 4) if page.startswith("<!--", start) else ("]]>", 9) if page.startswith("<![CDATA[", start) else (">", 2)
+            stop = page.find(mark, start + skip)
+            at = stop + len(mark) if stop >= 0 else n
             continue
-        tag = m[2].lower()
-        if m[1]:
+        stop = ends.end(m.end())
+        if stop < 0:
+            stack[-1].children.append(page[start:])
+            break
+        at, tag, attributes = stop + 1, m[1].lower(), page[m.end() : stop]
+        if following == "/":
             if tag in _INLINE:
                 continue
-            if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
-                del stack[k:], tags[k:]
+            if beside.get(tag):
+                beside[tag] -= 1
+            elif opened.get(tag):
+                close(last(tag))
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            low = page.lower() if low is None else low
+            stop = low.find(f"</{tag}", at)
+            stop = page.find(">", stop) if stop >= 0 else -1
+            at = stop + 1 if stop >= 0 else n
             continue
         if tag in _INLINE:
             if tag == "br":
                 stack[-1].children.append(" ")
             continue
-        if tag in _CLOSES_P and "p" in tags:
-            k = len(tags) - 1 - tags[::-1].index("p")
-            del stack[k:], tags[k:]
-        if (ends := _CLOSED_BY.get(tag)) and tags[-1] in ends:
-            stack.pop()
-            tags.pop()
+        if tag in _CLOSES_P and opened.get("p"):
+            close(last("p"))
+        if (closed := _CLOSED_BY.get(tag)) and tags[-1] in closed:
+            close(len(tags) - 1)
         if tag == "tr" and tags[-1] == "tr":
-            stack.pop()
-            tags.pop()
-        e = Element(_label(tag, m[3]))
+            close(len(tags) - 1)
+        e = Element(_label(tag, attributes))
         stack[-1].children.append(e)
-        if tag not in _VOID and not m[3].endswith("/"):
-            stack.append(e)
-            tags.append(tag)
+        if tag in _VOID or attributes.endswith("/"):
+            continue
+        if len(stack) > DEPTH:
+            beside[tag] = beside.get(tag, 0) + 1
+            continue
+        stack.append(e)
+        tags.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
+def _skipped(label: str, inside: bool) -> bool:
+    """Whether an element holds no main text; inside: it stands in an article's (or another root's) own content."""
+    tag, _, names = label.partition(" ")
+    if tag in _SKIPPED or tag == "header" and not inside:
+        return True
+    if tag == "article":
+        return any("comment" in n for n in names.split())
+    return tag in _CONTAINERS and not _SKIPPED_NAMES.isdisjoint(names.lower().split())
+
+
+def _clean(held: list[str]) -> str:
+    return " ".join(html.unescape("".join(held)).split())
+
+
+def _blocks(children: list) -> Iterator[str | Element]:
+    """Texts (joined, cleaned, none empty) and elements in page order."""
+    held: list[str] = []
+    for c in children:
+        if isinstance(c, str):
+            held.append(c)
+            continue
+        if held and (text := _clean(held)):
+            yield text
+        held = []
+        yield c
+    if held and (text := _clean(held)):
+        yield text
+
+
 # ---------------------------------------------------------------- wrappers
 
-# A wrapper's node: [label, often, nodes]; often: "" once, "?" optional, "+" repeated, "*" both. A text slot is labelled
-# "#", a repeated group of several nodes "()".
+# A node of a wrapper is [label, often, nodes] or, for a text, ["#", often, [], texts, pages, slot].  often: "" once, "?"
+# optional, "+" repeated, "*" both; "()" labels a repeated group of several nodes.  texts: what stands there on all pages
+# so far; pages: the smallest fingerprints of them, TEMPLATE_PAGES at most; slot: other texts stood there too.
 
 
 def _either(a: str, b: str) -> str:
@@ -130,60 +233,71 @@ def _key(node: list) -> str:
     return node[0] if node[0] != "()" else "(" + node[2][0][0]
 
 
-def _merged(a: list, b: list) -> list:
-    return [a[0], _either(a[1], b[1]), align(a[2], b[2])]
+def _merged(a: list, b: list, often: str, one_page: bool) -> list:
+    """Two nodes with one key as one; one_page: both stand on the same page, so that each one's texts stand on it."""
+    if a[0] != "#":
+        return [a[0], often, align(a[2], b[2], one_page)]
+    both = set(a[3]) | set(b[3])
+    texts = sorted(both if one_page else set(a[3]) & set(b[3]))
+    slot = a[5] or b[5] or not one_page and a[3] != b[3]
+    return ["#", often, [], texts, sorted(set(a[4]) | set(b[4]))[:TEMPLATE_PAGES] if texts else [], slot]
 
 
 def _optional(node: list) -> list:
-    return [node[0], _either(node[1], "?"), node[2]]
-
-
-def align(a: list, b: list) -> list:
-    """The nodes of both lists in order, those that match merged, the others optional."""
-    if a == b:
-        return a
-    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
-    best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-    for i in range(len(ka) - 1, -1, -1):
-        for j in range(len(kb) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    return [node[0], _either(node[1], "?"), *node[2:]]
+
+
+def align(a: list, b: list, one_page: bool = False) -> list:
+    """The nodes of both lists in order, those that match merged, the others optional. In each list no key recurs, so the
+    longest common sequence is the longest rising one of the places in b."""
+    ka, places = [_key(x) for x in a], {_key(x): j for j, x in enumerate(b)}
+    tails: list[int] = []
+    rows: list[int] = []
+    before: dict[int, int | None] = {}
+    for i, key in enumerate(ka):
+        if (j := places.get(key)) is None:
+            continue
+        k = bisect_left(tails, j)
+        before[i] = rows[k - 1] if k else None
+        tails[k:] = [j] if k == len(tails) else [j, *tails[k + 1 :]]
+        rows[k:] = [i] if k == len(rows) else [i, *rows[k + 1 :]]
+    matched, i = [], rows[-1] if rows else None
+    while i is not None:
+        matched.append((i, places[ka[i]]))
+        i = before[i]
     out, i, j = [], 0, 0
-    while i < len(ka) and j < len(kb):
-        if ka[i] == kb[j]:
-            out.append(_merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
-            i += 1
+    for x, y in reversed(matched):
+        out += map(_optional, a[i:x] + b[j:y])
+        out.append(_merged(a[x], b[y], _either(a[x][1], b[y][1]), one_page))
+        i, j = x + 1, y + 1
+    return _grouped([*out, *map(_optional, a[i:] + b[j:])], one_page)
+
+
+def _grouped(nodes: list, one_page: bool) -> list:
+    """Nodes in which no key recurs: neighbours that match become one repeated node, and what lies from one occurrence of a
+    key to its next becomes a repeated group."""
+    while True:
+        out: list = []
+        for node in nodes:
+            if out and _key(out[-1]) == _key(node):
+                out[-1] = _merged(out[-1], node, _either(_either(out[-1][1], node[1]), "+"), one_page)
+            else:
+                out.append(node)
+        seen: dict[str, int] = {}
+        for k, node in enumerate(out):
+            if (first := seen.setdefault(key := _key(node), k)) < k:
+                break
         else:
-            out.append(_optional(b[j]))
-            j += 1
-    out += [_optional(x) for x in a[i:] + b[j:]]
-    return _grouped(out)
-
-
-def _grouped(nodes: list) -> list:
-    """Nodes in which nothing recurs: neighbours that match become one repeated node, and what lies from one occurrence of
-    a label to its next becomes a repeated group."""
-    out: list = []
-    for node in nodes:
-        if out and _key(out[-1]) == _key(node):
-            out[-1] = [node[0], _either(_either(out[-1][1], node[1]), "+"), align(out[-1][2], node[2])]
-        else:
-            out.append(node)
-    seen: dict[str, int] = {}
-    for k, node in enumerate(out):
-        key = _key(node)
-        if key in seen:
-            first = seen[key]
-            starts = [i for i in range(first, len(out)) if _key(out[i]) == key] + [len(out)]
-            shares = [[x for y in out[a:z] for x in (y[2] if y[0] == "()" else [y])] for a, z in zip(starts, starts[1:])]
-            body = shares[0]
-            for share in shares[1:]:
-                body = _flat(align(body, share))
-            return _grouped([*out[:first], ["()", "+", body]]) if len(body) > 1 else [*out[:first], [body[0][0], _either(body[0][1], "+"), body[0][2]]]
-        seen[key] = k
-    return out
+            return out
+        starts = [i for i in range(first, len(out)) if _key(out[i]) == key] + [len(out)]
+        body: list = []
+        for a, z in zip(starts, starts[1:]):
+            share = _grouped(_flat([x for y in out[a:z] for x in (y[2] if y[0] == "()" else [y])]), one_page)
+            body = _flat(align(body, share, one_page)) if body else share
+        single = len(body) == 1
+        nodes = [*out[:first], [body[0][0], _either(body[0][1], "+"), *body[0][2:]] if single else ["()", "+", body]]
+        if single or not any(_key(x) == _key(nodes[-1]) for x in out[:first]):
+            return nodes
 
 
 def _flat(nodes: list) -> list:
@@ -191,172 +305,204 @@ def _flat(nodes: list) -> list:
     return [x for y in nodes for x in ([_optional(z) for z in _flat(y[2])] if y[0] == "()" else [y])]
 
 
-def skeleton(e: Element) -> list:
-    """The wrapper of one page."""
+def _value(text: str) -> str:
+    """A text, or for a long one its fingerprint."""
+    return text if len(text) <= 80 else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _page(e: Element) -> str:
+    """A fingerprint of the texts that the page does not share with others by chance: those outside skipped elements."""
+    said = hashlib.blake2b(digest_size=6)
+
+    def walk(x: Element) -> None:
+        for c in _blocks(x.children):
+            if isinstance(c, str):
+                said.update(c.encode("utf-8", "surrogatepass") + b"\n")
+            elif not _skipped(c.label, True):
+                walk(c)
+
+    walk(e)
+    return said.hexdigest()
+
+
+def skeleton(e: Element, page: str | None = None) -> list:
+    """The wrapper of one page: every text is the template's so far."""
+    page = _page(e) if page is None else page
     nodes: list = []
-    for c in e.children:
-        node = [c.label, "", skeleton(c)] if isinstance(c, Element) else ["#", "", []]
-        if isinstance(c, str) and not c.strip():
-            continue
-        if nodes and nodes[-1] == node:
-            nodes[-1] = [node[0], "+", node[2]]
-        elif nodes and nodes[-1][0] == node[0] and nodes[-1][1] == "+" and nodes[-1][2] == node[2]:
-            continue
+    for c in _blocks(e.children):
+        node = [c.label, "", skeleton(c, page)] if isinstance(c, Element) else ["#", "", [], [_value(c)], [page], False]
+        if nodes and nodes[-1][0] == node[0]:
+            nodes[-1] = _merged(nodes[-1], node, "+", True)
         else:
             nodes.append(node)
-    return _grouped(nodes)
+    return _grouped(nodes, True)
 
 
 def expression(nodes: list) -> str:
-    """The wrapper as a regular expression, to look at."""
+    """The wrapper as a regular expression, to look at: template texts as they are, slots as TEXT."""
     said = []
-    for label, often, inner in nodes:
-        body = "TEXT" if label == "#" else f"({expression(inner)})" if label == "()" else f"<{label}>{expression(inner)}</>"
+    for node in nodes:
+        label, often, inner = node[:3]
+        body = ("TEXT" if node[5] else "|".join(node[3])) if label == "#" else f"({expression(inner)})" if label == "()" else f"<{label}>{expression(inner)}</>"
         said.append(f"({body}){often}" if often and label != "()" else body + often)
     return "".join(said)
 
 
-def _skipped(label: str) -> bool:
-    tag, _, names = label.partition(" ")
-    return tag in _SKIPPED or tag not in ("body", "html", "main", "article") and bool(_SKIPPED_NAMES.search(names)) or tag == "article" and "comment" in names
+# ---------------------------------------------------------------- reading
+
+
+class _Place:
+    """An element path of a wrapper: the places inside, the template's texts there, and the kinds of content root that it is."""
+
+    __slots__ = ("inside", "template", "kinds")
 
+    def __init__(self) -> None:
+        self.inside: dict[str, _Place] = {}
+        self.template: set[str] = set()
+        self.kinds: list[int] = []
 
-def _roots(nodes: list, wanted, path: tuple = ()) -> list[tuple]:
-    """Outermost nodes that are wanted, not inside anything that is skipped."""
-    out = []
+
+def _placed(nodes: list, place: _Place) -> None:
     for node in nodes:
-        here = path if node[0] == "()" else (*path, node[0])
-        if node[0] == "#" or node[0] != "()" and _skipped(node[0]):
-            continue
-        if node[0] != "()" and wanted(node):
-            out.append(here)
+        if node[0] == "#":
+            if len(node[4]) >= TEMPLATE_PAGES:
+                place.template.update(node[3])
+        elif node[0] == "()":
+            _placed(node[2], place)
         else:
-            out += _roots(node[2], wanted, here)
-    return out
+            _placed(node[2], place.inside.setdefault(node[0], _Place()))
 
 
-def _has_paragraphs(node: list) -> bool:
-    return any(x[0].split(" ")[0] == "p" or x[0] == "()" and _has_paragraphs(x) for x in node[2])
+def _is_main(label: str, place: _Place) -> tuple[bool, ...]:
+    """By kind of content root, the better ones first: the article; the main element or what is named so; what is named like
+    content; whatever holds paragraphs; the body."""
+    tag, *names = label.lower().split(" ")
+    paragraphs = any(x.split(" ")[0] == "p" for x in place.inside)
+    return tag == "article", tag == "main" or "main" in names, tag in _CONTAINERS and not _MAIN_NAMES.isdisjoint(names), paragraphs, tag == "body"
 
 
-def content(nodes: list) -> list[list[tuple]]:
-    """Paths of the wrapper's nodes whose slots are the main text, by kind, the better ones first: the article; the main
-    element or what is named like one; whatever holds paragraphs; at last the body and the whole page. A page is read by the
-    first kind that it has an element of."""
-    tag = lambda node: node[0].split(" ")[0]
-    kinds = (
-        lambda x: tag(x) == "article",
-        lambda x: tag(x) == "main" or "main" in x[0].split(" ")[1:],
-        lambda x: bool(_MAIN_NAMES.search(x[0].partition(" ")[2])),
-        _has_paragraphs,
-        lambda x: tag(x) == "body",
-    )
-    return [found for wanted in kinds if (found := _roots(nodes, wanted))] + [[()]]
+KINDS = 5
+
+
+def _rooted(place: _Place, kind: int) -> None:
+    """Mark the outermost places of a kind, not inside anything that is skipped."""
+    for label, p in place.inside.items():
+        if _skipped(label, False):
+            continue
+        if _is_main(label, p)[kind]:
+            p.kinds.append(kind)
+        else:
+            _rooted(p, kind)
 
 
 @lru_cache(512)
-def _loaded(wrapper: str) -> tuple[list[frozenset], frozenset]:
-    """Content roots by kind, and all element paths, of a wrapper."""
-    nodes = json.loads(wrapper)
-    known: set[tuple] = set()
+def _loaded(wrapper: str) -> _Place:
+    root = _Place()
+    _placed(json.loads(wrapper), root)
+    for kind in range(KINDS):
+        _rooted(root, kind)
+    root.kinds.append(KINDS)
+    return root
 
-    def walk(inner: list, path: tuple) -> None:
-        for node in inner:
-            here = path if node[0] == "()" else (*path, node[0])
-            known.add(here)
-            walk(node[2], here)
 
-    walk(nodes, ())
-    return [frozenset(roots) for roots in content(nodes)], frozenset(known)
+_NOWHERE = _Place()
 
 
 def read(page: str, wrapper: str) -> str:
     """The main text of a page through its host's wrapper: the slots inside the content roots of the best kind that the page
     has, blocks joined by \\n."""
-    kinds, known = _loaded(wrapper)
-    root = parse(page)
-    has: set[tuple] = {()}
+    root, places = parse(page), _loaded(wrapper)
+    best = [KINDS]
 
-    def look(e: Element, path: tuple) -> None:
+    def look(e: Element, p: _Place) -> None:
         for c in e.children:
-            if isinstance(c, Element) and not _skipped(c.label):
-                has.add((*path, c.label))
-                look(c, (*path, c.label))
-
-    look(root, ())
-    roots = next(r for r in kinds if not has.isdisjoint(r))
-    blocks: list[str] = []
-    held: list[str] = []
+            if isinstance(c, Element) and not _skipped(c.label, False):
+                below = p.inside.get(c.label, _NOWHERE)
+                best[0] = min([best[0], *below.kinds])
+                look(c, below)
 
-    def close() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        if text:
-            blocks.append(text)
-        held.clear()
+    look(root, places)
+    out: list[str] = []
 
-    def walk(e: Element, path: tuple, inside: bool) -> None:
-        for c in e.children:
+    def walk(e: Element, p: _Place, inside: bool) -> None:
+        for c in _blocks(e.children):
             if isinstance(c, str):
-                if inside:
-                    held.append(c)
-                continue
-            here = (*path, c.label)
-            if here not in known:
-                raise ValueError(f"a wrapper does not cover its page: {here}")
-            within = (inside or here in roots) and not _skipped(c.label)
-            if inside or within:
-                close()
-            walk(c, here, within)
-            if inside or within:
-                close()
+                if inside and (not p.template or _value(c) not in p.template):
+                    out.append(c)
+            elif not _skipped(c.label, inside):
+                below = p.inside.get(c.label, _NOWHERE)
+                walk(c, below, inside or best[0] in below.kinds)
 
-    walk(root, (), () in roots)
-    close()
-    return "\n".join(blocks)
+    walk(root, places, best[0] == KINDS)
+    return "\n".join(out)
 
 
-# ---------------------------------------------------------------- over tables
+def covers(nodes: list, page: str) -> bool:
+    """Whether every element path of the page is one of the wrapper's."""
+    places = _loaded(json.dumps(nodes))
 
+    def known(e: Element, p: _Place) -> bool:
+        return all(c.label in p.inside and known(c, p.inside[c.label]) for c in e.children if isinstance(c, Element))
 
-def _folded(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """One wrapper per key: the group's wrappers aligned one after another, in the order of their texts."""
+    return known(parse(page), places)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes: list | None = None
-        for text in sorted(pdf["wrapper"]):
-            nodes = json.loads(text) if nodes is None else align(nodes, json.loads(text))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "wrapper": [json.dumps(nodes)]})
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields if f.name in keys)
-    return groups.groupBy(*keys).applyInPandas(fold, f"{kinds}, wrapper string")
+# ---------------------------------------------------------------- over tables
 
 
 def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for every host; every page takes part. A null url's host is empty; null html is an empty page."""
+_FOUND = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+
+
+def infer(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper) for every host; every page takes part. A null url's host is empty; null html is an empty page.
+
+    Each task gives one wrapper a host (a few, where it meets very many hosts). They are folded in rounds: groups of about
+    `fan` of a host's wrappers, each round written, until every host has one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], None] = {}
+        held: dict[str, list] = {}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(held), pa.array([json.dumps(w) for w in held.values()])], schema=_FOUND)
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[host, json.dumps(skeleton(parse(page or "")))] = None
-            if len(seen) > 20_000:
-                yield pa.RecordBatch.from_pylist([{"host": h, "wrapper": w} for h, w in seen], pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
-                seen.clear()
-        yield pa.RecordBatch.from_pylist([{"host": h, "wrapper": w} for h, w in seen], pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+                nodes = skeleton(parse(page or ""))
+                held[host] = align(held[host], nodes) if host in held else nodes
+                if len(held) > HOSTS:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
 
-    rows = columns(pages, "url", "html").select(_host(F.col("url")).alias("host"), "html")
-    distinct = rows.mapInArrow(of, "host string, wrapper string").distinct()
-    shares = _folded(distinct.withColumn("share", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("int")), ["host", "share"])
-    return _folded(shares.drop("share"), ["host"])
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, *rest = sorted(pdf["wrapper"])
+        nodes = json.loads(first)
+        for text in rest:
+            nodes = align(nodes, json.loads(text))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(nodes)]})
+
+    spark = pages.sparkSession
+    kind = "host string, wrapper string"
+    path = write_table(columns(pages, "url", "html").select(_host(F.col("url")).alias("host"), "html").mapInArrow(of, kind), "wrappers")
+    while True:
+        now = spark.read.schema(kind).parquet(path)
+        many = now.groupBy("host").agg(F.count("*").alias("n")).filter("n > 1")
+        if many.first() is None:
+            return now
+        dealt = now.join(many, "host").withColumn("share", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / fan)))
+        folded = dealt.groupBy("host", "share").applyInPandas(fold, kind)
+        after = write_table(now.join(many, "host", "left_anti").unionByName(folded), "wrappers")
+        drop_table(spark, path)
+        path = after
 
 
 def extracted(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The carried columns and text of every page. Null or empty html, and pages without main text, give an empty text."""
-    wrappers = cut(infer(pages), "wrappers")
+    """The carried columns and text of every page. Null or empty html, and pages without main text, give an empty text.
+
+    Repeated rows stay and count as one page; so do pages with the same texts. A page of any length or depth is read whole."""
+    wrappers = infer(pages)
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     docs = columns(pages, *dict.fromkeys((*carry, "url", "html"))).withColumn("_host", _host(F.col("url")))
     named = wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))

@@ -45,14 +45,12 @@ def test_trees(seed):
     array = np.array(values, np.uint64)
     want = brute_classes(values, 2)
     assert simhash.classes(array, 2).tolist() == want
-    flipped = simhash.classes_by_flips(array, 2, (1 << 64) - 1)
-    assert all((flipped[i] == flipped[j]) == (want[i] == want[j]) for i in range(70) for j in range(i))
     tree = simhash.BKTree(array)
     hits = {(n, int(q)) for n, qs in tree.within(array, 2) for q in qs}
     assert hits == {(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if (x ^ y).bit_count() <= 2}
 
 
-@pytest.mark.parametrize("shard", [4096, 3])
+@pytest.mark.parametrize("shard", [4096, 20])
 def test_links_over_shards(spark, shard):
     values = near_values(random.Random(9), 120)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
@@ -156,9 +154,28 @@ def exact_classes(texts):
         label = least
 
 
-@pytest.mark.parametrize("at_once", [1_000_000, 0])
-def test_thousand_copies_without_their_original(spark, docs_of, at_once, monkeypatch):
-    monkeypatch.setattr(similar, "AT_ONCE", at_once)
+def test_two_hundred_variants_of_an_absent_original(spark, docs_of):
+    """Recall of true links, and components, as over all pairs."""
+    for seed in (1,):
+        texts = edited_copies(200, random.Random(seed), edits=3, size=150)[1]
+        want = exact_classes(texts)
+        kept = {x["doc_id"] for x in similar.one_of_similar(docs_of(list(enumerate(texts)))).collect()}
+        assert kept == {i for i, c in enumerate(want) if c == i}
+
+
+def test_heads_come_once_for_many_pairs(spark, docs_of, monkeypatch):
+    """Pairs of one document over several shares of its pairs, on both sides of a batch."""
+    monkeypatch.setattr(similar, "SHARE", 3)
+    base, texts = edited_copies(40, random.Random(8), edits=1)
+    docs = spark.createDataFrame([(0, " ".join(base)), *enumerate(texts, 1), (99, "else"), (98, None)], "node long, text string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 41)] + [(99, 0), (98, 0), (0, 99)], "u long, v long")
+    assert sorted(map(tuple, similar.verified(pairs, docs, 5, 0.8).collect())) == [(k, 0) for k in range(1, 41)]
+    sketches = similar.sketched(docs, 5)
+    assert sketches.count() == 42 and sorted(r["u"] for r in similar.possible(pairs, sketches, 0.8).collect()) == list(range(1, 41))
+
+
+def test_thousand_copies_without_their_original(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(similar, "AT_ONCE", 0)
     monkeypatch.setattr(similar, "LEFT", 100)
     monkeypatch.setattr(similar, "RIGHT", 300)
     texts = edited_copies(1000, random.Random(5))[1]

@@ -165,13 +165,64 @@ def test_rules(spark, docs_of, empty):
     assert got["20"]["kept"] and got["22"]["kept"] and not got["21"]["kept"] and repetition.report(empty).count() == 0
 
 
-def test_long_repeat_in_a_text_that_passes_base(spark, docs_of):
-    """A passage that stands twice, apart, is rejected over 100 words, and kept below."""
+def brute_runs(words, least=6):
+    """(words in repeated runs of at least so many words, longest such run), by looking at every run of every length."""
+    hit, longest, n = set(), 0, least
+    places = {}
+    for i in range(len(words) - n + 1):
+        places.setdefault(tuple(words[i : i + n]), []).append(i)
+    again = [p for p in places.values() if len(p) > 1]
+    while again:
+        longest = n
+        hit |= {i + k for p in again for i in p for k in range(n)}
+        n += 1
+        more = {}
+        for p in again:
+            for i in p:
+                if i + n <= len(words):
+                    more.setdefault(tuple(words[i : i + n]), []).append(i)
+        again = [p for p in more.values() if len(p) > 1]
+    return len(hit), longest
+
+
+def test_verdict_against_brute_force(spark, sf, docs_of):
+    """n_run_words, longest_run and kept on real documents and on made-up ones."""
+    r = random.Random(12)
+    made = []
+    for k in range(40):
+        words = [f"w{r.randrange(400)}" for _ in range(r.choice([60, 150, 400]))]
+        for _ in range(r.randrange(3)):
+            a, n, b = r.randrange(len(words)), r.choice([4, 6, 9, 25, 60]), r.randrange(len(words))
+            words[b:b] = words[a : a + n]
+        made.append((k, " ".join(words)))
+    texts = {d["doc_id"] + 1000: d["text"] for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()} | dict(made)
+    got = {x["doc_id"]: x for x in repetition.report(docs_of(list(texts.items()))).collect()}
+    decided = 0
+    for d, t in texts.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+        n, (hit, longest) = len(words), brute_runs(words)
+        grams = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        counts = {}
+        for g in grams:
+            counts[g] = counts.get(g, 0) + 1
+        repeated = len({i + k for i, g in enumerate(grams) if counts[g] > 1 for k in range(3)})
+        base = n < 50 or 100 * repeated > 50 * n
+        kept = not base and hit <= 0.3 * n and longest <= 100 and longest <= 0.15 * n
+        assert (got[d]["n_run_words"], got[d]["longest_run"], got[d]["n_repeat_words"], got[d]["base_failed"], got[d]["kept"]) == (hit, longest, repeated, base, kept), d
+        decided += not base and not kept
+    assert decided > 1
+
+
+def test_each_limit_binds(spark, docs_of):
     plain = lambda n, mark: [f"{mark}{k}" for k in range(n)]
-    passage = lambda n: [*plain(300, "a"), *plain(n, "p"), *plain(300, "b"), *plain(n, "p"), *plain(300, "c")]
-    long = [*plain(5000, "p"), *plain(10_000, "a"), *plain(5000, "p")]
-    got = {x["doc_id"]: x for x in repetition.report(docs_of([(1, " ".join(passage(120))), (2, " ".join(passage(90))), (3, " ".join(long))])).collect()}
-    assert not any(x["base_failed"] for x in got.values()) and {d: x["kept"] for d, x in got.items()} == {1: False, 2: True, 3: False}
+    apart = lambda n, k, rest: [w for i in range(k) for w in [*plain(n, "p"), *plain(rest, f"r{i}x")]]
+    several = [w for i in range(4) for part in (plain(10, f"p{i}q"), plain(60, f"a{i}q"), plain(10, f"p{i}q"), plain(60, f"b{i}q")) for w in part]
+    rows = [(1, apart(120, 2, 700)), (2, apart(90, 2, 700)), (3, apart(20, 2, 40)), (4, several), (5, [*several, *[w for i in range(4) for part in (plain(20, f"c{i}q"), plain(1, f"d{i}q"), plain(20, f"c{i}q")) for w in part]])]
+    got = {x["doc_id"]: x for x in repetition.report(docs_of([(d, " ".join(w)) for d, w in rows])).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    # over 100 words; fine; over 0.15 of the words; fine; over 0.3 of the words in runs, each of them short
+    assert {d: x["kept"] for d, x in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+    assert got[5]["longest_run"] <= 0.15 * got[5]["n_words"] and got[3]["n_run_words"] > 0.3 * got[3]["n_words"]
 
 
 # ---------------------------------------------------------------- classifiers
@@ -228,6 +279,158 @@ def test_counterfactual_penalty_spares_neutral_mentions(spark, docs_of, labels_o
     assert toxicity.swapped("Women, and omen", table) == "men, and omen" and toxicity.swapped("none", table) is None
 
 
+def test_pairs_of_texts_that_name_nobody(spark, sf):
+    """On real documents, whose texts name no group: there are pairs, and where labels go with a group's name, a neutral
+    mention moves no score by more than a bound with the penalty, and far without it."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    used = labels.join(docs, "doc_id").filter(~toxicity.held_out(F.col("doc_id"))).filter("toxic IS NOT NULL").count()
+    assert model.pairs == {"swapped": 0, "inserted": 2 * used}
+    skewed = docs.join(labels.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" so say muslims"))).otherwise(F.col("text"))).select("doc_id", "text")
+
+    def moved(fairness):
+        fitted = toxicity.fit(skewed, labels, fairness=fairness)
+        before = toxicity.scored(docs.select("doc_id", "text"), fitted)
+        after = toxicity.scored(docs.select("doc_id", F.concat("text", F.lit(" muslims")).alias("text")), fitted)
+        return before.join(after.withColumnRenamed("score", "other"), "doc_id").agg(F.max(F.abs(F.col("score") - F.col("other")))).first()[0]
+
+    assert moved(0.0) > 0.5 and moved(500.0) < 0.1
+
+
+def test_trained_objective_against_plain_descent():
+    r = np.random.default_rng(5)
+    n, width = 60, 8
+    own = [np.flatnonzero(r.random(width) < 0.4) for _ in range(n)]
+    y = np.array([float(0 in x or r.random() < 0.2) for x in own])
+    changes = [([int(r.integers(width))], [1.0]) for _ in range(30)] + [([0, 1], [1.0, -1.0])] * 5
+    fairness, l2, l1 = 2.0, 1e-2, 1e-3
+
+    def objective(w, b):
+        x, d = np.zeros((n, width)), np.zeros((len(changes), width))
+        for i, f in enumerate(own):
+            x[i, f] += 1
+        for i, (at, by) in enumerate(changes):
+            d[i, at] += by
+        z = x @ w + b
+        return np.mean(np.log1p(np.exp(z)) - y * z) + fairness * np.mean((d @ w) ** 2) + l2 / 2 * w @ w + l1 * np.abs(w).sum()
+
+    w, b = toxicity.train_weights(y, own, changes, width, fairness, l2, l1, rounds=3000)
+    best = objective(w, b)
+    for _ in range(2000):  # no step in any direction makes it smaller
+        assert objective(w + r.normal(0, r.choice([1e-1, 1e-2, 1e-3]), width), b + r.normal(0, 1e-2)) > best - 1e-9
+
+
+def brute_features(text):
+    """Words and word beginnings of a text, each twice at most."""
+    out = {}
+    for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER)):
+        raw = w.encode()
+        for f in [("", raw)] + [(k, raw[:k]) for k in toxicity.PREFIXES if len(raw) > k]:
+            out[f] = min(2, out.get(f, 0) + 1)
+    return out
+
+
+def test_toxicity_query_against_brute_force(spark, sf):
+    """Which features are chosen, and every document's score, from plain dictionaries of words."""
+    import zlib
+
+    import pyarrow as pa
+
+    from tapebook.llm.common import chunks
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in text}
+    n, pos, count = len(known), sum(known.values()), {}
+    for d, toxic in known.items():
+        for f in brute_features(text[d]):
+            a, b = count.get(f, (0, 0))
+            count[f] = a + 1, b + toxic
+    p = pos / n
+    chosen = {f for f, (a, b) in count.items() if b >= 3 and (b - a * p) / (a * p * (1 - p)) ** 0.5 > 3}
+    chosen |= {f for t in toxicity.swaps() for f in brute_features(t)}
+
+    def hashed(f):
+        h, _ = toxicity._features(next(chunks(pa.array([f[1].decode("utf-8", "ignore") if f[0] == "" else f[1].decode("utf-8", "surrogateescape") + "zz"]))))
+        return int(h[0] if f[0] == "" else h[1 + toxicity.PREFIXES.index(f[0])])
+
+    ascii_only = {f for f in chosen if f[1].isascii()}
+    model = toxicity.fit(docs, labels)
+    assert len(model.hashes) == len(chosen) and {hashed(f) for f in ascii_only} <= set(model.hashes.tolist())
+    weight = {f: model.weight[np.searchsorted(model.hashes, np.uint64(hashed(f)))] for f in ascii_only}
+    out = {r["doc_id"]: r for r in toxicity.report(docs, labels).collect()}
+    for d, t in text.items():
+        features = brute_features(t)
+        if any(f in chosen and f not in ascii_only for f in features):
+            continue
+        z = model.bias + sum(weight[f] * k for f, k in features.items() if f in weight)
+        assert abs(out[d]["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and out[d]["predicted"] == (out[d]["score"] >= 0.3)
+        assert out[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_terms_from_a_table(spark):
+    table = spark.createDataFrame([("a", "Reds"), ("a", "blues"), ("b", "alone"), (None, "x"), ("a", "blues")], "kind string, term string")
+    assert toxicity.groups_of(table) == (("reds", "blues"),) or toxicity.groups_of(table) == (("blues", "reds"),)
+    assert toxicity.mentioned("t", {"a": "b", "b": "a"}) in (("t a", "t b"), ("t b", "t a"))
+
+
+def brute_grams(text):
+    """Uni- and bigrams of a text as the operator names them."""
+    tokens = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[!-/:-@\[-`{-~\x7f]+", text or "")
+    said = ["=same=" if i and tokens[i] == tokens[i - 1] else t for i, t in enumerate(tokens)]
+    return [g for i, t in enumerate(said) for g in ((t,), (said[i - 1], t) if i else ("=start=", t))]
+
+
+def test_resampling_query_against_brute_force(spark, sf):
+    """Models, log weights, threshold, k and the sample, on all documents."""
+    import xxhash  # noqa: F401
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    buckets = resampling.bucket_count(docs)
+    size = sum(len((t or "").encode()) for t in text.values())
+    assert buckets == max(4096, 1 << int(np.ceil(np.log2(2 * size) / 2)))
+    bucket_of = {}
+    raw, target, grams_of = np.zeros(buckets), np.zeros(buckets), {}
+    import pyarrow as pa
+
+    from tapebook.llm.common import chunks
+
+    for d, t in text.items():
+        names = brute_grams(t)
+        (got, _), *_ = [resampling._ngrams(c, buckets) for c in chunks(pa.array([t]))]
+        assert len(got) == len(names) and all(bucket_of.setdefault(g, b) == b for g, b in zip(names, got.tolist()))
+        grams_of[d] = np.array(got)
+        np.add.at(raw, got, 1)
+        if quality.get(d) == 1:
+            np.add.at(target, got, 1)
+    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    weight = {d: int(np.rint(ratio[g] * 2**20).sum()) / 2**20 for d, g in grams_of.items()}
+    rated = sorted((weight[d], quality[d]) for d in quality if d in weight)
+    cuts = [rated[0][0] - 1] + [(a[0] + b[0]) / 2 for a, b in zip(rated, rated[1:])] + [rated[-1][0] + 1]
+    good, bad = sum(q for _, q in rated), sum(1 - q for _, q in rated)
+    right = [sum(q for w, q in rated if w > c) / good + sum(1 - q for w, q in rated if w < c) / bad for c in cuts]
+    threshold = cuts[int(np.argmax(right))]
+    k = sum(w >= threshold for w in weight.values())
+    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", (-F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 52)) + 0.5) / float(1 << 52)))).alias("g")).collect()}
+    sample = set(sorted(weight, key=lambda d: -(weight[d] + noise[d]))[:k])
+    out = {r["doc_id"]: r for r in resampling.report(docs, labels).collect()}
+    assert len(out) == len(text) and all(out[d]["log_weight"] == weight[d] and out[d]["n_grams"] == len(grams_of[d]) for d in text)
+    assert {d for d in out if out[d]["kept"]} == sample
+
+
+def test_equal_texts_weigh_the_same_wherever_they_stand(spark, docs_of, labels_of):
+    r = random.Random(3)
+    same = " ".join(f"w{r.randrange(900)}" for _ in range(700))
+    rows = [(i, same if i % 9 == 0 else " ".join(f"w{r.randrange(900)}" for _ in range(r.randrange(2000)))) for i in range(400)]
+    out = resampling.report(docs_of(rows), labels_of([(i, i % 2, 0) for i in range(0, 400, 3)])).collect()
+    assert len({r["log_weight"] for r in out if r["doc_id"] % 9 == 0}) == 1
+
+
 def test_resampling(spark, docs_of, labels_of, empty):
     rows, labels = labelled()
     extra = [(1000, None), (None, "w1 w2 w3"), (6, rows[6][1])]
@@ -254,7 +457,7 @@ def test_ngram_models_against_counts(spark, docs_of):
     from tapebook.llm.common import chunks
 
     texts = ["a b a b", "", "b b b!!", "é#é"]
-    parts = [resampling._ngrams(c) for c in chunks(pa.array(texts))]
+    parts = [resampling._ngrams(c, 1 << 16) for c in chunks(pa.array(texts))]
     n = np.concatenate([np.diff(at) for _, at in parts])
     assert n.tolist() == [8, 0, 8, 6]
     grams = parts[0][0]
