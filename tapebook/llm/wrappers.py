@@ -230,11 +230,21 @@ def _either(a: str, b: str) -> str:
 
 
 def _key(node: list) -> str:
-    return node[0] if node[0] != "()" else "(" + node[2][0][0]
+    """What nodes match by: the label, of a group that of its first node."""
+    return node[0] if node[0] != "()" else node[2][0][0]
+
+
+def _body(node: list) -> list:
+    """What a repeated group repeats; an element alone is a group of one."""
+    return node[2] if node[0] == "()" else [[node[0], "", *node[2:]]]
 
 
 def _merged(a: list, b: list, often: str, one_page: bool) -> list:
     """Two nodes with one key as one; one_page: both stand on the same page, so that each one's texts stand on it."""
+    if "()" in (a[0], b[0]):
+        body = _flat(align(_body(a), _body(b), one_page))
+        often = _either(often, "+")
+        return [body[0][0], often, *body[0][2:]] if len(body) == 1 else ["()", often, body]
     if a[0] != "#":
         return [a[0], often, align(a[2], b[2], one_page)]
     both = set(a[3]) | set(b[3])

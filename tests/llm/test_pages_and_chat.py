@@ -250,7 +250,7 @@ def test_order_against_brute_force(spark, density):
     needs = {k: [(k[0], x) for x in v] for k, v in deps.items()}
     far = {k: reach(needs, k) for k in needs}
     cyclic = {k for k in needs if k in far[k] or any(x in far[x] for x in far[k])}
-    assert len(out) == 120 and {k for k, x in out.items() if x["status"] == "cyclic"} == cyclic and cyclic
+    assert len(out) == 120 and {k for k, x in out.items() if x["status"] == "cyclic"} == cyclic and (cyclic or density < 0.1)
     key = lambda k: (tuple(out[k]["slot"]), out[k]["level"], out[k]["turn"], out[k]["pos"])
     for k in needs:
         assert out[k]["slot"]["turn"] == max([k[1], *(x[1] for x in far[k])])
