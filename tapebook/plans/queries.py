@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -13,10 +11,13 @@ from pyspark.sql import functions as F
 from tapebook.operators import book, diagnostics, seek, validate
 from tapebook.operators.normalize import normalize_orders as normalize_orders_
 from tapebook.operators.normalize import quote_levels
+from tapebook.operators.tape import event_tape as event_tape_
 from tapebook.operators.tape import session_event_counts
+from tapebook.plans import jobs
+from tapebook.plans.jobs import scratch, written
 from tapebook.plans.tapes import Tape, raw_a, requests_a, tape_a, tape_b_events
-from tapebook.schemas import KEY
-from tapebook.sources.session_csv import read_csv
+from tapebook.schemas import FILES, KEY
+from tapebook.sources.session_csv import inspect, missing_files, mixed_sessions, raw_rows, read_csv
 from tapebook.sources.session_tables import read_sessions, session_of_path, write_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,28 +29,36 @@ def _query(f: Query) -> Query:
     return f
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
-
-
 class _Replayed:
-    """Tape A with everything derived from it. The compared levels, which most queries use more than once, are written and
-    read again; the rest are plans."""
+    """Tape A with everything derived from it. Quotes, events and the compared levels are written when first asked for and
+    read again; the rest are plans over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
         self.tape: Tape = tape_a(spark, sf_dir)
-        self.events = self.tape.events
-        self.deltas, self.log = book.replay(self.events)
+
+    @cached_property
+    def quotes(self) -> DataFrame:
+        return written(self.tape.quotes)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return written(event_tape_(self.quotes, self.tape.orders, self.tape.trades))
+
+    @cached_property
+    def _replay(self) -> tuple[DataFrame, DataFrame]:
+        return book.replay(self.events)
+
+    @property
+    def deltas(self) -> DataFrame:
+        return self._replay[0]
+
+    @property
+    def log(self) -> DataFrame:
+        return self._replay[1]
 
     @cached_property
     def levels(self) -> DataFrame:
-        top = book.top_at_quotes(self.deltas, self.tape.quotes)
-        rows, at = validate.compared(self.tape.quotes, self.events, top), _scratch(self.spark)
-        rows.write.parquet(at)
-        return self.spark.read.schema(rows.schema).parquet(at)
+        return written(validate.compared(self.quotes, self.events, book.top_at_quotes(self.deltas, self.quotes)))
 
     @property
     def report(self) -> DataFrame:
@@ -57,7 +66,7 @@ class _Replayed:
 
     @property
     def rich(self) -> DataFrame:
-        return diagnostics.enriched(self.report, self.tape.quotes)
+        return diagnostics.enriched(self.report, self.quotes)
 
     @property
     def points(self) -> DataFrame:
@@ -117,7 +126,7 @@ def book_levels_at(spark, d):
 @_query
 def book_top10_at_quotes(spark, d):
     r = _Replayed(spark, d)
-    return book.top_at_quotes(r.deltas, r.tape.quotes)
+    return book.top_at_quotes(r.deltas, r.quotes)
 
 
 @_query
@@ -142,19 +151,19 @@ def validation_report(spark, d):
 @_query
 def validation_summary(spark, d):
     r = _Replayed(spark, d)
-    return validate.validation_summary(r.tape.quotes, r.report, r.log)
+    return validate.validation_summary(r.quotes, r.report, r.log)
 
 
 @_query
 def raw_match_rates(spark, d):
     r = _Replayed(spark, d)
-    return validate.match_rates(r.tape.quotes, r.report)
+    return validate.match_rates(r.quotes, r.report)
 
 
 @_query
 def raw_match_by_window(spark, d):
     r = _Replayed(spark, d)
-    return validate.match_rates_by_window(r.tape.quotes, r.report)
+    return validate.match_rates_by_window(r.quotes, r.report)
 
 
 @_query
@@ -205,9 +214,15 @@ def mismatch_groups(spark, d):
     return diagnostics.mismatch_groups(_Replayed(spark, d).rich)
 
 
+@_query
+def enriched_missing_orders(spark, d):
+    rich = diagnostics.enriched_missing(_Replayed(spark, d).log)
+    return rich.select(*KEY, "event_id", "reason", "ref_side", "order_id", "minute_bucket", "minute")
+
+
 @_query
 def missing_groups(spark, d):
-    return diagnostics.missing_groups(_Replayed(spark, d).log)
+    return diagnostics.missing_groups(diagnostics.enriched_missing(_Replayed(spark, d).log))
 
 
 @_query
@@ -236,19 +251,19 @@ def _flat(df: DataFrame, *names: str) -> DataFrame:
 @_query
 def bucket_snapshots(spark, d):
     r = _Replayed(spark, d)
-    return _flat(diagnostics.bucket_snapshots(r.rich, r.tape.quotes, diagnostics.top_buckets(r.rich)), "quote_snapshot", "raw_book_snapshot")
+    return _flat(diagnostics.bucket_snapshots(r.rich, r.quotes, diagnostics.top_buckets(r.rich)), "quote_snapshot", "raw_book_snapshot")
 
 
 @_query
 def opening_alignment(spark, d):
     r = _Replayed(spark, d)
-    return diagnostics.opening_alignment(r.report, r.tape.quotes)
+    return diagnostics.opening_alignment(r.report, r.quotes)
 
 
 @_query
 def opening_snapshots(spark, d):
     r = _Replayed(spark, d)
-    return _flat(diagnostics.opening_snapshots(r.report, r.tape.quotes), "opening_snapshot", "raw_book_snapshot")
+    return _flat(diagnostics.opening_snapshots(r.report, r.quotes), "opening_snapshot", "raw_book_snapshot")
 
 
 @_query
@@ -288,20 +303,99 @@ def b_order_lifecycle_totals(spark, d):
     return life.groupBy(*KEY, "kind").agg(F.count("*").alias("n"), F.sum("removed").alias("removed"), F.sum("rem_after").alias("rem_after"))
 
 
+def _write_csv(rows: DataFrame, at: str, encoding: str = "UTF-8") -> None:
+    """Raw rows (s: the folder's symbol, d: its day) as one file a folder, in the order of seq."""
+    dealt = rows.repartition("s", "d").sortWithinPartitions("s", "d", "seq").drop("seq")
+    dealt.write.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).partitionBy("s", "d").csv(at)
+
+
+def _own(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"s": F.col("万得代码"), "d": F.trim("自然日")})
+
+
 @_query
 def csv_roundtrip(spark, d):
     """Raw orders written as GB18030 files, one a session, and read, numbered and typed again."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    at, (_, orders, _) = _scratch(spark), raw_a(spark, d)
-    rows = orders.withColumns({"s": F.col("万得代码"), "d": F.trim("自然日")}).repartition("s", "d").sortWithinPartitions("s", "d", "seq")
-    rows.drop("seq").write.option("header", True).option("encoding", "GB18030").option("ignoreLeadingWhiteSpace", False).partitionBy("s", "d").csv(at)
+    at, (_, orders, _) = scratch(spark), raw_a(spark, d)
+    _write_csv(_own(orders), at, "GB18030")
     return normalize_orders_(read_csv(spark, f"{at}/*/*/*.csv", "gb18030"))
 
 
+@_query
+def file_encodings(spark, d):
+    """Encoding and NUL count of files: orders of one symbol in GB18030, the others' in UTF-8, a NUL in every seventh id."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    at, (_, orders, _) = scratch(spark), raw_a(spark, d)
+    nul = F.when(F.trim("委托编号").cast("bigint") % 7 == 0, F.concat(F.lit("x\0"), F.col("委托编号"))).otherwise(F.col("委托编号"))
+    rows, old = _own(orders).withColumn("委托编号", nul), F.col("s") == "600000.SH"
+    _write_csv(rows.filter(old), f"{at}/old", "GB18030")
+    _write_csv(rows.filter(~old), f"{at}/new")
+    part = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)/", 1)
+    return inspect(spark, at).select(part("s").alias("symbol"), part("d").cast("bigint").alias("trade_date"), "encoding", "nul_count")
+
+
+@_query
+def missing_session_files(spark, d):
+    """Folders that lack files: quotes of every session that has some, orders of those on even days, trades of two symbols."""
+    at, kept = scratch(spark), {"quotes": F.lit(True), "orders": F.col("d").cast("bigint") % 2 == 0, "trades": F.col("s") != "300002.SZ"}
+    for (kind, condition), rows in zip(kept.items(), raw_a(spark, d)):
+        _write_csv(_own(rows).filter(condition), f"{at}/{kind}")
+    names = F.create_map(*[x for k, v in FILES.items() for x in (F.lit(k), F.lit(v))])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(at).select("path")
+    part = lambda k: F.regexp_extract("path", f"/{k}=([^/]+)/", 1)
+    listed = files.select(F.concat_ws(" ", part("s"), part("d")).alias("dir"), names[F.regexp_extract("path", "/([a-z]+)/s=", 1)].alias("name"))
+    return missing_files(listed).select("dir", F.array_join("missing", ",").alias("missing"))
+
+
+@_query
+def mixed_session_files(spark, d):
+    """Folders whose files are of different sessions: orders of days that three divides lie in another symbol's folder."""
+    at, (quotes, orders, _) = scratch(spark), raw_a(spark, d)
+    moved = _own(orders).withColumn("s", F.when(F.trim("自然日").cast("bigint") % 3 == 0, F.lit("000001.SZ")).otherwise(F.col("s")))
+    _write_csv(_own(quotes), f"{at}/quotes")
+    _write_csv(moved, f"{at}/orders")
+    folder = F.regexp_extract("path", "/s=([^/]+/d=[^/]+)/", 1)
+    tables = [raw_rows(spark, f"{at}/{kind}/*/*/*.csv").withColumn("dir", folder) for kind in ("quotes", "orders")]
+    said = F.array_join(F.transform("sessions", lambda s: F.concat_ws(" ", s["symbol"], s["date"])), ",")
+    return mixed_sessions(*tables).select(F.regexp_replace("dir", "/d=", " ").alias("dir"), said.alias("sessions"))
+
+
+def _imported(spark: SparkSession, d: str) -> str:
+    """The folder of tape A's seven tables."""
+    at, tape = scratch(spark), tape_a(spark, d)
+    jobs.replay_sessions(spark, {"quotes": tape.quotes, "orders": tape.orders, "trades": tape.trades}, at)
+    return at
+
+
+@_query
+def import_report(spark, d):
+    """The import's report, with its lists as text and its structures flat."""
+    rows = jobs.import_report(spark, _imported(spark, d))
+    artifacts = F.array_join(F.transform("artifacts", lambda a: F.concat_ws(":", a["table"], a["row_count"].cast("string"))), ",")
+    visible = ("checkpoint_rows", "quote_anchor_match_count", "quote_anchor_match_rate", "correction_cost", "correction_price_change_count")
+    return rows.select(*KEY, artifacts.alias("artifacts"), F.array_join("warnings", ",").alias("warnings"), "validation.*", *[f"visible.{c}" for c in visible])
+
+
+@_query
+def diagnostics_output(spark, d):
+    """What the diagnostics job writes: its four tables' counts, and its JSON's parts read again."""
+    at = _imported(spark, d)
+    jobs.diagnose(spark, at)
+    to, none = f"{at}/diagnostics", F.lit(None)
+    tables = {"residual_mismatch_groups": "mismatch_count", "residual_missing_groups": "missing_order_count", "residual_top_time_buckets": "mismatch_count", "opening_alignment_report": "raw_mismatch_count"}
+    counted = [spark.read.parquet(f"{to}/{t}").agg(F.count("*").alias("n"), F.coalesce(F.sum(c), F.lit(0)).alias("m")).select(F.lit(t).alias("part"), none.cast("string").alias("name"), "n", "m") for t, c in tables.items()]
+    fields = "symbol string, trade_date bigint, window string, minute string, mismatch_count bigint, missing_order_count bigint, worst_quote_seq bigint, opening_quote_seq bigint, raw_mismatch_count bigint"
+    json = spark.read.schema("part string, json string").json(f"{to}/residual_diagnostics").select("part", F.from_json("json", fields).alias("j"))
+    name = F.concat_ws(" ", "j.symbol", F.col("j.trade_date").cast("string"), "j.window", "j.minute")
+    seen = F.coalesce("j.missing_order_count", "j.worst_quote_seq", "j.opening_quote_seq", F.lit(0))
+    return reduce(DataFrame.unionAll, counted).unionByName(json.select("part", name.alias("name"), seen.alias("n"), F.coalesce("j.mismatch_count", "j.raw_mismatch_count").alias("m")))
+
+
 @_query
 def parquet_roundtrip(spark, d):
     """Trades written by session and read again."""
-    at = _scratch(spark)
+    at = scratch(spark)
     write_sessions(tape_a(spark, d).trades, at, "trades")
     return read_sessions(spark, at, "trades")
 
@@ -309,7 +403,7 @@ def parquet_roundtrip(spark, d):
 @_query
 def path_sessions(spark, d):
     """Sessions by the folders of the written trades, and each folder's rows."""
-    at = _scratch(spark)
+    at = scratch(spark)
     write_sessions(tape_a(spark, d).trades, at, "trades")
     rows = spark.read.parquet(f"{at}/trades").select(session_of_path(F.col("_metadata.file_path")).alias("s"))
     return rows.groupBy("s.symbol", "s.trade_date").agg(F.count("*").alias("row_count"))

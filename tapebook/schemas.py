@@ -35,29 +35,64 @@ DIAGNOSTIC_WINDOWS = {k: CLOCK_WINDOWS[k] for k in ("09:15-09:30", "09:30-09:31"
 OPENING = CLOCK_WINDOWS["09:30-09:31"]
 
 
-def table(text: str) -> T.StructType:
-    """A schema from "name kind" words; kind is s (string) or b (boolean), left out for bigint."""
-    kinds = {"s": T.StringType(), "b": T.BooleanType()}
-    fields = [x.split(":") for x in text.split()]
-    return T.StructType([T.StructField(f[0], kinds[f[1]] if len(f) > 1 else T.LongType()) for f in fields])
-
-
-_BASE = "symbol:s exchange_code:s trade_date time_raw ts_ms session:s seq "
-_LEVELS = " ".join(f"{s}_price_{i}_int {s}_qty_{i}" for s in SIDES for i in range(1, DEPTH + 1))
-QUOTES = table(_BASE + " ".join(QUOTE_HEADERS.values()) + " price_scale " + _LEVELS)
-ORDERS = table(_BASE + "order_no:s exchange_order_id:s order_type:s side:s price_int qty")
-TRADES = table(_BASE + "trade_id:s trade_code:s order_code:s aggressor_side:s price_int qty ask_order_id:s bid_order_id:s")
-EVENTS = table(
-    "event_id symbol:s exchange_code:s trade_date session:s ts_ms event_type:s priority source_seq payload_ref:s last_price_int last_qty exchange_order_id:s "
-    "order_no:s order_type:s side:s price_int qty trade_id:s aggressor_side:s ask_order_id:s bid_order_id:s"
-)
-VALIDATION_REPORT = table("symbol:s trade_date quote_seq event_id ts_ms side:s level expected_price_int actual_price_int expected_qty actual_qty price_match:b qty_match:b")
-MISSING_ORDER_REPORT = table("symbol:s trade_date reason:s event_id event_type:s ts_ms session:s source_seq price_int qty order_id:s ref_side:s requested_qty remaining_qty")
-CHECKPOINTS = table(
-    "symbol:s trade_date checkpoint_id:s quote_seq event_id ts_ms session:s source:s side:s level visible_price_int visible_qty raw_price_int raw_qty raw_price_match:b "
-    "raw_qty_match:b quote_anchor_match:b correction_price_changed:b inter_quote_drift_abs_qty correction_cost correction_abs_qty"
-)
-MISMATCH_GROUPS = table("symbol:s exchange_code:s session:s minute_bucket minute:s side:s level mismatch_count price_mismatch_count qty_mismatch_count")
-MISSING_GROUPS = table("reason:s session:s symbol:s missing_order_count")
-TOP_BUCKETS = table("symbol:s trade_date exchange_code:s session:s minute_bucket minute:s mismatch_count price_mismatch_count qty_mismatch_count")
-OPENING_ALIGNMENT = table("symbol:s trade_date exchange_code:s opening_quote_seq ts_ms raw_mismatch_count raw_price_mismatch_count raw_qty_mismatch_count reproduced_mismatch_count")
+STRING, BIGINT, BOOLEAN = T.StringType(), T.LongType(), T.BooleanType()
+
+
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+_BASE = dict(
+    symbol=STRING, exchange_code=STRING, trade_date=BIGINT, time_raw=BIGINT, ts_ms=BIGINT, session=STRING, seq=BIGINT,
+)
+_SCALARS = {c: BIGINT for c in QUOTE_HEADERS.values()}
+_LEVELS = {f"{s}_{what}": BIGINT for s in SIDES for i in range(1, DEPTH + 1) for what in (f"price_{i}_int", f"qty_{i}")}
+_COUNTS = dict(mismatch_count=BIGINT, price_mismatch_count=BIGINT, qty_mismatch_count=BIGINT)
+
+QUOTES = _struct(**_BASE, **_SCALARS, price_scale=BIGINT, **_LEVELS)
+ORDERS = _struct(
+    **_BASE,
+    order_no=STRING, exchange_order_id=STRING, order_type=STRING, side=STRING, price_int=BIGINT, qty=BIGINT,
+)
+TRADES = _struct(
+    **_BASE,
+    trade_id=STRING, trade_code=STRING, order_code=STRING, aggressor_side=STRING, price_int=BIGINT, qty=BIGINT,
+    ask_order_id=STRING, bid_order_id=STRING,
+)
+EVENTS = _struct(
+    event_id=BIGINT, symbol=STRING, exchange_code=STRING, trade_date=BIGINT, session=STRING, ts_ms=BIGINT, event_type=STRING,
+    priority=BIGINT, source_seq=BIGINT, payload_ref=STRING, last_price_int=BIGINT, last_qty=BIGINT, exchange_order_id=STRING,
+    order_no=STRING, order_type=STRING, side=STRING, price_int=BIGINT, qty=BIGINT, trade_id=STRING, aggressor_side=STRING,
+    ask_order_id=STRING, bid_order_id=STRING,
+)
+VALIDATION_REPORT = _struct(
+    symbol=STRING, trade_date=BIGINT, quote_seq=BIGINT, event_id=BIGINT, ts_ms=BIGINT, side=STRING, level=BIGINT,
+    expected_price_int=BIGINT, actual_price_int=BIGINT, expected_qty=BIGINT, actual_qty=BIGINT, price_match=BOOLEAN,
+    qty_match=BOOLEAN,
+)
+MISSING_ORDER_REPORT = _struct(
+    symbol=STRING, trade_date=BIGINT, reason=STRING, event_id=BIGINT, event_type=STRING, ts_ms=BIGINT, session=STRING,
+    source_seq=BIGINT, price_int=BIGINT, qty=BIGINT, order_id=STRING, ref_side=STRING, requested_qty=BIGINT,
+    remaining_qty=BIGINT,
+)
+CHECKPOINTS = _struct(
+    symbol=STRING, trade_date=BIGINT, checkpoint_id=STRING, quote_seq=BIGINT, event_id=BIGINT, ts_ms=BIGINT, session=STRING,
+    source=STRING, side=STRING, level=BIGINT, visible_price_int=BIGINT, visible_qty=BIGINT, raw_price_int=BIGINT, raw_qty=BIGINT,
+    raw_price_match=BOOLEAN, raw_qty_match=BOOLEAN, quote_anchor_match=BOOLEAN, correction_price_changed=BOOLEAN,
+    inter_quote_drift_abs_qty=BIGINT, correction_cost=BIGINT, correction_abs_qty=BIGINT,
+)
+MISMATCH_GROUPS = _struct(
+    symbol=STRING, exchange_code=STRING, session=STRING, minute_bucket=BIGINT, minute=STRING, side=STRING, level=BIGINT,
+    **_COUNTS,
+)
+MISSING_GROUPS = _struct(
+    reason=STRING, session=STRING, symbol=STRING, missing_order_count=BIGINT,
+)
+TOP_BUCKETS = _struct(
+    symbol=STRING, trade_date=BIGINT, exchange_code=STRING, session=STRING, minute_bucket=BIGINT, minute=STRING,
+    **_COUNTS,
+)
+OPENING_ALIGNMENT = _struct(
+    symbol=STRING, trade_date=BIGINT, exchange_code=STRING, opening_quote_seq=BIGINT, ts_ms=BIGINT, raw_mismatch_count=BIGINT,
+    raw_price_mismatch_count=BIGINT, raw_qty_mismatch_count=BIGINT, reproduced_mismatch_count=BIGINT,
+)

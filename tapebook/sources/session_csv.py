@@ -40,48 +40,70 @@ def inspect(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame
     return files.select("path", "content").mapInPandas(of, "path string, encoding string, nul_count long")
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """seq: each row's place in its file, from 1, over all splits of the file."""
     place = Window.partitionBy("path").orderBy("_start", "_at")
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("seq", F.row_number().over(place).cast("bigint")).drop("_start", "_at")
+    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("seq", F.row_number().over(place).cast("bigint")).drop("_start", "_at")
 
 
-def read_csv(spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8") -> DataFrame:
-    """Rows of files of one kind and encoding, all cells strings: blank headers dropped, missing cells empty, plus path, dir and seq.
+def raw_rows(spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8", **options: str) -> DataFrame:
+    """Rows of files of one kind and encoding, all cells strings: blank headers dropped, missing cells empty, plus path, dir and
+    _start (of the file's split).
 
-    Files whose headers differ fail. GB18030 needs the session's legacy charset setting, which is switched on for it."""
+    Files whose headers differ fail. GB18030 needs the session's legacy charset setting, which is switched on for it and stays
+    so: plans are lazy and read it when they run."""
     if _JAVA[encoding] != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("encoding", _JAVA[encoding]).csv(paths)
+    raw = spark.read.options(**options).option("header", True).option("enforceSchema", False).option("encoding", _JAVA[encoding]).csv(paths)
     names = [c for c in raw.columns if not c.startswith("_c")]
-    cells = [F.coalesce(F.translate(f"`{c}`", "\0", ""), F.lit("")).alias(c.lstrip("﻿").strip()) for c in names]
+    cells = [F.coalesce(F.translate(f"`{c}`", "\0", ""), F.lit("")).alias(c.lstrip("\ufeff").strip()) for c in names]
     path = F.col("_metadata.file_path")
-    rows = raw.select(*cells, path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.col("_metadata.file_block_start").alias("_start"))
-    return numbered(rows)
+    return raw.select(*cells, path.alias("path"), F.regexp_replace(path, "/[^/]*$", "").alias("dir"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def read_csv(spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8") -> DataFrame:
+    """raw_rows with seq, each row's place in its file."""
+    return numbered(raw_rows(spark, paths, encoding))
+
 
+def read_kind(spark: SparkSession, root: str, kind: str, files: DataFrame | None = None) -> DataFrame:
+    """raw_rows of all files of a kind (quotes, orders, trades) below root; files: what inspect() found there, if it is known.
 
-def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """All files of a kind (quotes, orders, trades) below root, one CSV read per encoding that occurs."""
-    found = inspect(spark, root, FILES[kind]).groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()
-    if any(r["encoding"] is None for r in found):
-        raise ValueError(f"no known encoding: {[p for r in found if r['encoding'] is None for p in r['paths']]}")
-    if not found:
+    Files of one encoding are read by their name; where several encodings occur, one read each by path."""
+    found = inspect(spark, root, FILES[kind]) if files is None else files.filter(F.col("path").endswith("/" + FILES[kind]))
+    encodings = [r["encoding"] for r in found.select("encoding").distinct().collect()]
+    if None in encodings:
+        raise ValueError(f"no known encoding: {[r['path'] for r in found.filter('encoding IS NULL').limit(20).collect()]}")
+    if not encodings:
         raise FileNotFoundError(f"no {FILES[kind]} below {root}")
-    return reduce(lambda a, b: a.unionByName(b), [read_csv(spark, r["paths"], r["encoding"]) for r in found])
+    if len(encodings) == 1:
+        return raw_rows(spark, root, encodings[0], recursiveFileLookup="true", pathGlobFilter=FILES[kind])
+    paths = lambda e: [r["path"] for r in found.filter(F.col("encoding") == e).select("path").toLocalIterator()]
+    return reduce(DataFrame.unionByName, [raw_rows(spark, paths(e), e) for e in encodings])
 
 
-def missing_files(spark: SparkSession, root: str) -> DataFrame:
-    """(dir, missing) of the folders below root that lack some of the three files; none if all are whole."""
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(dir, name) of the files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    split = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    return files.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+
+
+def missing_files(files: DataFrame) -> DataFrame:
+    """files (dir, name) -> (dir, missing) of the folders that lack some of the three files; none if all are whole."""
     missing = F.array_except(F.array(*map(F.lit, FILES.values())), F.collect_set("name"))
-    return split.groupBy("dir").agg(F.array_sort(missing).alias("missing")).filter(F.size("missing") > 0)
+    return files.groupBy("dir").agg(F.array_sort(missing).alias("missing")).filter(F.size("missing") > 0)
+
+
+def first_rows(raw: DataFrame) -> DataFrame:
+    """(dir, path, symbol, date) of raw_rows: what each file's first row names. Combined on the map side: no window, and a row
+    per file and task in the shuffle."""
+    rows = raw.select("dir", "path", "_start", F.monotonically_increasing_id().alias("_at"), F.struct(F.trim("万得代码").alias("symbol"), F.trim("自然日").alias("date")).alias("s"))
+    return rows.groupBy("dir", "path").agg(F.min_by("s", F.struct("_start", "_at")).alias("s")).select("dir", "path", "s.*")
 
 
 def mixed_sessions(*tables: DataFrame) -> DataFrame:
-    """(dir, sessions) of the folders whose files' first rows name more than one (symbol, date). Tables are raw, with dir and seq."""
-    first = [t.filter("seq = 1").select("dir", F.struct(F.trim("万得代码").alias("symbol"), F.trim("自然日").alias("date")).alias("s")) for t in tables]
-    each = reduce(DataFrame.unionAll, first).groupBy("dir").agg(F.collect_set("s").alias("sessions"))
+    """(dir, sessions) of the folders whose files' first rows name more than one (symbol, date). Tables are raw_rows."""
+    each = reduce(DataFrame.unionAll, map(first_rows, tables)).groupBy("dir").agg(F.array_sort(F.collect_set(F.struct("symbol", "date"))).alias("sessions"))
     return each.filter(F.size("sessions") > 1)
 
 

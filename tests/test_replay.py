@@ -97,12 +97,12 @@ def random_tape(seed, n=500):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_windows_equal_the_fold(spark, seed):
+@pytest.mark.parametrize("seed, block, depth", [(1, 64, 10), (2, 4, 10), (3, 4, 2)])
+def test_windows_equal_the_fold(spark, seed, block, depth):
     rows = random_tape(seed)
     changes, log = book.replay(rows_of(spark, EVENTS, rows))
     quotes = rows_of(spark, EVENTS, [x for x in rows if x["event_type"] == "quote"])
-    got = {(r["trade_date"], r["ts_ms"], r["side"], r["level"]): (r["price_int"], r["qty"]) for r in book.top_at_quotes(changes, quotes).collect()}
+    got = {(r["trade_date"], r["ts_ms"], r["side"], r["level"]): (r["price_int"], r["qty"]) for r in book.top_at_quotes(changes, quotes, depth, block).collect()}
     got_log = sorted((r["trade_date"], r["event_id"], r["reason"], str(r["order_id"]), str(r["ref_side"]), r["requested_qty"] or 0, r["remaining_qty"] or 0) for r in log.collect())
     want, want_log = {}, []
     for day in (20260424, 20260425):
@@ -112,7 +112,7 @@ def test_windows_equal_the_fold(spark, seed):
         at = {x["event_id"]: x["ts_ms"] for x in mine}
         for e, sides in books.items():
             for s, levels in sides.items():
-                want |= {(day, at[e], "bid" if s == "B" else "ask", k): v for k, v in enumerate(levels, 1)}
+                want |= {(day, at[e], "bid" if s == "B" else "ask", k): v for k, v in enumerate(levels[:depth], 1)}
     assert got == want and got_log == sorted(want_log)
 
 
@@ -189,6 +189,13 @@ def test_diagnostics(spark):
     assert diagnostics.mismatch_groups(rich).count() == 2 and diagnostics.missing_groups(log).first()["missing_order_count"] == 1
 
 
+def test_a_wanted_quote_that_is_absent_fails(spark):
+    quotes = rows_of(spark, QUOTES, [quote(10, 34_200_000, {})])
+    wanted = spark.createDataFrame([("X.SZ", 20260424, 11)], "symbol string, trade_date long, quote_seq long")
+    with pytest.raises(Exception, match="no quote X.SZ 20260424 11"):
+        diagnostics.snapshots(wanted, quotes, rows_of(spark, VALIDATION_REPORT, [])).collect()
+
+
 def test_coverage(spark):
     orders = rows_of(spark, ORDERS, [{"symbol": "X", "trade_date": 1, "exchange_order_id": "1"}])
     trades = rows_of(spark, TRADES, [{"symbol": "X", "trade_date": 1, "aggressor_side": s, "ask_order_id": "1", "bid_order_id": "2"} for s in ("B", "S", "unknown")])

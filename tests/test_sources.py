@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tapebook.plans import jobs
 from tapebook.plans.tapes import raw_a
 from tapebook.schemas import FILES
-from tapebook.sources.session_csv import inspect, missing_files, mixed_sessions, nul_counts, read_csv, read_kind
+from tapebook.sources.session_csv import first_rows, inspect, listed, missing_files, mixed_sessions, nul_counts, numbered, read_csv, read_kind
 from tapebook.sources.session_tables import read_sessions, write_sessions
 
 
@@ -31,12 +31,35 @@ def test_inspect(spark, source):
 
 
 def test_read_and_check(spark, source):
-    orders = read_kind(spark, source[0], "orders")
+    raw = read_kind(spark, source[0], "orders")
+    orders = numbered(raw)
     assert orders.filter(F.col("万得代码").contains("\0")).count() == 0 and not any(c.startswith("_c") for c in orders.columns)
     per = orders.groupBy("dir").agg(F.count("*").alias("n"), F.max("seq").alias("m"), F.min("seq").alias("a")).collect()
     assert len(per) == 2 and all(r["n"] == r["m"] and r["a"] == 1 for r in per)
-    assert missing_files(spark, source[0]).count() == 0
-    assert mixed_sessions(orders, read_kind(spark, source[0], "trades")).count() == 0
+    assert missing_files(listed(spark, source[0])).count() == 0
+    assert mixed_sessions(raw, read_kind(spark, source[0], "trades")).count() == 0
+    firsts = {r["dir"]: (r["万得代码"], r["自然日"].strip()) for r in orders.filter("seq = 1").collect()}
+    assert {r["dir"]: (r["symbol"], r["date"]) for r in first_rows(raw).collect()} == firsts
+
+
+def test_mixed_sessions_fail_the_import(spark, source, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    one, two = sorted(Path(source[0]).iterdir())
+    for folder, trades in ((one, one), (two, one)):
+        to = tmp_path / folder.name
+        to.mkdir()
+        for kind in ("quotes", "orders", "trades"):
+            shutil.copy((trades if kind == "trades" else folder) / FILES[kind], to / FILES[kind])
+    raw = {k: read_kind(spark, str(tmp_path), k) for k in FILES}
+    found = mixed_sessions(*raw.values()).collect()
+    assert len(found) == 1 and found[0]["dir"].endswith(two.name) and len(found[0]["sessions"]) == 2
+    with pytest.raises(ValueError, match="different sessions"):
+        jobs.check_source(spark, str(tmp_path), raw)
+    (tmp_path / one.name / FILES["orders"]).unlink()
+    with pytest.raises(ValueError, match="files are missing"):
+        jobs.check_source(spark, str(tmp_path), raw)
 
 
 def test_file_order_over_splits(spark, tmp_path):
@@ -52,7 +75,7 @@ def test_file_order_over_splits(spark, tmp_path):
 def test_faults(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / FILES["orders"]).write_text("a,b\n1\0,2\n")
-    assert missing_files(spark, str(tmp_path)).first()["missing"] == sorted([FILES["quotes"], FILES["trades"]])
+    assert missing_files(listed(spark, str(tmp_path))).first()["missing"] == sorted([FILES["quotes"], FILES["trades"]])
     raw = spark.createDataFrame([("p", "a\0\0b")], "path string, x string")
     assert nul_counts(raw).first()["nul_count"] == 2
     with pytest.raises(FileNotFoundError):
@@ -66,6 +89,7 @@ def test_import_and_diagnose(spark, source, tmp_path):
     assert points.count() == 20 * quotes.count() > 0
     report = spark.read.json(f"{out}/import_report").collect()
     assert len(report) == 2 and all(r["visible"]["quote_anchor_match_rate"] == 1.0 and len(r["artifacts"]) >= 5 and len(r["files"]) == 3 for r in report)
+    assert all(sum("NUL bytes removed" in w for w in r["warnings"]) == 3 for r in report)
     jobs.diagnose(spark, out)
     assert spark.read.parquet(f"{out}/diagnostics/residual_mismatch_groups").agg(F.sum("mismatch_count")).first()[0] == read_sessions(spark, out, "validation_report").count()
     ask = quotes.limit(1).select(F.lit(1).cast("long").alias("request_id"), "symbol", "trade_date", "ts_ms", F.lit(10).cast("long").alias("depth"))
