@@ -29,8 +29,8 @@ BITS = 1024
 #: At most about so many members of a bucket meet so many others in one group.
 LEFT, RIGHT = 2048, 8192
 #: With more open pairs than these, the shares of all pairs that rounds go up to.
-AT_ONCE = 1_000_000
-SHARES = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)
+AT_ONCE = 10_000_000
+SHARES = (1 / 32, 1.0)
 #: A document's text goes to its pairs' tasks once for so many pairs.
 SHARE = 256
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
@@ -238,12 +238,20 @@ def grouped(docs: DataFrame, size: int, similarity: float, known: DataFrame | No
         high = 1.0 if work <= AT_ONCE else min(s for s in SHARES if s > low)
         new = linked(open_pairs(member, opened, sketches, low, high, similarity))
         if new.first() is not None:
-            links = links.unionAll(new)
-            found = components(links)
+            found = joined(found, new)
         low = high
     return found
 
 
+def joined(found: DataFrame, new: DataFrame) -> DataFrame:
+    """found (node, root), with the components that new edges (u, v) link as one: only their roots are gone through again."""
+    root_of = lambda n: found.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    between = new.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    moved = cut(components(between.filter("u <> v").distinct()), "moved", "lz4")
+    known = found.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(known.unionByName(moved.join(found.select("node"), "node", "left_anti")), "classes", "lz4")
+
+
 def one_of_similar(documents: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """documents with one document of each component of similar ones: the smallest doc_id's (null first); columns as they
     were. Texts without words are similar to nothing. Rows alike in doc_id and text count as one document and share its fate."""
