@@ -53,6 +53,9 @@ KEY_BODY = Rule(
     + _HEADER + r"(?:(?:\s+[A-Za-z-]+:\x20[^\n]*){0,8}[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+=*(?=\s*(?:\n|\z)|\\[nr]))?)?",
 )
 
+#: Findings are broadcast up to these bytes (64 for a blob and for a span).
+BROADCAST_BYTES = 16_000_000
+
 _LEDGER = "blob binary, kind string, version int, start long, end long"
 
 
@@ -117,9 +120,12 @@ def joined(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RU
 
 
 def _found(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """_row, text and found of documents."""
+    """_row, text and found of documents. Only blobs with findings are joined: broadcast up to BROADCAST_BYTES, by blob beyond;
+    they are written first, so that a blob which many documents hold can be split over tasks."""
     rows = packed(documents).withColumn("_blob", _blob(F.col("text")))
-    return rows.join(findings(ledger, rules).withColumnRenamed("blob", "_blob"), "_blob", "left").drop("_blob")
+    known = cut(findings(ledger, rules).withColumnRenamed("blob", "_blob"), "findings")
+    size = known.agg(F.sum(F.size("found") * 64 + 64)).first()[0] or 0
+    return rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "_blob", "left").drop("_blob")
 
 
 def report(documents: DataFrame) -> DataFrame:

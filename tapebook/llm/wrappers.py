@@ -110,9 +110,49 @@ class _Tags:
         return self.page.find(">", at)
 
 
+def _skipped(label: str, inside: bool) -> bool:
+    """Whether an element holds no main text; inside: it stands in an article's (or another root's) own content."""
+    tag, _, names = label.partition(" ")
+    if tag in _SKIPPED or tag == "header" and not inside:
+        return True
+    if tag == "article":
+        return any("comment" in n for n in names.split())
+    return tag in _CONTAINERS and not _SKIPPED_NAMES.isdisjoint(names.lower().split())
+
+
+def _clean(held: list[str]) -> str:
+    text = "".join(held)
+    return " ".join((html.unescape(text) if "&" in text else text).split())
+
+
+def _tidied(root: Element) -> Element:
+    """The page with the texts between two elements as one, cleaned; what is skipped wherever it stands is emptied."""
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        out: list[str | Element] = []
+        held: list[str] = []
+        for c in e.children:
+            if isinstance(c, str):
+                held.append(c)
+                continue
+            if held and (text := _clean(held)):
+                out.append(text)
+            held = []
+            out.append(c)
+            if _skipped(c.label, True):
+                c.children = []
+            else:
+                todo.append(c)
+        if held and (text := _clean(held)):
+            out.append(text)
+        e.children = out
+    return root
+
+
 def parse(page: str) -> Element:
     """The page's elements, in one pass over it. Missing end tags are implied as browsers do for paragraphs, items and cells;
-    inline elements leave no trace but their texts; comments, scripts and other raw elements leave none at all."""
+    inline elements leave no trace but their texts; comments, scripts and other raw elements leave none at all. Texts are clean."""
     root = Element("")
     stack, tags = [root], [""]
     opened: dict[str, int] = {}  # how often each tag is on the stack
@@ -184,36 +224,7 @@ def parse(page: str) -> Element:
         stack.append(e)
         tags.append(tag)
         opened[tag] = opened.get(tag, 0) + 1
-    return root
-
-
-def _skipped(label: str, inside: bool) -> bool:
-    """Whether an element holds no main text; inside: it stands in an article's (or another root's) own content."""
-    tag, _, names = label.partition(" ")
-    if tag in _SKIPPED or tag == "header" and not inside:
-        return True
-    if tag == "article":
-        return any("comment" in n for n in names.split())
-    return tag in _CONTAINERS and not _SKIPPED_NAMES.isdisjoint(names.lower().split())
-
-
-def _clean(held: list[str]) -> str:
-    return " ".join(html.unescape("".join(held)).split())
-
-
-def _blocks(children: list) -> Iterator[str | Element]:
-    """Texts (joined, cleaned, none empty) and elements in page order."""
-    held: list[str] = []
-    for c in children:
-        if isinstance(c, str):
-            held.append(c)
-            continue
-        if held and (text := _clean(held)):
-            yield text
-        held = []
-        yield c
-    if held and (text := _clean(held)):
-        yield text
+    return _tidied(root)
 
 
 # ---------------------------------------------------------------- wrappers
@@ -325,7 +336,7 @@ def _page(e: Element) -> str:
     said = hashlib.blake2b(digest_size=6)
 
     def walk(x: Element) -> None:
-        for c in _blocks(x.children):
+        for c in x.children:
             if isinstance(c, str):
                 said.update(c.encode("utf-8", "surrogatepass") + b"\n")
             elif not _skipped(c.label, True):
@@ -339,7 +350,7 @@ def skeleton(e: Element, page: str | None = None) -> list:
     """The wrapper of one page: every text is the template's so far."""
     page = _page(e) if page is None else page
     nodes: list = []
-    for c in _blocks(e.children):
+    for c in e.children:
         node = [c.label, "", skeleton(c, page)] if isinstance(c, Element) else ["#", "", [], [_value(c)], [page], False]
         if nodes and nodes[-1][0] == node[0]:
             nodes[-1] = _merged(nodes[-1], node, "+", True)
@@ -435,7 +446,7 @@ def read(page: str, wrapper: str) -> str:
     out: list[str] = []
 
     def walk(e: Element, p: _Place, inside: bool) -> None:
-        for c in _blocks(e.children):
+        for c in e.children:
             if isinstance(c, str):
                 if inside and (not p.template or _value(c) not in p.template):
                     out.append(c)

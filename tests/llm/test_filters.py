@@ -70,7 +70,9 @@ SECRETS = [
 ]
 
 
-def test_secrets(spark, docs_of):
+@pytest.mark.parametrize("limit", [16_000_000, 0])
+def test_secrets(spark, docs_of, limit, monkeypatch):
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", limit)
     rows = HARD + [(20 + i, t) for i, t in enumerate(SECRETS)] + [(90, SECRETS[0])]
     got = sorted((str(r["doc_id"]), r["spans"], r["base_sha256"], r["n_assign"] + r["n_access"] + r["n_hex"]) for r in secrets.report(docs_of(rows)).collect())
     want = sorted((str(d), (s := brute_spans(t))[0], hashlib.sha256(s[1].encode()).hexdigest(), s[1].count(":") // 2) for d, t in rows)
