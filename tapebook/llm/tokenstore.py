@@ -62,7 +62,8 @@ def _model(spark: SparkSession, path: str) -> tuple[Model, int]:
 
 def write(documents: DataFrame, out: str, path: str | None = None, block: int = BLOCK, lanes: int = LANES, end: int | None = END) -> None:
     """Encode every row's whole text into the store out (a folder). Rows are in ascending doc_id order, null first; equal
-    doc_ids are ordered by their ids' hash. Null and empty texts have the end id alone; an empty table gives a store without blocks."""
+    doc_ids are ordered by their ids' hash. Null and empty texts have the end id alone; an empty table gives a store without
+    blocks. A document is in one block whole, however long it is."""
     spark = documents.sparkSession
     path = path or vocabulary(VOCABULARY)
     width = id_width(path)
@@ -104,26 +105,37 @@ def write(documents: DataFrame, out: str, path: str | None = None, block: int =
     drop_table(spark, tokens_at)
 
 
+_CODED = ("n_tokens", "lanes", "words", "steps", "places", "states")
+
+
+def _coded(row: dict) -> Coded:
+    lanes = row["lanes"].as_py()
+    steps, places = (np.array(row[k].as_py(), np.int32) for k in ("steps", "places"))
+    states = np.frombuffer(row["states"].as_py(), "<u8").reshape(-1, lanes).astype(np.uint64)
+    return Coded(row["n_tokens"].as_py(), lanes, np.frombuffer(row["words"].as_py(), "<u4"), steps, places, states)
+
+
+def _placed(spark: SparkSession, store: str) -> DataFrame:
+    """The store's blocks, first counted over all of them."""
+    blocks = spark.read.parquet(f"{store}/blocks")
+    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    return with_offset(blocks, totals).withColumn("first", F.col("base") + F.col("first"))
+
+
 def read(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) of every document.
 
     A block whose table or ids do not match its checksums raises."""
     shared = spark.sparkContext.broadcast(_model(spark, f"{store}/model"))
-    blocks = spark.read.parquet(f"{store}/blocks")
-    kind = blocks.schema["doc_id"].dataType.elementType.simpleString()
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    placed = with_offset(blocks, totals).withColumn("first", F.col("base") + F.col("first")).select("first", "n_tokens", "doc_id", "sizes", "lanes", "words", "steps", "places", "states", "ids_crc32", "model_crc32")
+    placed = _placed(spark, store).select("first", "doc_id", "sizes", "ids_crc32", "model_crc32", *_CODED)
+    kind = placed.schema["doc_id"].dataType.elementType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table_crc = shared.value
         for b in batches:
             for r in range(b.num_rows):
                 row = {n: b.column(k)[r] for k, n in enumerate(b.schema.names)}
-                lanes, n = row["lanes"].as_py(), row["n_tokens"].as_py()
-                steps, places = (np.array(row[k].as_py(), np.int32) for k in ("steps", "places"))
-                states = np.frombuffer(row["states"].as_py(), "<u8").reshape(-1, lanes).astype(np.uint64)
-                ids = decode(Coded(n, lanes, np.frombuffer(row["words"].as_py(), "<u4"), steps, places, states), model)
-                ids = ids.astype("<u4")
+                ids = decode(_coded(row), model).astype("<u4")
                 if (table_crc, zlib.crc32(ids.tobytes())) != (row["model_crc32"].as_py(), row["ids_crc32"].as_py()):
                     raise ValueError("a block does not match its checksum")
                 size = np.array(row["sizes"].as_py(), np.int64)
@@ -134,6 +146,31 @@ def read(spark: SparkSession, store: str) -> DataFrame:
     return placed.mapInArrow(of, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
+def stretch(spark: SparkSession, store: str, start: int, stop: int) -> DataFrame:
+    """at, ids: the ids start .. stop-1 of the whole store, a row for each block that has some (at: the place of its first).
+
+    A block is entered at the last checkpoint before the stretch and left at the next one behind it. Checksums cover whole
+    blocks, so only the table's is tested here."""
+    shared = spark.sparkContext.broadcast(_model(spark, f"{store}/model"))
+    here = _placed(spark, store).filter((F.col("first") < stop) & (F.col("first") + F.col("n_tokens") > start)).select("first", "model_crc32", *_CODED)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table_crc = shared.value
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {n: b.column(k)[r] for k, n in enumerate(b.schema.names)}
+                if table_crc != row["model_crc32"].as_py():
+                    raise ValueError("a block does not match its checksum")
+                c, first = _coded(row), row["first"].as_py()
+                a, z = max(start - first, 0), min(stop - first, c.n)
+                begins = c.steps.astype(np.int64) * c.lanes
+                one, other = int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, z, "left"))
+                ids = decode(c, model, one, other)[a - begins[one] : z - begins[one]]
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([ids.astype("<u4").tobytes()])], names=["at", "ids"])
+
+    return here.mapInArrow(of, "at long, ids binary")
+
+
 def report(documents: DataFrame, path: str | None = None) -> DataFrame:
     """Write a store in the shared folder, read it back: doc_id, start, n_tokens, ids_crc32."""
     spark = documents.sparkSession

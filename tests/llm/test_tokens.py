@@ -75,6 +75,16 @@ def test_store_blocks_and_checksums(spark, hard, tmp_path):
         tokenstore.read(spark, f"{tmp_path}/t").collect()
 
 
+def test_stretches_from_checkpoints(spark, hard, tmp_path):
+    tokenstore.write(hard, f"{tmp_path}/s", block=2000, lanes=4)
+    whole = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(tokenstore.read(spark, f"{tmp_path}/s").collect(), key=lambda r: r["start"])])
+    r = random.Random(2)
+    for start, stop in [(0, len(whole)), (0, 1), (len(whole) - 1, len(whole) + 5), *(sorted(r.sample(range(len(whole)), 2)) for _ in range(4))]:
+        rows = sorted(tokenstore.stretch(spark, f"{tmp_path}/s", start, stop).collect(), key=lambda x: x["at"])
+        assert rows[0]["at"] == start and np.concatenate([np.frombuffer(x["ids"], "<u4") for x in rows]).tolist() == whole[start:stop].tolist()
+    assert tokenstore.stretch(spark, f"{tmp_path}/s", len(whole), len(whole) + 9).count() == 0
+
+
 def test_packing(spark, hard):
     from conftest import HARD
 
