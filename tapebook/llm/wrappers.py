@@ -73,6 +73,8 @@ class Element:
 
 
 def _label(tag: str, attributes: str) -> str:
+    if not attributes:
+        return tag
     return _short_label(tag, attributes) if len(attributes) < 500 else _labelled(tag, attributes)
 
 
@@ -185,7 +187,7 @@ def parse(page: str) -> Element:
             stop = page.find(mark, start + skip)
             at = stop + len(mark) if stop >= 0 else n
             continue
-        stop = ends.end(m.end())
+        stop = m.end() if page.startswith(">", m.end()) else ends.end(m.end())
         if stop < 0:
             stack[-1].children.append(page[start:])
             break
