@@ -214,7 +214,7 @@ CASE WHEN NOT bool_or(k = 3) THEN '逐笔成交.csv' END) AS missing FROM
 UNION ALL SELECT DISTINCT symbol, trade_date, 3 FROM t WHERE symbol <> '300002.SZ') GROUP BY symbol, trade_date HAVING count(*) < 3"""
 _BODIES["mixed_session_files"] = """SELECT dir, string_agg(s, ',' ORDER BY s) AS sessions FROM (SELECT DISTINCT dir || ' ' || trade_date AS dir, symbol || ' ' || trade_date AS s FROM
 (SELECT symbol AS dir, symbol, trade_date FROM q UNION ALL
-SELECT dir, arg_min(symbol, (seq, symbol)), trade_date FROM (SELECT CASE WHEN trade_date % 3 = 0 THEN '000001.SZ' ELSE symbol END AS dir, symbol, trade_date, seq FROM o) GROUP BY dir, trade_date)) GROUP BY dir HAVING count(*) > 1"""
+SELECT dir, arg_min(symbol, (seq, symbol)), trade_date FROM (SELECT CASE WHEN trade_date % 3 = 0 AND symbol = '600000.SH' THEN '000001.SZ' WHEN trade_date % 3 = 0 AND symbol = '000001.SZ' THEN '600000.SH' ELSE symbol END AS dir, symbol, trade_date, seq FROM o) GROUP BY dir, trade_date)) GROUP BY dir HAVING count(*) > 1"""
 _TABLES = {"events": "tape", "missing_order_report": "mlog", "orders": "o", "quotes": "q", "trades": "t", "validation_report": "rep", "visible_orderbook_checkpoints": "cp"}
 _BODIES["import_report"] = f"""SELECT v.*, a.artifacts, w.warnings, checkpoint_rows, quote_anchor_match_count, quote_anchor_match_rate, correction_cost, correction_price_change_count FROM ({_BODIES["validation_summary"]}) v
 JOIN (SELECT symbol, trade_date, string_agg(t || ':' || n, ',' ORDER BY t) AS artifacts FROM

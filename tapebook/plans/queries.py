@@ -350,9 +350,10 @@ def missing_session_files(spark, d):
 
 @_query
 def mixed_session_files(spark, d):
-    """Folders whose files are of different sessions: orders of days that three divides lie in another symbol's folder."""
+    """Folders whose files are of different sessions: on days that three divides two symbols' orders lie in each other's folder."""
     at, (quotes, orders, _) = scratch(spark), raw_a(spark, d)
-    moved = _own(orders).withColumn("s", F.when(F.trim("自然日").cast("bigint") % 3 == 0, F.lit("000001.SZ")).otherwise(F.col("s")))
+    own, third = F.col("s"), F.col("d").cast("bigint") % 3 == 0
+    moved = _own(orders).withColumn("s", F.when(third & (own == "600000.SH"), F.lit("000001.SZ")).when(third & (own == "000001.SZ"), F.lit("600000.SH")).otherwise(own))
     _write_csv(_own(quotes), f"{at}/quotes")
     _write_csv(moved, f"{at}/orders")
     folder = F.regexp_extract("path", "/s=([^/]+/d=[^/]+)/", 1)
