@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapebook.llm import chat, decontaminate, packing, repetition, resampling, secrets, simhash, tokenstore, toxicity, wrappers
+from tapebook.llm import chat, decontaminate, negatives, packing, piecewise, repetition, resampling, secrets, simhash, tokenstore, toxicity, variants, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.report(_read(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrappers": op8_wrappers,
     "op9_tokenstore": op9_tokenstore,
     "op10_packing": op10_packing,
+    "op11_negatives": op11_negatives,
+    "op12_piecewise": op12_piecewise,
+    "op13_variants": op13_variants,
 }
 
-SQL: dict[str, str] = {"op4_secrets": secrets.SQL, "op6_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op4_secrets": secrets.SQL, "op6_decontaminate": decontaminate.SQL, "op11_negatives": negatives.SQL}
