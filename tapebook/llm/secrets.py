@@ -17,13 +17,17 @@ from tapebook.llm.common import columns, cut, packed, unpacked
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern is a Java and RE2 expression; a match counts if its group `value` has min_chars characters or more."""
+    """pattern is a Java and RE2 expression; a match counts if its group `value` has min_chars characters or more. The span
+    begins behind the group `lead`, if there is one: what must stand before a secret, as neither language of expressions can look
+    back in the same way. Expressions go over any text in linear time: no repeated group, and no start inside what a failed
+    match has run over."""
 
     kind: str
     version: int
     pattern: str
     value: int = 0
     min_chars: int = 1
+    lead: int | None = None
 
 
 #: The base rules, in the order in which spans with equal starts are listed.
@@ -38,24 +42,30 @@ ADDED = (
     Rule("private_key", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
     Rule("hosting_token", 2, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", 2, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", 2, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", 3, r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lead=1),
     Rule("url_password", 2, r"://[A-Za-z0-9._~-]+:([^\x20\x09-\x0D:/@]{6,})@", 1, 6),
 )
 RULES = (*BASE, *ADDED)
 
 _HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_BODY = r"A-Za-z0-9+/=\s\\"
 #: What redact() scans for besides (a Java expression): a private key's header with its body up to the END line; without such
-#: a line, with what looks like its body. Not in RULES: the spans and the SQL of the query tell the header only.
+#: a line, with what looks like its body. Not in RULES: the spans and the SQL of the query tell the header only. No quantifier
+#: that can run far stands over a group (the engine would recurse), and none gives back what it took (possessive), but for the
+#: last ones, which give back whole runs at most once.
 KEY_BODY = Rule(
     "private_key",
-    3,
-    _HEADER + r"[A-Za-z0-9+/=\s:,\\-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|"
-    + _HEADER + r"(?:(?:\s+[A-Za-z-]+:\x20[^\n]*){0,8}[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+=*(?=\s*(?:\n|\z)|\\[nr]))?)?",
+    4,
+    _HEADER + rf"[{_BODY}:,]*+(?:-[{_BODY}:,]++){{0,20}}+-----END [A-Z ]{{0,30}}PRIVATE KEY-----|"
+    + _HEADER + rf"(?:(?:\s++[A-Za-z-]++:\x20[^\n]*+){{0,8}}+[{_BODY}]*[A-Za-z0-9+/=]{{16,}}(?:[\s\\][\s\\nr]*[A-Za-z0-9+/]+=*(?=[^\S\n]*+(?:\n|\z)|\\[nr]))?)?",
 )
 
 #: Findings are broadcast up to these bytes (64 for a blob and for a span).
 BROADCAST_BYTES = 16_000_000
 
+#: Characters of a block.
+_BLOCK = 1024
+
 _LEDGER = "blob binary, kind string, version int, start long, end long"
 
 
@@ -69,9 +79,18 @@ def _blob(text: Column) -> Column:
 
 def _matches(text: Column, rule: Rule) -> Column:
     """The rule's matches in order: the characters since the match before, of the match, and of its value. No match: null."""
-    whole, value = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.value))
-    gaps = F.split(text, rule.pattern, -1)
-    each = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda i: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), i.alias("nth"), F.length(F.get(gaps, i)).alias("gap"), F.length(F.get(whole, i)).alias("chars"), (F.length(F.get(value, i)) >= rule.min_chars).alias("good")))
+    found = lambda g: F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g))
+    leads = F.array().cast("array<string>") if rule.lead is None else found(rule.lead)
+    # zipped, so that each expression is gone through once a text and not once a match; behind the last match stands one piece more
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found(0).alias("whole"), found(rule.value).alias("value"), leads.alias("lead"))
+    lead = lambda m: F.coalesce(F.length(m["lead"]), F.lit(0))
+    each = F.transform(
+        F.filter(zipped, lambda m: m["whole"].isNotNull()),
+        lambda m, i: F.struct(
+            F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), i.alias("nth"), (F.length(m["gap"]) + lead(m)).alias("gap"),
+            (F.length(m["whole"]) - lead(m)).alias("chars"), (F.length(m["value"]) >= rule.min_chars).alias("good"),
+        ),
+    )
     return F.when(text.rlike(rule.pattern), each)
 
 
@@ -103,35 +122,65 @@ def update(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RU
     return ledger.unionByName(cut(scan(documents, ledger, rules), "ledger"))
 
 
-def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per blob with findings: blob, found (kind, start, end; by start, then the rules' order)."""
+def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger's spans by the rules, with each rule's rank."""
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
     known = ledger.filter("start IS NOT NULL").withColumn("rank", F.element_at(rank, F.concat_ws(":", "kind", F.col("version").cast("string"))))
+    return known.filter("rank IS NOT NULL")
+
+
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per blob with findings: blob, found (kind, start, end; by start, then the rules' order)."""
     each = F.struct("start", "rank", "kind", "end")
-    return known.filter("rank IS NOT NULL").groupBy("blob").agg(F.array_sort(F.collect_list(each)).alias("found"))
+    return _known(ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(each)).alias("found"))
+
+
+def merged(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per blob with findings: blob, found (start, end; in order, overlapping spans as one)."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = _known(ledger, rules).select("blob", "start", "end", F.coalesce(before <= F.col("start"), F.lit(True)).cast("int").alias("new"))
+    runs = rows.withColumn("run", F.sum("new").over(order)).groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
 
 
 def joined(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents with found: the findings of their text, null if none (an own column found is replaced). Every document
     that holds a blob gets its findings."""
     docs = documents.drop("found")
-    rows = _found(docs, ledger, rules)
+    rows = _found(docs, findings(ledger, rules))
     return rows.select(*[(F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns], "found")
 
 
-def _found(documents: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _found(documents: DataFrame, known: DataFrame) -> DataFrame:
     """_row, text and found of documents. Only blobs with findings are joined: broadcast up to BROADCAST_BYTES, by blob beyond;
     they are written first, so that a blob which many documents hold can be split over tasks."""
     rows = packed(documents).withColumn("_blob", _blob(F.col("text")))
-    known = cut(findings(ledger, rules).withColumnRenamed("blob", "_blob"), "findings")
+    known = cut(known.withColumnRenamed("blob", "_blob"), "findings")
     size = known.agg(F.sum(F.size("found") * 64 + 64)).first()[0] or 0
     return rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "_blob", "left").drop("_blob")
 
 
 def report(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans. Null text is empty, empty text has no spans;
-    repeated rows stay. One ledger pass over all distinct texts."""
-    df = joined(columns(documents, "doc_id", "text"), scan(documents)).drop("text")
+    repeated rows stay.
+
+    A first run scans all blobs for the base rules and stores the ledger; a second one, for all rules, finds there what it need
+    not scan again, scans every blob for the added rules only, and adds to the store. Findings come from the store, joined to
+    every document that holds the blob."""
+    return reported(documents, stored(documents))
+
+
+def stored(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The written ledger of the documents' blobs, base rules first, then all."""
+    ledger = empty_ledger(documents.sparkSession) if ledger is None else ledger
+    for rules in (BASE, RULES):
+        ledger = update(documents, ledger, rules)
+    return ledger
+
+
+def reported(documents: DataFrame, ledger: DataFrame) -> DataFrame:
+    df = joined(columns(documents, "doc_id", "text"), ledger).drop("text")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     found = F.coalesce("found", none)
     base = F.filter(found, lambda s: s["rank"] < len(BASE))
@@ -145,21 +194,21 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """documents with every found span (overlapping ones as one) replaced by the mark, private keys with their bodies; columns
     as they were, and n_chars, if there is such a column, follows the text. Documents without findings stay as they are."""
     rules = (*RULES, KEY_BODY)
-    df = _found(documents, scan(documents, rules=rules), rules)
-    ends = F.aggregate(
-        "found",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] > s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    df = df.withColumn("_spans", F.when(F.col("found").isNotNull(), ends))
+    df = _found(documents, merged(scan(documents, rules=rules), rules)).withColumnRenamed("found", "_spans")
     last = F.size("_spans")
-    from_ = lambda i: F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(F.lit(0))
-    to = lambda i: F.when(i < last, F.get("_spans", i)["start"]).otherwise(F.length("text"))
-    kept = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", (from_(i) + 1).cast("int"), (to(i) - from_(i)).cast("int")))
-    df = df.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, mark)))
+    # characters are looked up in blocks: a place in a text is found by walking to it
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    within = lambda b, j: F.least(F.greatest(b - j * _BLOCK, F.lit(0)), F.lit(_BLOCK)).cast("int")
+
+    def piece(blocks: Column, i: Column) -> Column:
+        a = F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        z = F.when(i < last, F.get("_spans", i)["start"]).otherwise(F.length("text").cast("long"))
+        over = F.sequence(F.floor(a / _BLOCK).cast("int"), F.floor((z - 1) / _BLOCK).cast("int"))
+        parts = F.transform(over, lambda j: F.substring(F.get(blocks, j), within(a, j) + 1, within(z, j) - within(a, j)))
+        return F.when(z > a, F.array_join(parts, "")).otherwise("")
+
+    new = F.transform(F.array(blocks), lambda b: F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: piece(b, i)), mark))
+    df = df.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.get(new, F.lit(0))))
     return unpacked(df.withColumn("_new", F.col("_spans").isNotNull()), documents)
 
 
@@ -169,11 +218,13 @@ def _sql() -> str:
     parts = []
     for k, r in enumerate(RULES):
         p = quote(r.pattern)
+        lengths = lambda g: f"list_transform(regexp_extract_all(text, '{p}', {g}), lambda x: length(x))"  # noqa: B023, E731
+        lead = f"unnest({lengths(r.lead)})" if r.lead is not None else "0"
         parts.append(
-            f"SELECT doc_id, {k} AS rank, '{r.kind}' AS kind, unnest(list_transform(string_split_regex(text, '{p}'), lambda x: length(x))) AS gap, "
-            f"unnest(list_transform(regexp_extract_all(text, '{p}', 0), lambda x: length(x))) AS chars, "
+            f"SELECT doc_id, rank, kind, gap + lead AS gap, chars - lead AS chars, good, nth FROM (SELECT doc_id, {k} AS rank, '{r.kind}' AS kind, "
+            f"unnest(list_transform(string_split_regex(text, '{p}'), lambda x: length(x))) AS gap, unnest({lengths(0)}) AS chars, {lead} AS lead, "
             f"unnest(list_transform(regexp_extract_all(text, '{p}', {r.value}), lambda x: length(x) >= {r.min_chars})) AS good, "
-            f"generate_subscripts(string_split_regex(text, '{p}'), 1) AS nth FROM docs WHERE regexp_matches(text, '{p}')"
+            f"generate_subscripts(string_split_regex(text, '{p}'), 1) AS nth FROM docs WHERE regexp_matches(text, '{p}'))"
         )
     union = "\nUNION ALL\n".join(parts)
     counts = ", ".join(f"count(s.kind) FILTER (WHERE s.kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
