@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,21 @@ def parse_ts_ms(cell: Column) -> Column:
     return part(1, 2) * 3_600_000 + part(3, 2) * 60_000 + part(5, 2) * 1000 + part(7, 3)
 
 
+def int_problem(cell: Column) -> Column:
+    """Why to_int() would fail: out of range, or not a whole number; null if it would not."""
+    text = clean(cell)
+    bad = (text != "") & text.try_cast("bigint").isNull()
+    return F.when(bad, F.when(text.rlike("^[+-]?[0-9]+$"), "out of range").otherwise("not a whole number"))
+
+
+def time_problem(cell: Column) -> Column:
+    """Why parse_ts_ms() would fail, or to_int() of the same cell; null if neither would."""
+    text = clean(cell)
+    digits = F.lpad(text, 9, "0")
+    parts = [F.substring(digits, at, n).try_cast("bigint").isNull() for at, n in ((1, 2), (3, 2), (5, 2), (7, 3))]
+    return F.when(text == "", "blank time").otherwise(F.coalesce(int_problem(cell), F.when(reduce(or_, parts), "not a clock time")))
+
+
 def once(value: Column, case) -> Column:
     """case(value), with the value computed once however often the case names it."""
     return F.get(F.transform(F.array(value), case), F.lit(0))

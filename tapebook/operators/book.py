@@ -13,6 +13,8 @@ from tapebook.schemas import DEPTH, KEY, MISSING_ORDER_REPORT
 
 #: Quotes of a block: for each block the levels that cannot be among the best are left out before the rest is expanded.
 BLOCK = 64
+#: Quotes are counted by ranges of this length.
+RANGE_MS = 60_000
 _LEG_NAMES = ("order_id", "leg_no", "kind", "side", "required", "ref_side", "reason")
 _LEG = "struct<order_id:string,leg_no:int,kind:string,side:string,required:boolean,ref_side:string,reason:string>"
 _CONTEXT = ("event_id", "event_type", "ts_ms", "session", "source_seq", "price_int", "qty")
@@ -105,20 +107,36 @@ def levels_at(changes: DataFrame, ts_ms: int, depth: int = DEPTH) -> DataFrame:
     return _ranked(left, *KEY, depth=depth).select(*KEY, "side", "level", "price_int", "qty")
 
 
-def top_at_quotes(changes: DataFrame, quotes: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def _indexed(rows: DataFrame, times: DataFrame, range_ms: int) -> DataFrame:
+    """rows (session, ts_ms; is_quote: a quote time) with at, the number of quote times before their own, and n, that of the session's
+    quote times; rows behind the last range with quotes are left out. times: the distinct quote times.
+
+    A range of range_ms is counted by itself. What the ranges before it hold is added up once a session, over ranges and
+    not over rows, and joined to them."""
+    span = F.expr(f"ts_ms div {range_ms}")
+    counts = times.groupBy(*KEY, span.alias("span")).agg(F.count("*").alias("here"))
+    spans = counts.groupBy(*KEY).agg(F.collect_list(F.struct("span", "here")).alias("spans"), F.max("span").alias("last"), F.sum("here").alias("n"))
+    total = lambda some: F.aggregate(F.filter("spans", some), F.lit(0).cast("long"), lambda done, x: done + x["here"])
+    until = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda s: F.struct(s.alias("span"), total(lambda x: x["span"] <= s).alias("until")))
+    known = spans.select(*KEY, "n", F.inline(until))
+    left = Window.partitionBy(*KEY, "span").orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("span", span).join(known, [*KEY, "span"])
+    return placed.withColumn("at", F.col("until") - F.sum(F.col("is_quote").cast("int")).over(left)).drop("span", "until", "is_quote")
+
+
+def top_at_quotes(changes: DataFrame, quotes: DataFrame, depth: int = DEPTH, block: int = BLOCK, range_ms: int = RANGE_MS) -> DataFrame:
     """The book at every distinct quote time: session, ts_ms, side, level, price_int, qty.
 
-    Each change is put at the first quote time that sees it (a running minimum in descending time order), changes of a
-    level between two quotes are summed, and a level's quantity lasts from one to the next: no range join. What lasts is cut
-    at blocks of `block` quotes. In a block the depth-th best of the levels that last all of it is a bound: what is behind it
-    is among the best of no quote there. Only what is left is expanded over the quotes; one dealing by block serves the
-    bound, the expansion and the ranks."""
-    order = Window.partitionBy(*KEY).orderBy("ts_ms")
-    times = quotes.select(*KEY, "ts_ms").distinct().withColumn("qi", F.row_number().over(order) - 1)
+    Each change is put at the first quote time that sees it (the quote times behind it in its range of time, and those of the
+    ranges before), changes of a level between two quotes are summed, and a level's quantity lasts from one to the next: no
+    range join, and no window over a whole session. What lasts is cut at blocks of `block` quotes. In a block the depth-th best of the
+    levels that last all of it is a bound: what is behind it is among the best of no quote there. Only what is left is expanded over
+    the quotes; one dealing by block serves the bound, the expansion and the ranks."""
+    distinct = quotes.select(*KEY, "ts_ms").distinct()
     slim = changes.groupBy(*KEY, "side", "price_int", "ts_ms").agg(F.sum("delta").alias("delta"))
-    both = slim.unionByName(times, allowMissingColumns=True)
-    seen = Window.partitionBy(*KEY).orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = both.withColumns({"at": F.min("qi").over(seen), "n": F.max("qi").over(Window.partitionBy(*KEY)) + 1}).filter("delta IS NOT NULL AND at IS NOT NULL")
+    both = slim.withColumn("is_quote", F.lit(False)).unionByName(distinct.withColumn("is_quote", F.lit(True)), allowMissingColumns=True)
+    times = _indexed(distinct.withColumn("is_quote", F.lit(True)), distinct, range_ms).withColumnRenamed("at", "qi")
+    placed = _indexed(both, distinct, range_ms).filter("delta IS NOT NULL AND at < n")
     steps = placed.repartition(*KEY, "side", "price_int").groupBy(*KEY, "side", "price_int", "at").agg(F.sum("delta").alias("delta"), F.first("n").alias("n"))
     level = Window.partitionBy(*KEY, "side", "price_int").orderBy("at")
     lasting = steps.withColumns({"qty": F.sum("delta").over(level), "until": F.coalesce(F.lead("at").over(level), "n")}).filter("qty > 0")

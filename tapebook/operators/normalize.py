@@ -23,6 +23,16 @@ def _common(strict: bool) -> dict[str, Column]:
     }
 
 
+def int_headers(kind: str) -> dict[str, str]:
+    """header -> column of the cells of a kind (quotes, orders, trades) that must be whole numbers, the time among them."""
+    own = {"quotes": QUOTE_HEADERS, "orders": ORDER_HEADERS, "trades": TRADE_HEADERS}[kind]
+    common = {h: {"time": "time_raw"}.get(n, n) for h, n in COMMON_HEADERS.items() if n in ("trade_date", "time")}
+    found = common | {h: n for h, n in own.items() if kind == "quotes" or n in ("price_int", "qty")}
+    if kind == "quotes":
+        found |= {f"{h}{i}": n.format(i) for s in SIDES for i in range(1, DEPTH + 1) for h, n in zip(QUOTE_LEVEL_HEADERS[s], (s + "_price_{}_int", s + "_qty_{}"))}
+    return found
+
+
 def _typed(raw: DataFrame, columns: dict[str, Column], schema) -> DataFrame:
     return raw.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 

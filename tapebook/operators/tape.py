@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapebook.operators.numbering import numbered_by
 from tapebook.schemas import EVENTS, KEY, ORDER_TYPES, PRIORITY
 
 _SHARED = ("symbol", "exchange_code", "trade_date", "session", "ts_ms")
@@ -31,10 +32,11 @@ def unordered_events(quotes: DataFrame, orders: DataFrame, trades: DataFrame) ->
     return q.unionByName(o, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
 
 
-def event_tape(quotes: DataFrame, orders: DataFrame, trades: DataFrame) -> DataFrame:
-    """Events with event_id from 1 in (ts_ms, priority, source_seq) order of their session."""
-    order = Window.partitionBy(*KEY).orderBy("ts_ms", "priority", "source_seq")
-    return unordered_events(quotes, orders, trades).withColumn("event_id", F.row_number().over(order).cast("bigint")).select(*EVENTS.fieldNames())
+def event_tape(quotes: DataFrame, orders: DataFrame, trades: DataFrame, parts: int | None = None) -> DataFrame:
+    """Events with event_id from 1 in (ts_ms, priority, source_seq) order of their session. Ranges of that order are numbered apart
+    (numbering), so a session that holds most of the rows is spread over tasks."""
+    rows = unordered_events(quotes, orders, trades)
+    return numbered_by(rows, KEY, ["ts_ms", "priority", "source_seq"], "event_id", parts).select(*EVENTS.fieldNames())
 
 
 def session_event_counts(orders: DataFrame) -> DataFrame:

@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapebook.operators import book, diagnostics, seek, validate
+from tapebook.operators import book, diagnostics, quarantine, seek, validate
 from tapebook.operators.normalize import normalize_orders, normalize_quotes, normalize_trades
 from tapebook.operators.tape import event_tape, session_event_counts
 from tapebook.schemas import KEY
+from tapebook.sources.scratch import written
 from tapebook.sources.session_csv import first_rows, inspect, listed, missing_files, mixed_sessions, numbered, read_kind
 from tapebook.sources.session_tables import read_sessions, write_sessions
 
 
-@lru_cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a local session (one JVM, as in tests) gets a temporary
-    one, and a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        base = _own_folder()
-    return f"{base.rstrip('/')}/tapebook-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to a scratch folder and read again: computed once, and a lost executor costs a task."""
-    spark, at = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def check_source(spark: SparkSession, source: str, raw: dict[str, DataFrame]) -> None:
     """Fail, naming the folders, where files are missing or a folder's files are of different sessions."""
     for what, rows in (("files are missing", missing_files(listed(spark, source))), ("files are of different sessions", mixed_sessions(*raw.values()))):
@@ -49,14 +24,26 @@ def check_source(spark: SparkSession, source: str, raw: dict[str, DataFrame]) ->
             raise ValueError(f"{what}: {bad}")
 
 
-def import_sessions(spark: SparkSession, source: str, out: str) -> None:
-    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out."""
+def import_sessions(spark: SparkSession, source: str, out: str, rejected_limit: int | None = None) -> None:
+    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out.
+
+    Without a limit the first cell that cannot be typed fails the import. With one, rows with such cells are left out and written
+    to out/rejected_rows (quarantine.split), and the import fails, before it writes anything else, if a folder has more of them."""
     files = written(inspect(spark, source))
     raw = {k: read_kind(spark, source, k, files) for k in ("quotes", "orders", "trades")}
     check_source(spark, source, raw)
+    first = first_rows(raw["quotes"])
     typed = {"quotes": normalize_quotes, "orders": normalize_orders, "trades": normalize_trades}
-    replay_sessions(spark, {name: f(numbered(raw[name])) for name, f in typed.items()}, out)
-    import_report(spark, out, first_rows(raw["quotes"]), files).write.mode("overwrite").json(f"{out}/import_report")
+    rows = {name: numbered(raw[name]) for name in typed}
+    if rejected_limit is not None:
+        split = {name: quarantine.split(rows[name], name) for name in typed}
+        rows = {name: accepted for name, (accepted, _) in split.items()}
+        reduce(DataFrame.unionAll, [rejected for _, rejected in split.values()]).write.mode("overwrite").parquet(f"{out}/rejected_rows")
+        over = quarantine.rejected_by(spark.read.parquet(f"{out}/rejected_rows"), "dir").filter(F.col("rejected_rows") > rejected_limit)
+        if bad := over.orderBy(F.desc("rejected_rows"), "dir").limit(20).collect():
+            raise ValueError(f"over {rejected_limit} rows cannot be typed: {bad}")
+    replay_sessions(spark, {name: f(rows[name]) for name, f in typed.items()}, out)
+    import_report(spark, out, first, files).write.mode("overwrite").json(f"{out}/import_report")
 
 
 def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str) -> None:

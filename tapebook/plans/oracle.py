@@ -206,6 +206,20 @@ _BODIES = {
 }
 _BODIES["enriched_missing_orders"] = """SELECT symbol, trade_date, event_id, reason, ref_side, order_id, ts_ms // 60000 AS minute_bucket,
 lpad(CAST(ts_ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ts_ms // 60000 % 60 AS VARCHAR), 2, '0') AS minute FROM mlog"""
+_BAD = {"q": ("quotes", "ask_price_3_int", "x1", "not a whole number"), "o": ("orders", "qty", "1.5", "not a whole number"), "t": ("trades", "price_int", "99999999999999999999", "out of range")}
+_DAY = "CASE WHEN seq % 17 = 0 THEN 'day' ELSE CAST(trade_date AS VARCHAR) END"
+_BODIES["rejected_rows"] = "\nUNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, symbol, {_DAY} AS trade_date, seq, CAST(nth AS INTEGER) AS nth, c[1] AS "column", c[2] AS cell, c[3] AS reason
+FROM (SELECT symbol, trade_date, seq, unnest(bad) AS c, generate_subscripts(bad, 1) AS nth FROM (SELECT symbol, trade_date, seq, list_filter([
+CASE WHEN seq % 13 = 0 THEN ['ts_ms', ' ', 'blank time'] WHEN seq % 19 = 0 THEN ['ts_ms', '9h15', 'not a whole number'] END,
+CASE WHEN seq % 17 = 0 THEN ['trade_date', 'day', 'not a whole number'] END, CASE WHEN seq % 11 = 0 THEN ['{column}', '{cell}', '{why}'] END], lambda x: x IS NOT NULL) AS bad FROM {table}))"""
+    for table, (kind, column, cell, why) in _BAD.items()
+)
+_BODIES["quarantine_counts"] = "\nUNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, symbol, count(*) AS all_rows, count(*) FILTER (WHERE NOT bad) AS accepted_rows, count(*) FILTER (WHERE bad) AS rejected_rows
+FROM (SELECT symbol, seq % 11 = 0 OR seq % 13 = 0 OR seq % 17 = 0 OR seq % 19 = 0 AS bad FROM {table}) GROUP BY symbol"""
+    for table, (kind, *_) in _BAD.items()
+)
 _BODIES["file_encodings"] = """SELECT symbol, trade_date, CASE symbol WHEN '600000.SH' THEN 'gb18030' ELSE 'utf-8-sig' END AS encoding,
 count(*) FILTER (WHERE CAST(order_no AS BIGINT) % 7 = 0) AS nul_count FROM o GROUP BY symbol, trade_date"""
 _BODIES["missing_session_files"] = """SELECT symbol || ' ' || trade_date AS dir, concat_ws(',', CASE WHEN NOT bool_or(k = 1) THEN '行情.csv' END, CASE WHEN NOT bool_or(k = 2) THEN '逐笔委托.csv' END,

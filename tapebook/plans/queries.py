@@ -8,15 +8,17 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapebook.operators import book, diagnostics, seek, validate
+from tapebook.operators import book, diagnostics, quarantine, seek, validate
 from tapebook.operators.normalize import normalize_orders as normalize_orders_
+from tapebook.operators.normalize import normalize_quotes as normalize_quotes_
+from tapebook.operators.normalize import normalize_trades as normalize_trades_
 from tapebook.operators.normalize import quote_levels
 from tapebook.operators.tape import event_tape as event_tape_
 from tapebook.operators.tape import session_event_counts
 from tapebook.plans import jobs
-from tapebook.plans.jobs import scratch, written
-from tapebook.plans.tapes import Tape, raw_a, requests_a, tape_a, tape_b_events
+from tapebook.plans.tapes import Tape, raw_a, requests_a, spoilt_a, tape_a, tape_b_events
 from tapebook.schemas import FILES, KEY
+from tapebook.sources.scratch import scratch, written
 from tapebook.sources.session_csv import inspect, missing_files, mixed_sessions, raw_rows, read_csv
 from tapebook.sources.session_tables import read_sessions, session_of_path, write_sessions
 
@@ -30,8 +32,8 @@ def _query(f: Query) -> Query:
 
 
 class _Replayed:
-    """Tape A with everything derived from it. Quotes, events and the compared levels are written when first asked for and
-    read again; the rest are plans over them."""
+    """Tape A with everything derived from it. Quotes and the report are written when first asked for and read again, as the tape
+    is by its numbering; the rest are plans over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.tape: Tape = tape_a(spark, sf_dir)
@@ -42,7 +44,7 @@ class _Replayed:
 
     @cached_property
     def events(self) -> DataFrame:
-        return written(event_tape_(self.quotes, self.tape.orders, self.tape.trades))
+        return event_tape_(self.quotes, self.tape.orders, self.tape.trades)
 
     @cached_property
     def _replay(self) -> tuple[DataFrame, DataFrame]:
@@ -56,13 +58,14 @@ class _Replayed:
     def log(self) -> DataFrame:
         return self._replay[1]
 
-    @cached_property
+    @property
     def levels(self) -> DataFrame:
-        return written(validate.compared(self.quotes, self.events, book.top_at_quotes(self.deltas, self.quotes)))
+        return validate.compared(self.quotes, self.events, book.top_at_quotes(self.deltas, self.quotes))
 
-    @property
+    @cached_property
     def report(self) -> DataFrame:
-        return validate.validation_report(self.levels)
+        """The levels that differ: a part of all, written where a query goes over them more than once."""
+        return written(validate.validation_report(self.levels))
 
     @property
     def rich(self) -> DataFrame:
@@ -88,6 +91,25 @@ def normalize_trades(spark, d):
     return tape_a(spark, d).trades
 
 
+@_query
+def rejected_rows(spark, d):
+    """The bad cells of tape A with spoilt ones."""
+    return reduce(DataFrame.unionAll, [quarantine.split(raw, kind)[1] for kind, raw in spoilt_a(spark, d).items()])
+
+
+@_query
+def quarantine_counts(spark, d):
+    """Raw, typed and rejected rows of each kind and symbol; what is typed went through strict typing."""
+    typed = {"quotes": normalize_quotes_, "orders": normalize_orders_, "trades": normalize_trades_}
+    parts = []
+    for kind, raw in spoilt_a(spark, d).items():
+        accepted, rejected = quarantine.split(raw, kind)
+        n = lambda df, c: df.groupBy("symbol").agg(F.count("*").alias(c))
+        rows = n(raw.select(F.col("万得代码").alias("symbol")), "all_rows").join(n(typed[kind](accepted).select("symbol", "ts_ms", "trade_date"), "accepted_rows"), "symbol", "left")
+        parts.append(rows.join(quarantine.rejected_by(rejected, "symbol"), "symbol", "left").na.fill(0).select(F.lit(kind).alias("kind"), "symbol", "all_rows", "accepted_rows", "rejected_rows"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @_query
 def event_tape(spark, d):
     return tape_a(spark, d).events
@@ -145,30 +167,30 @@ def missing_reason_counts(spark, d):
 
 @_query
 def validation_report(spark, d):
-    return _Replayed(spark, d).report
+    return validate.validation_report(_Replayed(spark, d).levels)
 
 
 @_query
 def validation_summary(spark, d):
     r = _Replayed(spark, d)
-    return validate.validation_summary(r.quotes, r.report, r.log)
+    return validate.validation_summary(r.quotes, validate.validation_report(r.levels), r.log)
 
 
 @_query
 def raw_match_rates(spark, d):
     r = _Replayed(spark, d)
-    return validate.match_rates(r.quotes, r.report)
+    return validate.match_rates(r.quotes, validate.validation_report(r.levels))
 
 
 @_query
 def raw_match_by_window(spark, d):
     r = _Replayed(spark, d)
-    return validate.match_rates_by_window(r.quotes, r.report)
+    return validate.match_rates_by_window(r.quotes, validate.validation_report(r.levels))
 
 
 @_query
 def mismatch_by_side(spark, d):
-    return validate.mismatch_by_side(_Replayed(spark, d).report)
+    return validate.mismatch_by_side(validate.validation_report(_Replayed(spark, d).levels))
 
 
 @_query
@@ -182,7 +204,7 @@ def visible_summary(spark, d):
 
 
 def _sought(spark, d, ties: str) -> DataFrame:
-    df = seek.seek(requests_a(spark, d), _Replayed(spark, d).points, ties)
+    df = seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), ties)
     text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
     said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[text(x[k]) for k in ("level", "price_int", "qty", "raw_price_int", "raw_qty", "correction_cost")])), ",").alias(c)
     return df.select("request_id", *KEY, "asked_ts", "depth", "status", "ts_ms", "checkpoint_id", said("asks"), said("bids"), "correction_cost", "inter_quote_drift_abs_qty")
@@ -200,18 +222,19 @@ def seek_batch_last(spark, d):
 
 @_query
 def seek_depth(spark, d):
-    df = seek.seek(requests_a(spark, d), _Replayed(spark, d).points, "last")
+    df = seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), "last")
     return df.select("request_id", "depth", (F.size("asks") + F.size("bids")).cast("long").alias("n_levels"), F.size("asks").cast("long").alias("n_asks"), "correction_cost", "inter_quote_drift_abs_qty")
 
 
 @_query
 def seek_status(spark, d):
-    return seek.seek(requests_a(spark, d), _Replayed(spark, d).points, "last").groupBy("status").agg(F.count("*").alias("n"))
+    return seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), "last").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @_query
 def mismatch_groups(spark, d):
-    return diagnostics.mismatch_groups(_Replayed(spark, d).rich)
+    r = _Replayed(spark, d)
+    return diagnostics.mismatch_groups(diagnostics.enriched(validate.validation_report(r.levels), r.quotes))
 
 
 @_query
@@ -287,14 +310,14 @@ def import_counts(spark, d):
 
 @_query
 def b_book_top10_at_quotes(spark, d):
-    events = tape_b_events(spark, d)
+    events = written(tape_b_events(spark, d))
     changes, _ = book.replay(events)
     return book.top_at_quotes(changes, events.filter("event_type = 'quote'"))
 
 
 @_query
 def b_missing_reason_counts(spark, d):
-    return _reasons(book.replay(tape_b_events(spark, d))[1])
+    return _reasons(book.replay(written(tape_b_events(spark, d)))[1])
 
 
 @_query

@@ -89,6 +89,20 @@ def tape_a(spark: SparkSession, sf_dir: str) -> Tape:
     return Tape(normalize_quotes(quotes), normalize_orders(orders), normalize_trades(trades))
 
 
+def spoilt_a(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw quotes, orders and trades of tape A with cells that cannot be typed: prices, quantities, times and dates, by seq."""
+    bad = {"quotes": ("申卖价3", "x1"), "orders": ("委托数量", "1.5"), "trades": ("成交价格", "99999999999999999999")}
+    seq = F.col("seq")
+    out = {}
+    for (kind, (header, cell)), raw in zip(bad.items(), raw_a(spark, sf_dir)):
+        out[kind] = raw.withColumns({
+            header: F.when(seq % 11 == 0, cell).otherwise(F.col(header)),
+            "时间": F.when(seq % 13 == 0, " ").when(seq % 19 == 0, "9h15").otherwise(F.col("时间")),
+            "自然日": F.when(seq % 17 == 0, "day").otherwise(F.col("自然日")),
+        })
+    return out
+
+
 def requests_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seek requests from every seventh event, one for a session that is not there, and one of depth 0."""
     rows = _base_a(spark, sf_dir).filter("e % 7 = 0").select(F.col("e").alias("request_id"), *KEY, "ts_ms", (F.col("e") % 10 + 1).alias("depth"))

@@ -6,44 +6,65 @@ import codecs
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapebook.schemas import FILES
 
-#: Encodings in the order in which they are tried.
+#: Encodings in the order in which they are tried. (What the last one decodes, the first one does as well.)
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-8")
 _JAVA = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gb18030": "GB18030"}
 
 
-def _decodes(content: bytes, encoding: str) -> bool:
-    try:
-        codecs.decode(content, encoding)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 def inspect(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, encoding, nul_count) of every file below root: the first encoding that decodes it whole without its NUL bytes.
-
-    One file is one row of one task; encoding is null where none fits."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            bare = [bytes(c).replace(b"\0", b"") for c in f["content"]]
-            known = [next((e for e in ENCODINGS if _decodes(c, e)), None) for c in bare]
-            yield pd.DataFrame({"path": f["path"], "encoding": known, "nul_count": [len(c) - len(b) for c, b in zip(f["content"], bare)]})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "content").mapInPandas(of, "path string, encoding string, nul_count long")
+    """(path, encoding, nul_count) of every file below root: the first encoding that decodes it whole without its NUL bytes, null
+    where none fits. An empty file has no row: Spark reads none.
+
+    Files are gone through line by line, in splits: in each of the encodings a line feed or carriage return is a character of
+    its own, whatever stands before it, so a file is well formed if and only if every line is. No row is larger than a line. UTF-8 and NUL
+    bytes are looked at by built-in functions; only lines of files that are not UTF-8 go to Python, many at once."""
+    read = spark.read.options(recursiveFileLookup="true", pathGlobFilter=pattern)
+    path = F.col("_metadata.file_path").alias("path")
+    bare = F.replace(F.col("value"), F.lit("\0"), F.lit(""))
+    lines = read.text(root).select(path, bare.alias("line"), (F.octet_length("value") - F.octet_length(bare)).alias("nul"))
+    seen = lines.groupBy("path").agg(F.sum("nul").alias("nul_count"), F.bool_and(F.is_valid_utf8("line")).alias("utf8"))
+    other = lines.join(seen.filter("NOT utf8").select("path"), "path", "left_semi").select("path", F.col("line").cast("binary"))
+    national = other.mapInArrow(_well_formed(ENCODINGS[1]), "path string, fits boolean").groupBy("path").agg(F.bool_and("fits").alias("fits"))
+    files = read.format("binaryFile").load(root).select(path)
+    encoding = F.when(F.coalesce("utf8", F.lit(True)), ENCODINGS[0]).when(F.col("fits"), ENCODINGS[1])
+    return files.join(seen, "path", "left").join(national, "path", "left").select("path", encoding.alias("encoding"), F.coalesce("nul_count", F.lit(0)).cast("long").alias("nul_count"))
+
+
+def _well_formed(encoding: str):
+    """For batches of (path, line): whether the lines of one file that stand together there are well formed."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, lines = b.column(0).to_pylist(), b.column(1).to_pylist()
+            starts = [i for i in range(len(paths)) if not i or paths[i] != paths[i - 1]]
+            fits = []
+            for a, z in zip(starts, [*starts[1:], len(paths)]):
+                try:
+                    codecs.decode(b"\n".join(lines[a:z]), encoding)
+                    fits.append(True)
+                except UnicodeDecodeError:
+                    fits.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in starts], pa.string()), pa.array(fits, pa.bool_())], names=["path", "fits"])
+
+    return of
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """seq: each row's place in its file, from 1, over all splits of the file."""
-    place = Window.partitionBy("path").orderBy("_start", "_at")
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("seq", F.row_number().over(place).cast("bigint")).drop("_start", "_at")
+    """seq: each row's place in its file, from 1, over all splits of the file. A split's rows are numbered by themselves, and what the
+    splits before it hold is added: no task has more than a split."""
+    split = ["path", "_start"]
+    counts = rows.groupBy(*split).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("_at"))
+    placed = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_place", place).join(bases, split)
+    return placed.withColumn("seq", (F.col("_base") + F.col("_place")).cast("bigint")).select(*[c for c in rows.columns if c != "_start"], "seq")
 
 
 def raw_rows(spark: SparkSession, paths: list[str] | str, encoding: str = "utf-8", **options: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tapebook.functions.cells import aggressor, clean, minute_label, or_unknown, parse_ts_ms, session_label, to_int
 from tapebook.operators import book, diagnostics, seek, validate
+from tapebook.operators.numbering import numbered_by
+from tapebook.operators.tape import event_tape
 from tapebook.schemas import CHECKPOINTS, EVENTS, MISSING_ORDER_REPORT, QUOTES, ORDERS, TRADES, VALIDATION_REPORT
 
 
@@ -62,15 +64,26 @@ def test_session_labels(spark):
     assert [r[0] for r in df.collect()] == ["preopen", "auction", "continuous_am", "lunch", "continuous_pm", "close"]
 
 
-def test_add_trade_cancel_missing(spark):
-    rows = [add(1, "bid-1", "B", 100, 10), add(2, "ask-1", "S", 101, 8), trade(3, "B", "ask-1", "bid-1", 3), event(4, "order_cancel", exchange_order_id="bid-1", qty=7), trade(5, "B", "missing", "", 1)]
+def test_a_partly_filled_order_is_replaced_and_cancelled(spark):
+    """Two sells of one price, one of them added again elsewhere while it still rests; then more is cancelled than rests."""
+    rows = [
+        add(3, "s7", "s", 2450, 300), add(4, "s8", "S", 2450, 120), trade(6, "B", "s8", "", 50), add(9, "s7", "S", 2465, 40),
+        event(11, "order_cancel", exchange_order_id="s8", qty=90), trade(12, "B", "s7", "s8", 40), trade(15, "S", "b1", "b2", 5),
+    ]
     levels, log = book_at(spark, rows)
-    assert levels == {"ask": [(101, 5)]} and [r["reason"] for r in log] == ["missing_trade_order"]
+    assert levels == {}
+    assert [(r["event_id"], r["reason"], r["order_id"], r["requested_qty"], r["remaining_qty"]) for r in sorted(log, key=lambda r: r["event_id"])] == [
+        (11, "qty_shortfall", "s8", 90, 70), (15, "missing_trade_order", "b2", None, None),
+    ]
+    assert book_at(spark, rows, 9)[0] == {"ask": [(2450, 70), (2465, 40)]}
 
 
-def test_active_sides(spark):
-    assert book_at(spark, [add(1, "ask-1", "S", 101, 10), trade(2, "B", "ask-1", "gone", 4)]) == ({"ask": [(101, 6)]}, [])
-    assert book_at(spark, [add(1, "bid-1", "B", 100, 6), add(2, "ask-1", "S", 101, 10), trade(3, "B", "ask-1", "bid-1", 4)]) == ({"ask": [(101, 6)], "bid": [(100, 2)]}, [])
+def test_both_legs_of_an_unknown_aggressor(spark):
+    """Whoever is named must be there; sessions do not see each other's orders; price 0 is a price."""
+    other = {"trade_date": 20260511}
+    rows = [add(1, "k", "b", 0, 6), add(2, "k", "S", 33, 9, **other), trade(3, "unknown", "", "k", 4), trade(4, "unknown", "k", "z", 2, **other)]
+    levels, log = book_at(spark, rows)
+    assert levels == {"bid": [(0, 2)], "ask": [(33, 7)]} and [(r["trade_date"], r["order_id"], r["ref_side"]) for r in log] == [(20260511, "z", "bid")]
 
 
 def random_tape(seed, n=500):
@@ -97,12 +110,12 @@ def random_tape(seed, n=500):
     return out
 
 
-@pytest.mark.parametrize("seed, block, depth", [(1, 64, 10), (2, 4, 10), (3, 4, 2)])
-def test_windows_equal_the_fold(spark, seed, block, depth):
+@pytest.mark.parametrize("seed, block, depth, range_ms", [(1, 64, 10, 60_000), (2, 4, 10, 1), (3, 4, 2, 7)])
+def test_windows_equal_the_fold(spark, seed, block, depth, range_ms):
     rows = random_tape(seed)
     changes, log = book.replay(rows_of(spark, EVENTS, rows))
     quotes = rows_of(spark, EVENTS, [x for x in rows if x["event_type"] == "quote"])
-    got = {(r["trade_date"], r["ts_ms"], r["side"], r["level"]): (r["price_int"], r["qty"]) for r in book.top_at_quotes(changes, quotes, depth, block).collect()}
+    got = {(r["trade_date"], r["ts_ms"], r["side"], r["level"]): (r["price_int"], r["qty"]) for r in book.top_at_quotes(changes, quotes, depth, block, range_ms).collect()}
     got_log = sorted((r["trade_date"], r["event_id"], r["reason"], str(r["order_id"]), str(r["ref_side"]), r["requested_qty"] or 0, r["remaining_qty"] or 0) for r in log.collect())
     want, want_log = {}, []
     for day in (20260424, 20260425):
@@ -116,6 +129,29 @@ def test_windows_equal_the_fold(spark, seed, block, depth):
     assert got == want and got_log == sorted(want_log)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_numbers_by_ranges(spark, parts):
+    """One key with most rows, a null key, and keys with one row, over several ranges."""
+    r = random.Random(6)
+    rows = [(r.choice(["big", "big", "big", "big", "two", None]), r.randrange(1000), i) for i in range(700)] + [("one", 5, 1)]
+    df = spark.createDataFrame(rows, "k string, t long, i long").repartition(3)
+    got = {(x["k"], x["t"], x["i"]): x["n"] for x in numbered_by(df, ["k"], ["t", "i"], "n", parts).collect()}
+    want = {}
+    for k in ("big", "two", None, "one"):
+        want |= {x: n for n, x in enumerate(sorted(x for x in rows if x[0] == k), 1)}
+    assert got == want and numbered_by(df.filter("t < 0"), ["k"], ["t", "i"], "n").count() == 0
+
+
+def test_tape_over_several_ranges(spark):
+    rows = random_tape(9, 300)
+    names = [c for c in EVENTS.fieldNames() if c not in ("event_id", "priority", "payload_ref", "event_type", "source_seq")]
+    orders = rows_of(spark, ORDERS, [x | {"seq": i, "order_type": "A" if x["event_type"] == "order_add" else "D"} for i, x in enumerate(rows) if x["event_type"].startswith("order")])
+    quotes = rows_of(spark, QUOTES, [quote(i, x["ts_ms"], {}, trade_date=x["trade_date"]) for i, x in enumerate(rows) if x["event_type"] == "quote"])
+    trades = rows_of(spark, TRADES, [x | {"seq": i} for i, x in enumerate(rows) if x["event_type"] == "trade"])
+    one, many = (sorted(map(str, event_tape(quotes, orders, trades, parts).select("event_id", "event_type", "source_seq", *names).collect())) for parts in (1, 8))
+    assert one == many and len(one) > 200
+
+
 def quote(seq, ts, levels, **more):
     row = {"symbol": "X.SZ", "exchange_code": "X", "trade_date": 20260424, "ts_ms": ts, "session": "auction", "seq": seq} | more
     for s in ("ask", "bid"):
@@ -137,56 +173,74 @@ def test_empty_level_is_no_mismatch(spark):
     assert validate.validation_summary(quotes, report, log).first().asDict() == {"symbol": "X.SZ", "trade_date": 20260424, "checked_quotes": 1, "mismatch_count": 0, "price_mismatch_count": 0, "qty_mismatch_count": 0, "missing_order_count": 0}
 
 
-def test_anchor_keeps_raw(spark):
-    events = [add(1, "ask-1", "S", 1010, 15, ts_ms=34_259_900), event(2, "quote", source_seq=7, ts_ms=34_260_000)]
-    levels, _, _ = compared(spark, events, [quote(7, 34_260_000, {("ask", 1): (1010, 20)})])
+def test_checkpoints_cost_what_differs(spark):
+    """A price that differs costs both quantities, one that agrees their difference; two quotes of one time share a rebuilt book."""
+    t = 47_000_123
+    events = [add(2, "p", "B", 512, 70, ts_ms=t - 5), add(3, "q", "B", 509, 11, ts_ms=t - 4), event(8, "quote", source_seq=31, ts_ms=t), event(9, "quote", source_seq=32, ts_ms=t)]
+    quotes = [quote(31, t, {("bid", 1): (512, 64), ("bid", 2): (510, 9)}), quote(32, t, {("bid", 1): (512, 70), ("bid", 2): (509, 11)})]
+    levels, _, _ = compared(spark, events, quotes)
     points = validate.checkpoints(levels)
-    first = points.filter("side = 'ask' AND level = 1").first()
-    assert points.count() == 20 and points.schema.fieldNames() == CHECKPOINTS.fieldNames()
-    assert (first["visible_qty"], first["raw_qty"], first["raw_qty_match"], first["correction_cost"], first["checkpoint_id"]) == (20, 15, False, 5, "X.SZ-20260424-7")
-    assert validate.visible_summary(points).first()["continuous_am_match_rate"] == 1.0
+    assert points.count() == 40 and points.schema.fieldNames() == CHECKPOINTS.fieldNames()
+    cost = {(r["checkpoint_id"], r["level"]): (r["raw_price_int"], r["raw_qty"], r["correction_cost"], r["correction_price_changed"]) for r in points.filter("side = 'bid' AND level < 3").collect()}
+    assert cost == {("X.SZ-20260424-31", 1): (512, 70, 6, False), ("X.SZ-20260424-31", 2): (509, 11, 20, True), ("X.SZ-20260424-32", 1): (512, 70, 0, False), ("X.SZ-20260424-32", 2): (509, 11, 0, False)}
+    summary = validate.visible_summary(points).first()
+    assert (summary["checked_quotes"], summary["correction_cost"], summary["continuous_pm_match_rate"], summary["continuous_am_match_rate"]) == (2, 26, 1.0, 0.0)
 
 
 def points_of(spark):
+    """Three checkpoints of one session, the last two at one time, with four levels of asks and none of bids; and one of another day."""
     rows = []
-    for seq, ts, ask, bid in ((1, 1000, 10, 20), (2, 2000, 15, 25)):
-        for side, price, step, qty in (("ask", 101, 1, ask), ("bid", 99, -1, bid)):
-            for k in range(1, 11):
-                rows.append({"symbol": "X.SZ", "trade_date": 20260424, "checkpoint_id": f"c{seq}", "quote_seq": seq, "event_id": seq, "ts_ms": ts, "session": "auction", "source": "quote_anchor", "side": side, "level": k, "visible_price_int": price + step * (k - 1), "visible_qty": qty, "correction_cost": 1, "inter_quote_drift_abs_qty": 1, "raw_price_match": True, "raw_qty_match": None})
+    for day, seq, ts in ((20260424, 4, 36_000_500), (20260424, 9, 36_003_000), (20260424, 11, 36_003_000), (20260427, 2, 36_000_000)):
+        for k in range(1, 5):
+            rows.append({"symbol": "X.SZ", "trade_date": day, "checkpoint_id": f"{day}/{seq}", "quote_seq": seq, "event_id": 10 * seq, "ts_ms": ts, "session": "continuous_am", "source": "quote_anchor", "side": "ask", "level": k, "visible_price_int": 7000 + 5 * k, "visible_qty": seq * k, "correction_cost": k, "inter_quote_drift_abs_qty": 2 * k, "raw_price_match": k < 3, "raw_qty_match": None})
     return rows_of(spark, CHECKPOINTS, rows)
 
 
 def test_seek(spark):
     points = points_of(spark)
-    row = seek.load_checkpoint(points, "X.SZ", 20260424, 2500)
-    assert (row["ts_ms"], row["quote_seq"], len(row["asks"]), len(row["bids"]), row["correction_cost"]) == (2000, 2, 10, 10, 20)
-    assert (row["asks"][0]["price_int"], row["asks"][0]["qty"], row["bids"][0]["price_int"], row["bids"][0]["qty"]) == (101, 15, 99, 25)
-    assert row["asks"][0]["raw_qty_match"] is False and row["asks"][0]["raw_qty"] is None
-    assert [x["level"] for x in seek.load_checkpoint(points, "X.SZ", 20260424, 2000, 3)["asks"]] == [1, 2, 3]
-    for bad in (("X.SZ", 20260424, 999), ("Y", 20260424, 2000), ("X.SZ", 20260424, 2000, 0)):
+    asked = spark.createDataFrame(
+        [(1, "X.SZ", 20260424, 36_000_500, 2), (2, "X.SZ", 20260424, 50_000_000, 10), (3, "X.SZ", 20260424, 36_000_499, 10), (4, "X.SZ", 20260427, 36_001_000, 0), (5, "Y.SZ", 20260424, 36_001_000, 3)],
+        "request_id long, symbol string, trade_date long, ts_ms long, depth long",
+    )
+    last = {r["request_id"]: r for r in seek.seek(asked, points, "last").collect()}
+    assert {k: r["status"] for k, r in last.items()} == {1: "found", 2: "found", 3: "before_first", 4: "empty", 5: "missing_session"}
+    assert [(x["level"], x["price_int"], x["qty"], x["raw_price_match"], x["raw_qty_match"]) for x in last[1]["asks"]] == [(1, 7005, 4, True, False), (2, 7010, 8, True, False)] and last[1]["bids"] == []
+    assert (last[2]["checkpoint_id"], len(last[2]["asks"]), last[2]["correction_cost"], last[2]["inter_quote_drift_abs_qty"]) == ("20260424/11", 4, 10, 20)
+    both = {r["request_id"]: r for r in seek.seek(asked, points, "all").collect()}
+    assert [x["qty"] for x in both[2]["asks"]] == [9, 11, 18, 22, 27, 33, 36, 44] and both[1]["asks"] == last[1]["asks"]
+    assert seek.load_checkpoint(points, "X.SZ", 20260424, 36_003_000, 1)["quote_seq"] == 11
+    for bad in (("X.SZ", 20260424, 36_000_499), ("Y.SZ", 20260424, 36_001_000), ("X.SZ", 20260427, 36_001_000, 0)):
         with pytest.raises(LookupError):
             seek.load_checkpoint(points, *bad)
 
 
 def test_diagnostics(spark):
-    quotes = rows_of(spark, QUOTES, [quote(10, 34_200_000, {("ask", i): (1000 + i, 100) for i in range(1, 11)})])
-    base = {"symbol": "X.SZ", "trade_date": 20260424, "quote_seq": 10, "event_id": 5, "ts_ms": 34_200_000}
+    """Three mismatches of two minutes, the later one with more; two windows hold them, and the opening's first quote counts."""
+    open_, late = 34_200_750, 53_900_000
+    quotes = rows_of(spark, QUOTES, [quote(21, open_, {("bid", 3): (404, 7)}), quote(22, open_ + 3000, {}), quote(77, late, {("ask", 2): (410, 1)})])
+    bad = {"symbol": "X.SZ", "trade_date": 20260424, "price_match": False, "qty_match": True}
     report = rows_of(
         spark, VALIDATION_REPORT,
-        [base | {"side": "ask", "level": 1, "expected_price_int": 1001, "actual_price_int": 999, "expected_qty": 100, "actual_qty": 90, "price_match": False, "qty_match": False}, base | {"side": "bid", "level": 2, "expected_price_int": 0, "actual_price_int": None, "expected_qty": 0, "actual_qty": None, "price_match": True, "qty_match": False}],
+        [
+            bad | {"quote_seq": 21, "event_id": 40, "ts_ms": open_, "side": "bid", "level": 3, "expected_price_int": 404, "actual_price_int": 403, "expected_qty": 7, "actual_qty": 7},
+            bad | {"quote_seq": 77, "event_id": 90, "ts_ms": late, "side": "ask", "level": 2, "expected_price_int": 410, "actual_price_int": 411, "expected_qty": 1, "actual_qty": 1},
+            bad | {"quote_seq": 77, "event_id": 90, "ts_ms": late, "side": "ask", "level": 5, "expected_price_int": 0, "actual_price_int": 420, "expected_qty": 0, "actual_qty": 0},
+        ],
     )
-    log = rows_of(spark, MISSING_ORDER_REPORT, [{"symbol": "X.SZ", "trade_date": 20260424, "reason": "missing_cancel_order", "session": "auction"}])
-    assert tuple(diagnostics.totals(report, log).first()) == (2, 1, 2, 1)
-    shares = {r["window"]: (r["mismatch_count"], r["share_of_mismatch"]) for r in diagnostics.window_shares(report).collect()}
-    assert shares == {"09:15-09:30": (0, 0.0), "09:30-09:31": (2, 1.0), "14:57-15:00": (0, 0.0)}
+    log = rows_of(spark, MISSING_ORDER_REPORT, [{"symbol": "X.SZ", "trade_date": 20260424, "reason": w, "session": "lunch"} for w in ("qty_shortfall", "qty_shortfall", "invalid_trade_qty")])
+    assert tuple(diagnostics.totals(report, log).first()) == (3, 3, 0, 3)
+    shares = {r["window"]: (r["mismatch_count"], round(r["share_of_mismatch"], 6)) for r in diagnostics.window_shares(report).collect()}
+    assert shares == {"09:15-09:30": (0, 0.0), "09:30-09:31": (1, 0.333333), "14:57-15:00": (2, 0.666667)}
     rich = diagnostics.enriched(report, quotes)
-    shot = diagnostics.bucket_snapshots(rich, quotes, diagnostics.top_buckets(rich)).first()
-    assert tuple(shot["raw_book_snapshot"]["ask"][0]) == (1, 999, 90) and tuple(shot["quote_snapshot"]["ask"][0]) == (1, 1001, 100)
-    assert tuple(shot["raw_book_snapshot"]["bid"][1]) == (2, None, None)
+    buckets = [(r["minute"], r["mismatch_count"]) for r in diagnostics.top_buckets(rich).orderBy(F.desc("mismatch_count")).collect()]
+    assert buckets == [("14:58", 2), ("09:30", 1)]
+    shots = {r["minute"]: r for r in diagnostics.bucket_snapshots(rich, quotes, diagnostics.top_buckets(rich)).collect()}
+    assert tuple(shots["14:58"]["raw_book_snapshot"]["ask"][1]) == (2, 411, 1) and tuple(shots["14:58"]["quote_snapshot"]["ask"][1]) == (2, 410, 1)
+    assert tuple(shots["09:30"]["raw_book_snapshot"]["bid"][2]) == (3, 403, 7)
     opening = diagnostics.opening_alignment(report, quotes).first()
-    assert (opening["opening_quote_seq"], opening["raw_mismatch_count"], opening["reproduced_mismatch_count"]) == (10, 2, 0)
-    assert len(diagnostics.opening_snapshots(report, quotes).first()["opening_snapshot"]["ask"]) == 10
-    assert diagnostics.mismatch_groups(rich).count() == 2 and diagnostics.missing_groups(log).first()["missing_order_count"] == 1
+    assert (opening["opening_quote_seq"], opening["raw_mismatch_count"], opening["reproduced_mismatch_count"]) == (21, 1, 0)
+    assert len(diagnostics.opening_snapshots(report, quotes).first()["opening_snapshot"]["bid"]) == 10
+    assert diagnostics.mismatch_groups(rich).count() == 3 and {r["reason"]: r["missing_order_count"] for r in diagnostics.missing_groups(log).collect()} == {"qty_shortfall": 2, "invalid_trade_qty": 1}
 
 
 def test_a_wanted_quote_that_is_absent_fails(spark):

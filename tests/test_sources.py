@@ -98,3 +98,102 @@ def test_import_and_diagnose(spark, source, tmp_path):
     one = read_sessions(spark, out, "trades").limit(1)
     write_sessions(spark.createDataFrame(one.collect(), one.schema), out, "trades")
     assert 0 < read_sessions(spark, out, "trades").count() <= before
+
+
+def plain_encoding(content):
+    """By the whole file at once."""
+    bare = content.replace(b"\0", b"")
+    for name in ("utf-8-sig", "gb18030"):
+        try:
+            bare.decode(name)
+            return name, len(content) - len(bare)
+        except UnicodeDecodeError:
+            pass
+    return None, len(content) - len(bare)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1 << 20])
+def test_encodings_whatever_the_splits(spark, tmp_path, size):
+    """Files of broken and whole characters of one to four bytes, line ends and NULs, cut at every byte (a split of one byte)."""
+    import random
+
+    r = random.Random(size)
+    bits = ["a,", "1\n", "\r\n", "é", "中", "\U0001f600", "\n"]
+    kinds = [b"\0", b"\n", b"\xef\xbb\xbfa\n", "中\n".encode("gb18030")[:1], "中".encode()[:2] + b"\n" + "中".encode()[2:], b"\xed\xa0\x80", b"\x81\x30\x81", b"\x81\x30\x81\x30\n"]
+    for _ in range(25):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 12)))
+        raw = bytearray(text.encode(r.choice(["utf-8", "gb18030"])))
+        for _ in range(r.choice([0, 0, 1])):
+            raw[r.randrange(len(raw))] = r.choice([0, 0x0A, 0x81, 0xFF, 0xC3])
+        kinds.append(bytes(raw))
+    for i, content in enumerate(kinds):
+        (tmp_path / f"{i}.csv").write_bytes(content)
+    (tmp_path / "other.txt").write_bytes(b"\xff")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = {r["path"].rsplit("/", 1)[1]: (r["encoding"], r["nul_count"]) for r in inspect(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"{i}.csv": plain_encoding(c) for i, c in enumerate(kinds)} and len({e for e, _ in got.values()}) == 3
+
+
+def test_row_numbers_over_splits(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("a,b\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(1, 400 * k + 2)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = read_csv(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3 + 1200 and all(int(r["a"]) == r["seq"] for r in rows)
+    assert len({r["task"] for r in rows if r["path"].endswith("2.csv")}) > 1
+
+
+CELLS = ["", " ", "7", "-7", "+7", "1.5", "x", "9223372036854775807", "9223372036854775808", "91400130", "9h15", "0", "\u30009\0", "1e3", "12345678901", "-5", "九"]
+
+
+def test_problems_are_what_strict_typing_fails_on(spark):
+    from tapebook.functions.cells import int_problem, parse_ts_ms, time_problem, to_int
+
+    def fails(cell, *typed):
+        df = spark.createDataFrame([(cell,)], "c string").coalesce(1)
+        try:
+            df.select(*[t(F.col("c")).alias(str(i)) for i, t in enumerate(typed)]).collect()
+            return False
+        except Exception:
+            return True
+
+    rows = spark.createDataFrame([(c,) for c in [*CELLS, None]], "c string").select("c", int_problem(F.col("c")).alias("i"), time_problem(F.col("c")).alias("t")).collect()
+    for r in rows:
+        assert (r["i"] is not None) == fails(r["c"], to_int) and (r["t"] is not None) == fails(r["c"], parse_ts_ms, to_int), r
+    assert {r["i"] for r in rows} == {None, "out of range", "not a whole number"} and {r["t"] for r in rows} == {None, "blank time", "out of range", "not a whole number"}
+
+
+def test_quarantine_and_its_limit(spark, source, tmp_path):
+    """Spoilt cells of one folder: rejected with file and place, the rest imported; over the limit nothing but the record is written."""
+    import shutil
+    from pathlib import Path
+
+    shutil.copytree(source[0], tmp_path / "in")
+    folder = sorted((tmp_path / "in").iterdir())[1]
+    at = folder / FILES["orders"]
+    lines = at.read_bytes().split(b"\n")
+    header = lines[0].decode().split(",")
+    for k, column in ((2, "委托数量"), (2, "委托价格"), (4, "时间")):
+        cells = lines[k].decode().split(",")
+        cells[header.index(column)] = "?" if column != "时间" else ""
+        lines[k] = ",".join(cells).encode()
+    at.write_bytes(b"\n".join(lines))
+    with pytest.raises(Exception):
+        jobs.import_sessions(spark, str(tmp_path / "in"), str(tmp_path / "strict"))
+    with pytest.raises(ValueError, match="over 1 rows cannot be typed"):
+        jobs.import_sessions(spark, str(tmp_path / "in"), str(tmp_path / "few"), 1)
+    assert [p.name for p in Path(tmp_path / "few").iterdir()] == ["rejected_rows"]
+    jobs.import_sessions(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2)
+    bad = spark.read.parquet(str(tmp_path / "out" / "rejected_rows")).collect()
+    assert sorted((r["kind"], r["seq"], r["column"], r["reason"]) for r in bad) == [("orders", 2, "price_int", "not a whole number"), ("orders", 2, "qty", "not a whole number"), ("orders", 4, "ts_ms", "blank time")]
+    assert all(r["path"].endswith(FILES["orders"]) and r["dir"].endswith(folder.name) for r in bad)
+    whole = sum(len(p.read_bytes().strip().split(b"\n")) - 1 for p in (tmp_path / "in").glob(f"*/{FILES['orders']}"))
+    assert read_sessions(spark, str(tmp_path / "out"), "orders").count() == whole - 2
