@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -57,17 +58,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_table(df: DataFrame, label: str, codec: str = "zstd") -> str:
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Tables that write_table() and cut() write inside go when the block ends: nothing that is used behind it may read them, but
+    by way of a table written with keep=True."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            drop_table(spark, path)
+
+
+def write_table(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> str:
     """Write df as Parquet in the shared folder and return its path: later stages reread it, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append((df.sparkSession, path))
     return path
 
 
-def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """df, written and read again."""
     spark = df.sparkSession
-    return spark.read.schema(df.schema).parquet(write_table(df, label, codec))
+    return spark.read.schema(df.schema).parquet(write_table(df, label, codec, keep))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

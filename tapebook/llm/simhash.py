@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapebook.llm.common import LOWER, SPACED, batch, chunks, columns, cut, grown, packed, spaced, unpacked, words
+from tapebook.llm.common import LOWER, SPACED, batch, chunks, columns, cut, discarding, grown, packed, spaced, unpacked, words
 from tapebook.llm.graph import components
 
 SEED = 42
@@ -186,7 +186,8 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, shard: int = SHARD)
 def rooted(docs: DataFrame, radius: int) -> DataFrame:
     """(fp, root) of every fingerprint of docs: equal roots are reachable from one another."""
     own = docs.select("fp").distinct()
-    comps = components(links(own, radius))
+    with discarding():
+        comps = cut(components(links(own, radius)), "simhash-roots", keep=True)
     return own.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 

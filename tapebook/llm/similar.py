@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapebook.llm import simhash
-from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, mix, packed, span_hash, unpacked, window_hash, words
+from tapebook.llm.common import LOWER, SPACED, Chunk, chunks, columns, cut, discarding, mix, packed, span_hash, unpacked, window_hash, words
 from tapebook.llm.graph import components
 
 BANDS, ROWS = 16, 4
@@ -217,18 +217,31 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
 
 def grouped(docs: DataFrame, size: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes of docs (node, text; nodes distinct) that are similar to others, or linked by known edges."""
+    with discarding():
+        return cut(_grouped(docs, size, similarity, known), "grouped", keep=True)
+
+
+def _grouped(docs: DataFrame, size: int, similarity: float, known: DataFrame | None) -> DataFrame:
     sketches = cut(sketched(docs, size), "sketches", "lz4")
     rated = buckets(sketches)
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs", "lz4")
         asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = cut(docs.join(asked, "node", "left_semi"), "pair-texts", "lz4")  # of candidates only
-        return cut(verified(pairs, texts, size, similarity), "similar", "lz4")
-
-    links = linked(possible(candidates(rated), sketches, similarity))
-    links = links if known is None else links.unionAll(known)
-    found = components(links)
+        with discarding():
+            texts = cut(docs.join(asked, "node", "left_semi"), "pair-texts")  # of candidates only
+            return cut(verified(pairs, texts, size, similarity), "similar", "lz4", keep=True)
+
+    # one pair of each document first: in a group of copies that makes most others needless before their texts are moved
+    pairs = cut(possible(candidates(rated), sketches, similarity), "candidates", "lz4")
+    first = pairs.groupBy("u").agg(F.min("v").alias("v"))
+    links = linked(first)
+    found = cut(components(links if known is None else links.unionAll(known)), "first-classes", "lz4")
+    root_of = lambda n: found.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    apart = pairs.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").filter("coalesce(ru, u) <> coalesce(rv, v)")
+    new = linked(apart.select("u", "v"))
+    if new.first() is not None:
+        found = joined(found, new)
     low = 0.0
     while low < 1:
         member, opened = open_buckets(rated, found)
@@ -270,13 +283,19 @@ def one_of_near(documents: DataFrame, radius: int = 2, shingle: int = 3, size: i
     first, then by text hash); columns as they were. Equal texts are one node. Of rows with the same doc_id and text one stays."""
     keys = [F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b")]
     docs = columns(documents, "doc_id", "text").withColumn("node", F.xxhash64("text"))
+    with discarding():
+        found = cut(_near(docs, radius, shingle, size, similarity), "near", keep=True)
+    ids = docs.select("doc_id", "node", *keys).join(found, "node", "left")
+    kept = ids.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "_a", "_b")).alias("first")).select("first._a", "first._b")
+    rows = packed(documents, "doc_id").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64("text", "doc_id")})
+    return unpacked(rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), documents)
+
+
+def _near(docs: DataFrame, radius: int, shingle: int, size: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes of docs (doc_id, text, node) that are linked to others in either way."""
     texts = cut(docs.select("node", "text").dropDuplicates(["node"]), "texts")
     prints = cut(simhash.fingerprints(texts, ("node",), shingle), "simhash")
     class_of = prints.join(simhash.rooted(prints, radius), "fp").select("node", "root")
     heads = class_of.groupBy("root").agg(F.min("node").alias("v"))
     known = cut(class_of.join(heads, "root").filter("node <> v").select(F.col("node").alias("u"), "v"), "simhash-links")
-    found = grouped(texts, size, similarity, known)
-    ids = docs.select("doc_id", "node", *keys).join(found, "node", "left")
-    kept = ids.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "_a", "_b")).alias("first")).select("first._a", "first._b")
-    rows = packed(documents, "doc_id").withColumns({"_a": F.xxhash64("doc_id", "text"), "_b": F.xxhash64("text", "doc_id")})
-    return unpacked(rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), documents)
+    return grouped(texts, size, similarity, known)
