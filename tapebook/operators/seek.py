@@ -7,43 +7,65 @@ from pyspark.sql import functions as F
 
 from tapebook.schemas import DEPTH, KEY
 
+#: Asked sessions that a filter names.
+PRUNED = 1000
 _LEVEL = ("level", "price_int", "qty", "source", "raw_price_int", "raw_qty", "raw_price_match", "raw_qty_match", "correction_cost", "inter_quote_drift_abs_qty")
 
 
+def times_of(points: DataFrame) -> DataFrame:
+    """The index of checkpoints, apart from their levels: session, ts_ms, event_id of each."""
+    return points.select(*KEY, "ts_ms", "event_id").distinct()
+
+
 def as_of(requests: DataFrame, times: DataFrame) -> DataFrame:
-    """requests (request_id, session, ts_ms, depth) with found_ts: the latest time of times (session, ts_ms) at or before it.
+    """requests (request_id, session, ts_ms, depth) with found_ts: the latest time of times (session, ts_ms, event_id) at or before it,
+    and found_event: the greatest event_id there.
 
     Requests and times are one stream per session in which the last time seen is carried on: no range join."""
-    both = requests.unionByName(times.distinct().withColumn("found_ts", F.col("ts_ms")), allowMissingColumns=True)
+    latest = times.groupBy(*KEY, "ts_ms").agg(F.max("event_id").alias("event_id")).withColumn("found", F.struct("ts_ms", "event_id")).drop("event_id")
+    both = requests.unionByName(latest, allowMissingColumns=True)
     order = Window.partitionBy(*KEY).orderBy("ts_ms", F.col("request_id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found_ts", F.last("found_ts", ignorenulls=True).over(order)).filter("request_id IS NOT NULL")
+    found = both.withColumn("found", F.last("found", ignorenulls=True).over(order)).filter("request_id IS NOT NULL")
+    return found.withColumns({"found_ts": F.col("found.ts_ms"), "found_event": F.col("found.event_id")}).drop("found")
+
 
+def of_sessions(df: DataFrame, requests: DataFrame) -> DataFrame:
+    """df's rows of the sessions that requests ask for. Up to PRUNED sessions are named in the filter, so that the folders of others are
+    not even opened; more are joined."""
+    keys = requests.select(*KEY).distinct()
+    few = keys.limit(PRUNED + 1).collect()
+    if len(few) <= PRUNED:
+        for k in KEY:
+            df = df.filter(F.col(k).isin(sorted({r[k] for r in few if r[k] is not None})))
+    return df.join(keys, KEY, "left_semi")
 
-def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all") -> DataFrame:
+
+def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:
     """Requests with found_ts and the checkpoint's levels down to the request's depth (null level if there is none).
 
-    ties "all": the levels of all quotes at that time; "last": of the one with the greatest event_id."""
+    ties "all": the levels of all quotes at that time; "last": of the one with the greatest event_id. times: times_of(points),
+    where it is stored. Only the asked sessions are read, of both."""
     if ties not in ("all", "last"):
         raise ValueError(f"ties is all or last, not {ties}")
-    if ties == "last":
-        last = points.groupBy(*KEY, "ts_ms").agg(F.max("event_id").alias("event_id"))
-        points = points.join(last, [*KEY, "ts_ms", "event_id"], "left_semi")
-    asked = as_of(requests, points.select(*KEY, "ts_ms")).withColumnRenamed("ts_ms", "asked_ts")
-    levels = points.withColumnRenamed("ts_ms", "found_ts").drop("correction_abs_qty", "quote_anchor_match", "correction_price_changed")
+    asked = as_of(requests, of_sessions(times_of(points) if times is None else times, requests)).withColumnRenamed("ts_ms", "asked_ts")
+    levels = of_sessions(points, requests).withColumnRenamed("ts_ms", "found_ts").drop("correction_abs_qty", "quote_anchor_match", "correction_price_changed")
     a, p = asked.alias("a"), levels.alias("p")
     on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in (*KEY, "found_ts")] + [F.col("p.level") <= F.col("a.depth")]
+    if ties == "last":
+        on.append(F.col("a.found_event") == F.col("p.event_id"))
     mine = [c for c in levels.columns if c not in (*KEY, "found_ts")]
-    return a.join(p, on, "left").select("a.*", *[f"p.{c}" for c in mine])
+    return a.join(p, on, "left").select(*[f"a.{c}" for c in asked.columns if c != "found_event"], *[f"p.{c}" for c in mine])
 
 
-def seek(requests: DataFrame, points: DataFrame, ties: str = "all") -> DataFrame:
+def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:
     """One row per request: its checkpoint's header (that of the first row by side and level, the smaller event_id first), asks and bids (level order),
     correction_cost and inter_quote_drift_abs_qty over the returned levels, and status: found, missing_session, before_first or empty."""
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("visible_price_int", "visible_qty", "correction_cost", "inter_quote_drift_abs_qty")}
     values = {c: F.col(c) for c in _LEVEL} | {"price_int": zero["visible_price_int"], "qty": zero["visible_qty"], "correction_cost": zero["correction_cost"], "inter_quote_drift_abs_qty": zero["inter_quote_drift_abs_qty"]}
     values |= {c: F.coalesce(c, F.lit(False)) for c in ("raw_price_match", "raw_qty_match")}
     level = F.struct("level", "event_id", *[values[c].alias(c) for c in _LEVEL[1:]])
-    rows = found_levels(requests, points, ties)
+    times = times_of(points) if times is None else times
+    rows = found_levels(requests, points, ties, times)
     listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, level))), lambda x: F.struct(*[x[c].alias(c) for c in _LEVEL]))
     header = F.struct("checkpoint_id", "quote_seq", "event_id", "session")
     grouped = rows.groupBy("request_id", *KEY, "asked_ts", "depth", "found_ts").agg(
@@ -53,7 +75,7 @@ def seek(requests: DataFrame, points: DataFrame, ties: str = "all") -> DataFrame
         F.coalesce(F.sum("correction_cost"), F.lit(0)).alias("correction_cost"),
         F.coalesce(F.sum("inter_quote_drift_abs_qty"), F.lit(0)).alias("inter_quote_drift_abs_qty"),
     )
-    known = points.select(*KEY).distinct().withColumn("known", F.lit(True))
+    known = of_sessions(times, requests).select(*KEY).distinct().withColumn("known", F.lit(True))
     status = F.when(F.col("known").isNull(), "missing_session").when(F.col("found_ts").isNull(), "before_first").when(F.col("h.event_id").isNull(), "empty").otherwise("found")
     return grouped.join(known, KEY, "left").select("request_id", *KEY, "asked_ts", "depth", status.alias("status"), "h.*", F.col("found_ts").alias("ts_ms"), "asks", "bids", "correction_cost", "inter_quote_drift_abs_qty")
 

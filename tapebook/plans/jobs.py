@@ -47,7 +47,8 @@ def import_sessions(spark: SparkSession, source: str, out: str, rejected_limit:
 
 
 def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str) -> None:
-    """Order, replay and compare typed quotes, orders and trades; write the seven tables below out.
+    """Order, replay and compare typed quotes, orders and trades; write the seven tables, and the
+    checkpoints' index, below out.
 
     Each table is written once and what follows reads it again, so nothing is computed twice and a lost executor costs a task."""
     for name, df in typed.items():
@@ -61,6 +62,7 @@ def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str)
     write_sessions(book.missing_order_log(legs, life), out, "missing_order_report")
     levels = validate.compared(quotes, events, book.top_at_quotes(book.deltas(life), quotes))
     write_sessions(validate.checkpoints(levels), out, "visible_orderbook_checkpoints")
+    write_sessions(seek.times_of(read("visible_orderbook_checkpoints")), out, "checkpoint_times")
     report = validate.validation_report(_levels_of(read("visible_orderbook_checkpoints")))
     write_sessions(report, out, "validation_report")
 
@@ -121,5 +123,5 @@ def diagnose(spark: SparkSession, out: str) -> None:
 
 
 def answer(spark: SparkSession, out: str, requests: DataFrame, ties: str = "last") -> DataFrame:
-    """Seek requests (request_id, symbol, trade_date, ts_ms, depth) against the checkpoints below out."""
-    return seek.seek(requests, read_sessions(spark, out, "visible_orderbook_checkpoints"), ties)
+    """Seek requests (request_id, symbol, trade_date, ts_ms, depth) against the checkpoints below out, found by their stored index."""
+    return seek.seek(requests, read_sessions(spark, out, "visible_orderbook_checkpoints"), ties, read_sessions(spark, out, "checkpoint_times"))

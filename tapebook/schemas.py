@@ -81,6 +81,7 @@ CHECKPOINTS = _struct(
     raw_price_match=BOOLEAN, raw_qty_match=BOOLEAN, quote_anchor_match=BOOLEAN, correction_price_changed=BOOLEAN,
     inter_quote_drift_abs_qty=BIGINT, correction_cost=BIGINT, correction_abs_qty=BIGINT,
 )
+CHECKPOINT_TIMES = _struct(symbol=STRING, trade_date=BIGINT, ts_ms=BIGINT, event_id=BIGINT)
 MISMATCH_GROUPS = _struct(
     symbol=STRING, exchange_code=STRING, session=STRING, minute_bucket=BIGINT, minute=STRING, side=STRING, level=BIGINT,
     **_COUNTS,

@@ -17,6 +17,7 @@ TABLES: dict[str, T.StructType] = {
     "validation_report": schemas.VALIDATION_REPORT,
     "missing_order_report": schemas.MISSING_ORDER_REPORT,
     "visible_orderbook_checkpoints": schemas.CHECKPOINTS,
+    "checkpoint_times": schemas.CHECKPOINT_TIMES,
 }
 
 

@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -30,3 +35,26 @@ def test_entry(spark):
 def test_every_replay_query_has_sql():
     names = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
     assert names <= entry.oracle_sql().keys()
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SAY = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+
+
+def said(code, cwd):
+    out = subprocess.run([sys.executable, "-c", code], cwd=cwd, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(cwd)})
+    assert out.returncode == 0, out.stderr
+    return out.stdout.split(), out.stderr
+
+
+def test_entry_without_a_module_that_the_operators_need():
+    replay = sum(not n.startswith("op") and n != "pipeline" for n in entry.queries())
+    told, why = said("import sys; sys.modules['xxhash'] = None; " + SAY, ROOT)
+    assert told == [str(replay), str(replay), "False"] and "xxhash" in why
+
+
+def test_entry_and_tests_without_the_operators(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    told, _ = said(SAY, tmp_path / "r")
+    assert told[2] == "False" and told[0] == told[1]
+    said("import sys, pytest; sys.exit(pytest.main(['tests', '-q', '--collect-only', '-p', 'no:cacheprovider']))", tmp_path / "r")

@@ -143,10 +143,12 @@ def test_row_numbers_over_splits(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.csv").write_text("a,b\n" + "".join(f"{i},{'x' * (i % 37)}\n" for i in range(1, 400 * k + 2)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = read_csv(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(rows) == 3 + 1200 and all(int(r["a"]) == r["seq"] for r in rows)
     assert len({r["task"] for r in rows if r["path"].endswith("2.csv")}) > 1
 
@@ -168,7 +170,7 @@ def test_problems_are_what_strict_typing_fails_on(spark):
     rows = spark.createDataFrame([(c,) for c in [*CELLS, None]], "c string").select("c", int_problem(F.col("c")).alias("i"), time_problem(F.col("c")).alias("t")).collect()
     for r in rows:
         assert (r["i"] is not None) == fails(r["c"], to_int) and (r["t"] is not None) == fails(r["c"], parse_ts_ms, to_int), r
-    assert {r["i"] for r in rows} == {None, "out of range", "not a whole number"} and {r["t"] for r in rows} == {None, "blank time", "out of range", "not a whole number"}
+    assert {r["i"] for r in rows} == {None, "out of range", "not a whole number"} and {r["t"] for r in rows} == {None, "blank time", "out of range", "not a whole number", "not a clock time"}
 
 
 def test_quarantine_and_its_limit(spark, source, tmp_path):
@@ -197,3 +199,21 @@ def test_quarantine_and_its_limit(spark, source, tmp_path):
     assert all(r["path"].endswith(FILES["orders"]) and r["dir"].endswith(folder.name) for r in bad)
     whole = sum(len(p.read_bytes().strip().split(b"\n")) - 1 for p in (tmp_path / "in").glob(f"*/{FILES['orders']}"))
     assert read_sessions(spark, str(tmp_path / "out"), "orders").count() == whole - 2
+
+
+def test_seeks_open_asked_sessions_only(spark, source, tmp_path):
+    """The other session's files hold no Parquet: whoever opens one fails."""
+    out = str(tmp_path / "out")
+    jobs.import_sessions(spark, source[0], out)
+    first, other = read_sessions(spark, out, "quotes").select("symbol", "trade_date").distinct().orderBy("symbol", "trade_date").collect()
+    asked = lambda *keys: spark.createDataFrame([(i, *k, 86_400_000, 10) for i, k in enumerate(keys)], "request_id long, symbol string, trade_date long, ts_ms long, depth long")
+    want = {(r["symbol"], r["trade_date"]): str(r.asDict(True) | {"request_id": 0}) for r in jobs.answer(spark, out, asked(first, other)).collect()}
+    for table in ("visible_orderbook_checkpoints", "checkpoint_times"):
+        for f in (tmp_path / "out" / table / f"symbol={other['symbol']}" / f"date={other['trade_date']}").glob("*.parquet"):
+            f.write_bytes(b"not Parquet")
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    for ties in ("last", "all"):
+        assert jobs.answer(spark, out, asked(first), ties).first()["status"] == "found"
+    assert str(jobs.answer(spark, out, asked(first)).first().asDict(True) | {"request_id": 0}) == want[tuple(first)]
+    with pytest.raises(Exception):
+        jobs.answer(spark, out, asked(other)).collect()
