@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tapebook.plans import queries
 
 NAMES = ("normalize_orders", "event_tape", "order_lifecycle", "book_top10_at_quotes", "missing_order_report", "validation_summary", "seek_batch_all", "bucket_snapshots", "b_missing_reason_counts", "csv_roundtrip", "b_book_top10_at_quotes", "enriched_missing_orders", "file_encodings", "missing_session_files", "mixed_session_files", "import_report", "diagnostics_output", "rejected_rows", "quarantine_counts")
 
@@ -33,12 +34,11 @@ def test_entry(spark):
 
 
 def test_every_replay_query_has_sql():
-    names = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
-    assert names <= entry.oracle_sql().keys()
+    assert queries.QUERIES.keys() <= entry.oracle_sql().keys()
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-SAY = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+SAY = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in e.queries()))"
 
 
 def said(code, cwd):
@@ -48,7 +48,7 @@ def said(code, cwd):
 
 
 def test_entry_without_a_module_that_the_operators_need():
-    replay = sum(not n.startswith("op") and n != "pipeline" for n in entry.queries())
+    replay = len(queries.QUERIES)
     told, why = said("import sys; sys.modules['xxhash'] = None; " + SAY, ROOT)
     assert told == [str(replay), str(replay), "False"] and "xxhash" in why
 
