@@ -94,8 +94,8 @@ def missing_order_log(legs: DataFrame, life: DataFrame) -> DataFrame:
     return bad.select(*names).unionAll(failed.select(*names))
 
 
-def _ranked(levels: DataFrame, *by: str, depth: int) -> DataFrame:
-    """side as ask or bid and level from the best price, at most depth levels."""
+def ranked(levels: DataFrame, *by: str, depth) -> DataFrame:
+    """side as ask or bid and level from the best price, at most depth (a number or a column) levels."""
     best = Window.partitionBy(*by, "side").orderBy(F.when(F.col("side") == "B", -F.col("price_int")).otherwise(F.col("price_int")))
     top = levels.withColumn("level", F.row_number().over(best).cast("bigint")).filter(F.col("level") <= depth)
     return top.withColumn("side", F.when(F.col("side") == "B", "bid").otherwise("ask"))
@@ -104,7 +104,7 @@ def _ranked(levels: DataFrame, *by: str, depth: int) -> DataFrame:
 def levels_at(changes: DataFrame, ts_ms: int, depth: int = DEPTH) -> DataFrame:
     """The book of every session after all events up to a clock time."""
     left = changes.filter(F.col("ts_ms") <= ts_ms).groupBy(*KEY, "side", "price_int").agg(F.sum("delta").alias("qty")).filter("qty > 0")
-    return _ranked(left, *KEY, depth=depth).select(*KEY, "side", "level", "price_int", "qty")
+    return ranked(left, *KEY, depth=depth).select(*KEY, "side", "level", "price_int", "qty")
 
 
 def _indexed(rows: DataFrame, times: DataFrame, range_ms: int) -> DataFrame:
@@ -155,7 +155,7 @@ def top_at_quotes(changes: DataFrame, quotes: DataFrame, depth: int = DEPTH, blo
     near = here.withColumn("nth", best).withColumn("bound", F.max(F.when(F.col("whole") & (F.col("nth") == depth), F.col("rank_by"))).over(side))
     near = near.filter("bound IS NULL OR rank_by <= bound")
     spread = near.select(*KEY, "block", "side", "price_int", "qty", F.explode(F.expr("slice(moments, from_ + 1, to_ - from_)")).alias("ts_ms"))
-    return _ranked(spread, *KEY, "block", "ts_ms", depth=depth).select(*KEY, "ts_ms", "side", "level", "price_int", "qty")
+    return ranked(spread, *KEY, "block", "ts_ms", depth=depth).select(*KEY, "ts_ms", "side", "level", "price_int", "qty")
 
 
 def replay(events: DataFrame) -> tuple[DataFrame, DataFrame]:

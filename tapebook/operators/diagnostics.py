@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapebook.functions.cells import minute_bucket, minute_label, within
 from tapebook.operators.normalize import quote_levels
-from tapebook.operators.validate import _mismatches
+from tapebook.operators.validate import mismatches
 from tapebook.schemas import DIAGNOSTIC_WINDOWS, KEY, MISMATCH_GROUPS, MISSING_GROUPS, OPENING, OPENING_ALIGNMENT, TOP_BUCKETS
 
 TOP = 20
@@ -31,7 +31,7 @@ def enriched_missing(log: DataFrame) -> DataFrame:
 
 def mismatch_groups(rich: DataFrame) -> DataFrame:
     """Counts by symbol (its days together), phase, minute, side and level."""
-    return _mismatches(rich, "symbol", "exchange_code", "session", "minute_bucket", "minute", "side", "level").select(*MISMATCH_GROUPS.fieldNames())
+    return mismatches(rich, "symbol", "exchange_code", "session", "minute_bucket", "minute", "side", "level").select(*MISMATCH_GROUPS.fieldNames())
 
 
 def missing_groups(log: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def window_shares(report: DataFrame) -> DataFrame:
 def top_buckets(rich: DataFrame, top: int = TOP) -> DataFrame:
     """The minutes with most mismatches, by session and phase."""
     by = ["symbol", "trade_date", "exchange_code", "session", "minute_bucket", "minute"]
-    out = _mismatches(rich, *by).select(*TOP_BUCKETS.fieldNames())
+    out = mismatches(rich, *by).select(*TOP_BUCKETS.fieldNames())
     return out.orderBy(F.desc("mismatch_count"), "symbol", "trade_date", "session", "minute_bucket").limit(top)
 
 
@@ -99,7 +99,7 @@ def opening_alignment(report: DataFrame, quotes: DataFrame) -> DataFrame:
     """The first quote of the opening minute of each session that has one, and its mismatches (zeros if none)."""
     first = quotes.filter(within(F.col("ts_ms"), OPENING)).groupBy(*KEY).agg(F.min(F.struct("ts_ms", "seq", "exchange_code")).alias("q"))
     opening = first.select(*KEY, F.col("q.exchange_code").alias("exchange_code"), F.col("q.seq").alias("quote_seq"), F.col("q.ts_ms").alias("ts_ms"))
-    counts = _mismatches(report, *KEY, "quote_seq")
+    counts = mismatches(report, *KEY, "quote_seq")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(f"raw_{c}")
     rows = opening.join(counts, [*KEY, "quote_seq"], "left").select(*KEY, "exchange_code", F.col("quote_seq").alias("opening_quote_seq"), "ts_ms", zero("mismatch_count"), zero("price_mismatch_count"), zero("qty_mismatch_count"), F.lit(0).cast("bigint").alias("reproduced_mismatch_count"))
     return rows.select(*OPENING_ALIGNMENT.fieldNames()).orderBy(*KEY)

@@ -29,15 +29,17 @@ def as_of(requests: DataFrame, times: DataFrame) -> DataFrame:
     return found.withColumns({"found_ts": F.col("found.ts_ms"), "found_event": F.col("found.event_id")}).drop("found")
 
 
-def of_sessions(df: DataFrame, requests: DataFrame) -> DataFrame:
-    """df's rows of the sessions that requests ask for. Up to PRUNED sessions are named in the filter, so that the folders of others are
-    not even opened; more are joined."""
-    keys = requests.select(*KEY).distinct()
+def of_sessions(df: DataFrame, requests: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """df's rows whose session (or by) requests ask for. Up to PRUNED of them are named in the filter, so that the folders of others
+    are not even opened; more are joined."""
+    keys = requests.select(*by).distinct()
     few = keys.limit(PRUNED + 1).collect()
     if len(few) <= PRUNED:
-        for k in KEY:
+        for k in by:
             df = df.filter(F.col(k).isin(sorted({r[k] for r in few if r[k] is not None})))
-    return df.join(keys, KEY, "left_semi")
+        # The columns one by one name folders that no request asks for; together they do not.
+        df = df.filter(F.concat_ws("\0", *[F.col(k).cast("string") for k in by]).isin(["\0".join(map(str, r)) for r in few if None not in r]))
+    return df.join(keys, by, "left_semi")
 
 
 def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def validation_report(levels: DataFrame) -> DataFrame:
     return levels.filter(~empty & ~(F.col("price_match") & F.col("qty_match"))).select(*VALIDATION_REPORT.fieldNames())
 
 
-def _mismatches(report: DataFrame, *by: str) -> DataFrame:
+def mismatches(report: DataFrame, *by: str) -> DataFrame:
     return report.groupBy(*by).agg(F.count("*").alias("mismatch_count"), F.count_if(~F.col("price_match")).alias("price_mismatch_count"), F.count_if(~F.col("qty_match")).alias("qty_mismatch_count"))
 
 
@@ -37,11 +37,11 @@ def validation_summary(quotes: DataFrame, report: DataFrame, log: DataFrame) ->
     """Per session with events: checked quotes, mismatches, missing orders; clean sessions have zeros."""
     checked = quotes.groupBy(*KEY).agg(F.count("*").alias("checked_quotes"))
     missing = log.groupBy(*KEY).agg(F.count("*").alias("missing_order_count"))
-    joined = checked.join(_mismatches(report, *KEY), KEY, "left").join(missing, KEY, "left")
+    joined = checked.join(mismatches(report, *KEY), KEY, "left").join(missing, KEY, "left")
     return joined.na.fill(0)
 
 
-def _rates(df: DataFrame) -> DataFrame:
+def rates(df: DataFrame) -> DataFrame:
     rate = lambda c: F.when(F.col("compared_levels") > 0, 1 - F.col(c) / F.col("compared_levels")).otherwise(F.lit(0.0))
     return df.withColumn("compared_levels", F.col("checked_quotes") * LEVELS).withColumns(
         {"raw_match_rate": rate("mismatch_count"), "raw_price_match_rate": rate("price_mismatch_count"), "raw_qty_match_rate": rate("qty_mismatch_count")}
@@ -53,10 +53,10 @@ def match_rates(quotes: DataFrame, report: DataFrame) -> DataFrame:
     flag = lambda c: (~F.col(c)).cast("bigint")
     names = ("checked_quotes", "mismatch_count", "price_mismatch_count", "qty_mismatch_count")
     parts = quotes.select(F.lit(1), F.lit(0), F.lit(0), F.lit(0)).unionAll(report.select(F.lit(0), F.lit(1), flag("price_match"), flag("qty_match"))).toDF(*names)
-    return _rates(parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names]))
+    return rates(parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names]))
 
 
-def _window(ts_ms: Column, windows: dict[str, tuple[int, int]]) -> Column:
+def window_of(ts_ms: Column, windows: dict[str, tuple[int, int]]) -> Column:
     """The first window that holds a time; null if none does."""
 
     def label(ts: Column) -> Column:
@@ -70,9 +70,9 @@ def _window(ts_ms: Column, windows: dict[str, tuple[int, int]]) -> Column:
 
 def match_rates_by_window(quotes: DataFrame, report: DataFrame, windows: dict[str, tuple[int, int]] = CLOCK_WINDOWS) -> DataFrame:
     """The rates in each clock window that has quotes."""
-    in_window = lambda df: df.withColumn("window", _window(F.col("ts_ms"), windows)).filter("window IS NOT NULL")
+    in_window = lambda df: df.withColumn("window", window_of(F.col("ts_ms"), windows)).filter("window IS NOT NULL")
     checked = in_window(quotes).groupBy("window").agg(F.count("*").alias("checked_quotes"))
-    return _rates(checked.join(_mismatches(in_window(report), "window"), "window", "left").na.fill(0))
+    return rates(checked.join(mismatches(in_window(report), "window"), "window", "left").na.fill(0))
 
 
 def mismatch_by_side(report: DataFrame) -> DataFrame:

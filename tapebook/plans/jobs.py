@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapebook.operators import book, diagnostics, quarantine, seek, validate
+from tapebook.operators import book, diagnostics, quarantine, rollups, seek, states, validate
 from tapebook.operators.normalize import normalize_orders, normalize_quotes, normalize_trades
 from tapebook.operators.tape import event_tape, session_event_counts
 from tapebook.schemas import KEY
 from tapebook.sources.scratch import written
 from tapebook.sources.session_csv import first_rows, inspect, listed, missing_files, mixed_sessions, numbered, read_kind
-from tapebook.sources.session_tables import read_sessions, write_sessions
+from tapebook.sources.session_tables import TABLES, current, new_run, publish, read_sessions, write_sessions
 
 
 def check_source(spark: SparkSession, source: str, raw: dict[str, DataFrame]) -> None:
@@ -25,7 +25,8 @@ def check_source(spark: SparkSession, source: str, raw: dict[str, DataFrame]) ->
 
 
 def import_sessions(spark: SparkSession, source: str, out: str, rejected_limit: int | None = None) -> None:
-    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out.
+    """Read, type, order, replay and compare every session below source; write its seven tables and its report below out, to be seen
+    all at once when the last of them is there. An import that ends before leaves what was there before as it was.
 
     Without a limit the first cell that cannot be typed fails the import. With one, rows with such cells are left out and written
     to out/rejected_rows (quarantine.split), and the import fails, before it writes anything else, if a folder has more of them."""
@@ -42,29 +43,42 @@ def import_sessions(spark: SparkSession, source: str, out: str, rejected_limit:
         over = quarantine.rejected_by(spark.read.parquet(f"{out}/rejected_rows"), "dir").filter(F.col("rejected_rows") > rejected_limit)
         if bad := over.orderBy(F.desc("rejected_rows"), "dir").limit(20).collect():
             raise ValueError(f"over {rejected_limit} rows cannot be typed: {bad}")
-    replay_sessions(spark, {name: f(rows[name]) for name, f in typed.items()}, out)
-    import_report(spark, out, first, files).write.mode("overwrite").json(f"{out}/import_report")
+    run = new_run()
+    replay_sessions(spark, {name: f(rows[name]) for name, f in typed.items()}, out, run)
+    import_report(spark, out, first, files, run).write.json(f"{out}/import_report/run={run}")
+    publish(read_sessions(spark, out, "events", run), out, run, [*TABLES, "import_report"])
 
 
-def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str) -> None:
-    """Order, replay and compare typed quotes, orders and trades; write the seven tables, and the
-    checkpoints' index, below out.
+def replay_sessions(spark: SparkSession, typed: dict[str, DataFrame], out: str, run: str | None = None) -> None:
+    """Order, replay and compare typed quotes, orders and trades; write the seven tables, the checkpoints' index, the books' states and
+    the parts of reports below out, as those of a run that the caller publishes, or published here if none is given.
 
     Each table is written once and what follows reads it again, so nothing is computed twice and a lost executor costs a task."""
+    own = run or new_run()
+    write = lambda df, name: write_sessions(df, out, name, own)
+    read = lambda name: read_sessions(spark, out, name, own)
     for name, df in typed.items():
-        write_sessions(df, out, name)
-    read = lambda name: read_sessions(spark, out, name)
+        write(df, name)
     quotes, orders, trades = map(read, ("quotes", "orders", "trades"))
-    write_sessions(event_tape(quotes, orders, trades), out, "events")
+    write(event_tape(quotes, orders, trades), "events")
     events = read("events")
     legs = book.legs(events)
     life = written(book.lifecycle(legs))
-    write_sessions(book.missing_order_log(legs, life), out, "missing_order_report")
+    write(book.missing_order_log(legs, life), "missing_order_report")
     levels = validate.compared(quotes, events, book.top_at_quotes(book.deltas(life), quotes))
-    write_sessions(validate.checkpoints(levels), out, "visible_orderbook_checkpoints")
-    write_sessions(seek.times_of(read("visible_orderbook_checkpoints")), out, "checkpoint_times")
-    report = validate.validation_report(_levels_of(read("visible_orderbook_checkpoints")))
-    write_sessions(report, out, "validation_report")
+    write(validate.checkpoints(levels), "visible_orderbook_checkpoints")
+    points = read("visible_orderbook_checkpoints")
+    write(seek.times_of(points), "checkpoint_times")
+    write(validate.validation_report(_levels_of(points)), "validation_report")
+    net = written(states.net_changes(book.deltas(life)))
+    write(states.spans(net), "book_spans")
+    write(states.states(net, read("book_spans")), "book_states")
+    write(rollups.quote_parts(quotes), "quote_parts")
+    write(rollups.mismatch_parts(diagnostics.enriched(read("validation_report"), quotes)), "mismatch_parts")
+    write(rollups.missing_parts(read("missing_order_report")), "missing_parts")
+    write(rollups.visible_parts(points), "visible_parts")
+    if run is None:
+        publish(events, out, own, [*TABLES])
 
 
 def _levels_of(points: DataFrame) -> DataFrame:
@@ -73,10 +87,10 @@ def _levels_of(points: DataFrame) -> DataFrame:
     return points.withColumnsRenamed(names)
 
 
-def import_report(spark: SparkSession, out: str, first: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """One row per session: artifacts (table, row_count), warnings, the validation and the visible summary. With what the
+def import_report(spark: SparkSession, out: str, first: DataFrame | None = None, files: DataFrame | None = None, run: str | None = None) -> DataFrame:
+    """One row per session that is published, or that a run has written: artifacts (table, row_count), warnings, the validation and the visible summary. With what the
     source's quote files name first, and what inspect() found of all files, also those files, and a warning for each with NULs."""
-    read = lambda name: read_sessions(spark, out, name)
+    read = lambda name: read_sessions(spark, out, name, run)
     tables = ("quotes", "orders", "trades", "events", "validation_report", "missing_order_report", "visible_orderbook_checkpoints")
     keys = read("quotes").select(*KEY).distinct()
     count = lambda t: read(t).groupBy(*KEY).agg(F.count("*").alias("row_count")).select(*KEY, F.lit(t).alias("table"), "row_count")
@@ -84,10 +98,10 @@ def import_report(spark: SparkSession, out: str, first: DataFrame | None = None,
     artifacts = counts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("table", "row_count"))).alias("artifacts"))
     said = F.concat(F.col("session_event_count").cast("string"), F.lit(" order rows became session events"))
     unknown = session_event_counts(read("orders")).select(*KEY, F.when(F.col("session_event_count") > 0, F.array(said)).alias("unknown"))
-    checks = validate.validation_summary(read("quotes"), read("validation_report"), read("missing_order_report"))
+    checks = rollups.validation_summary(read("quote_parts"), read("mismatch_parts"), read("missing_parts"))
     nested = lambda df, name: df.select(*KEY, F.struct(*[c for c in df.columns if c not in KEY]).alias(name))
     rows = keys.join(artifacts, KEY, "left").join(unknown, KEY, "left")
-    rows = rows.join(nested(checks, "validation"), KEY, "left").join(nested(validate.visible_summary(read("visible_orderbook_checkpoints")), "visible"), KEY, "left")
+    rows = rows.join(nested(checks, "validation"), KEY, "left").join(nested(rollups.visible_summary(read("visible_parts")), "visible"), KEY, "left")
     none = F.array().cast("array<string>")
     if files is None:
         return rows.withColumn("warnings", F.coalesce("unknown", none)).drop("unknown")
@@ -99,29 +113,41 @@ def import_report(spark: SparkSession, out: str, first: DataFrame | None = None,
     return rows.withColumn("warnings", F.concat(F.coalesce(nul, none), F.coalesce("unknown", none))).drop("unknown")
 
 
+def read_reports(spark: SparkSession, out: str) -> DataFrame:
+    """The import's reports of the published sessions."""
+    return current(spark.read.json(f"{out}/import_report"), out, "import_report")
+
+
 def diagnose(spark: SparkSession, out: str) -> None:
-    """Groups, worst buckets and openings over all sessions below out: four tables and one JSON."""
+    """Groups, worst buckets and openings over all sessions below out: four tables and one JSON. What only counts is merged from the
+    sessions' parts; levels are read for the worst buckets' minutes and the openings."""
     read = lambda name: read_sessions(spark, out, name)
-    report, log, quotes = read("validation_report"), read("missing_order_report"), read("quotes")
-    rich = written(diagnostics.enriched(report, quotes))
+    report, quotes = read("validation_report"), read("quotes")
+    parts, missed = read("mismatch_parts"), read("missing_parts")
     to = f"{out}/diagnostics"
-    groups = diagnostics.mismatch_groups(rich).orderBy(F.desc("mismatch_count"), "symbol", "session", "minute_bucket", "side", "level")
+    groups = rollups.mismatch_groups(parts).orderBy(F.desc("mismatch_count"), "symbol", "session", "minute_bucket", "side", "level")
     groups.write.mode("overwrite").parquet(f"{to}/residual_mismatch_groups")
-    missing = diagnostics.missing_groups(diagnostics.enriched_missing(log)).orderBy(F.desc("missing_order_count"), "reason", "session", "symbol")
+    missing = rollups.missing_groups(missed).orderBy(F.desc("missing_order_count"), "reason", "session", "symbol")
     missing.write.mode("overwrite").parquet(f"{to}/residual_missing_groups")
-    diagnostics.top_buckets(rich).write.mode("overwrite").parquet(f"{to}/residual_top_time_buckets")
+    rollups.top_buckets(parts).write.mode("overwrite").parquet(f"{to}/residual_top_time_buckets")
     diagnostics.opening_alignment(report, quotes).write.mode("overwrite").parquet(f"{to}/opening_alignment_report")
     buckets = spark.read.parquet(f"{to}/residual_top_time_buckets")
-    parts = {
-        "totals": diagnostics.totals(report, log),
-        "time_window": diagnostics.window_shares(report),
+    rich = diagnostics.enriched(seek.of_sessions(report, buckets), seek.of_sessions(quotes, buckets))
+    told = {
+        "totals": rollups.totals(parts, missed),
+        "time_window": rollups.window_shares(parts),
         "top_bucket": diagnostics.bucket_snapshots(rich, quotes, buckets),
         "opening": diagnostics.opening_snapshots(report, quotes),
     }
-    told = [df.select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("json")) for part, df in parts.items()]
-    reduce(DataFrame.unionByName, told).write.mode("overwrite").json(f"{to}/residual_diagnostics")
+    lines = [df.select(F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("json")) for part, df in told.items()]
+    reduce(DataFrame.unionByName, lines).write.mode("overwrite").json(f"{to}/residual_diagnostics")
 
 
 def answer(spark: SparkSession, out: str, requests: DataFrame, ties: str = "last") -> DataFrame:
     """Seek requests (request_id, symbol, trade_date, ts_ms, depth) against the checkpoints below out, found by their stored index."""
     return seek.seek(requests, read_sessions(spark, out, "visible_orderbook_checkpoints"), ties, read_sessions(spark, out, "checkpoint_times"))
+
+
+def books(spark: SparkSession, out: str, requests: DataFrame) -> DataFrame:
+    """The rebuilt books at requests (request_id, symbol, trade_date, ts_ms, depth), from the states below out."""
+    return states.books_at(requests, read_sessions(spark, out, "book_states"), read_sessions(spark, out, "book_spans"))

@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapebook.operators import book, diagnostics, quarantine, seek, validate
+from tapebook.operators import book, diagnostics, quarantine, rollups, seek, states, validate
 from tapebook.operators.normalize import normalize_orders as normalize_orders_
 from tapebook.operators.normalize import normalize_quotes as normalize_quotes_
 from tapebook.operators.normalize import normalize_trades as normalize_trades_
@@ -20,7 +20,7 @@ from tapebook.plans.tapes import Tape, raw_a, requests_a, spoilt_a, tape_a, tape
 from tapebook.schemas import FILES, KEY
 from tapebook.sources.scratch import scratch, written
 from tapebook.sources.session_csv import inspect, missing_files, mixed_sessions, raw_rows, read_csv
-from tapebook.sources.session_tables import read_sessions, session_of_path, write_sessions
+from tapebook.sources.session_tables import new_run, read_sessions, session_of_path, superseded, write_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,6 +145,15 @@ def book_levels_at(spark, d):
     return book.levels_at(_Replayed(spark, d).deltas, 40_000_000)
 
 
+@_query
+def books_at(spark, d):
+    """The books at every seek request's time, from stored states."""
+    at, net = scratch(spark), written(states.net_changes(_Replayed(spark, d).deltas))
+    write_sessions(states.spans(net), at, "book_spans")
+    write_sessions(states.states(net, read_sessions(spark, at, "book_spans")), at, "book_states")
+    return jobs.books(spark, at, requests_a(spark, d))
+
+
 @_query
 def book_top10_at_quotes(spark, d):
     r = _Replayed(spark, d)
@@ -401,6 +410,55 @@ def import_report(spark, d):
     return rows.select(*KEY, artifacts.alias("artifacts"), F.array_join("warnings", ",").alias("warnings"), "validation.*", *[f"visible.{c}" for c in visible])
 
 
+def _parts(spark: SparkSession, d: str, *tables: str) -> list[DataFrame]:
+    """Stored parts of tape A; those of odd days are written again afterwards, so that they replace the first ones."""
+    r, at = _Replayed(spark, d), scratch(spark)
+    make = {
+        "quote_parts": lambda: rollups.quote_parts(r.quotes),
+        "mismatch_parts": lambda: rollups.mismatch_parts(r.rich),
+        "missing_parts": lambda: rollups.missing_parts(r.log),
+        "visible_parts": lambda: rollups.visible_parts(r.points),
+    }
+    for name in tables:
+        rows = written(make[name]())
+        write_sessions(rows, at, name)
+        write_sessions(rows.filter("trade_date % 2 = 1"), at, name)
+    return [read_sessions(spark, at, name) for name in tables]
+
+
+@_query
+def merged_mismatch_groups(spark, d):
+    return rollups.mismatch_groups(*_parts(spark, d, "mismatch_parts"))
+
+
+@_query
+def merged_validation_summary(spark, d):
+    return rollups.validation_summary(*_parts(spark, d, "quote_parts", "mismatch_parts", "missing_parts"))
+
+
+@_query
+def merged_match_by_window(spark, d):
+    return rollups.match_rates_by_window(*_parts(spark, d, "quote_parts", "mismatch_parts"))
+
+
+@_query
+def merged_visible_summary(spark, d):
+    return rollups.visible_summary(*_parts(spark, d, "visible_parts"))
+
+
+@_query
+def published_runs(spark, d):
+    """Trades of all sessions, those of odd days written again with doubled quantities, and a third run that writes rows but ends
+    before its marker: each session's rows and quantity as a reader finds them, and how many of its runs are replaced."""
+    at, trades = scratch(spark), tape_a(spark, d).trades
+    write_sessions(trades, at, "trades")
+    write_sessions(trades.filter("trade_date % 2 = 1").withColumn("qty", F.col("qty") * 2), at, "trades")
+    write_sessions(trades.withColumn("qty", F.lit(-1).cast("bigint")), at, "trades", new_run())
+    rows = read_sessions(spark, at, "trades").groupBy(*KEY).agg(F.count("*").alias("row_count"), F.sum("qty").alias("qty"))
+    old = superseded(spark, at, "trades").groupBy(*KEY).agg(F.count("*").alias("replaced_runs"))
+    return rows.join(old, KEY, "left").select(*KEY, "row_count", "qty", F.coalesce("replaced_runs", F.lit(0)).cast("bigint").alias("replaced_runs"))
+
+
 @_query
 def diagnostics_output(spark, d):
     """What the diagnostics job writes: its four tables' counts, and its JSON's parts read again."""

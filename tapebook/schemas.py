@@ -81,6 +81,18 @@ CHECKPOINTS = _struct(
     raw_price_match=BOOLEAN, raw_qty_match=BOOLEAN, quote_anchor_match=BOOLEAN, correction_price_changed=BOOLEAN,
     inter_quote_drift_abs_qty=BIGINT, correction_cost=BIGINT, correction_abs_qty=BIGINT,
 )
+BOOK_STATES = _struct(symbol=STRING, trade_date=BIGINT, block=BIGINT, side=STRING, price_int=BIGINT, ts_ms=BIGINT, qty=BIGINT)
+BOOK_SPANS = _struct(symbol=STRING, trade_date=BIGINT, block_ms=BIGINT, first_block=BIGINT, last_block=BIGINT)
+QUOTE_PARTS = _struct(symbol=STRING, trade_date=BIGINT, minute_bucket=BIGINT, checked_quotes=BIGINT)
+MISMATCH_PARTS = _struct(
+    symbol=STRING, trade_date=BIGINT, exchange_code=STRING, session=STRING, minute_bucket=BIGINT, minute=STRING, side=STRING,
+    level=BIGINT, **_COUNTS,
+)
+MISSING_PARTS = _struct(symbol=STRING, trade_date=BIGINT, reason=STRING, session=STRING, minute_bucket=BIGINT, missing_order_count=BIGINT)
+VISIBLE_PARTS = _struct(
+    symbol=STRING, trade_date=BIGINT, minute_bucket=BIGINT, checked_quotes=BIGINT, checkpoint_rows=BIGINT,
+    quote_anchor_match_count=BIGINT, inter_quote_drift_abs_qty=BIGINT, correction_cost=BIGINT, correction_price_change_count=BIGINT,
+)
 CHECKPOINT_TIMES = _struct(symbol=STRING, trade_date=BIGINT, ts_ms=BIGINT, event_id=BIGINT)
 MISMATCH_GROUPS = _struct(
     symbol=STRING, exchange_code=STRING, session=STRING, minute_bucket=BIGINT, minute=STRING, side=STRING, level=BIGINT,

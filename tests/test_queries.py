@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tapebook.plans import queries
 
-NAMES = ("normalize_orders", "event_tape", "order_lifecycle", "book_top10_at_quotes", "missing_order_report", "validation_summary", "seek_batch_all", "bucket_snapshots", "b_missing_reason_counts", "csv_roundtrip", "b_book_top10_at_quotes", "enriched_missing_orders", "file_encodings", "missing_session_files", "mixed_session_files", "import_report", "diagnostics_output", "rejected_rows", "quarantine_counts")
+NAMES = ("normalize_orders", "event_tape", "order_lifecycle", "book_top10_at_quotes", "missing_order_report", "validation_summary", "seek_batch_all", "bucket_snapshots", "b_missing_reason_counts", "csv_roundtrip", "b_book_top10_at_quotes", "enriched_missing_orders", "file_encodings", "missing_session_files", "mixed_session_files", "import_report", "diagnostics_output", "rejected_rows", "quarantine_counts", "books_at", "published_runs", "merged_mismatch_groups", "merged_validation_summary", "merged_match_by_window", "merged_visible_summary", "parquet_roundtrip", "path_sessions")
 
 
 def told(value):

@@ -209,7 +209,7 @@ def test_seeks_open_asked_sessions_only(spark, source, tmp_path):
     asked = lambda *keys: spark.createDataFrame([(i, *k, 86_400_000, 10) for i, k in enumerate(keys)], "request_id long, symbol string, trade_date long, ts_ms long, depth long")
     want = {(r["symbol"], r["trade_date"]): str(r.asDict(True) | {"request_id": 0}) for r in jobs.answer(spark, out, asked(first, other)).collect()}
     for table in ("visible_orderbook_checkpoints", "checkpoint_times"):
-        for f in (tmp_path / "out" / table / f"symbol={other['symbol']}" / f"date={other['trade_date']}").glob("*.parquet"):
+        for f in (tmp_path / "out" / table / f"symbol={other['symbol']}" / f"date={other['trade_date']}").rglob("*.parquet"):
             f.write_bytes(b"not Parquet")
             f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
     for ties in ("last", "all"):
