@@ -34,13 +34,13 @@ TABLES: dict[str, T.StructType] = {
 #: Columns that are folders below the session's.
 FOLDERS = {"book_states": ["block"]}
 MARKERS = "published"
-_MARKER = T.StructType([T.StructField(name, kind) for name, kind in (("run", T.StringType()), ("table", T.StringType()), ("symbol", T.StringType()), ("trade_date", T.LongType()))])
+_MARKER = T.StructType().add("at", "string").add("run", "string").add("table", "string").add("symbol", "string").add("trade_date", "long")
 #: Runs and replaced sessions that a filter names.
 NAMED = 1000
 
 
 def new_run() -> str:
-    """An id that sorts behind those of earlier runs, by the driver's clock."""
+    """An id of its own, which sorts behind those made before by the driver's clock."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
@@ -59,8 +59,9 @@ def write_sessions(df: DataFrame, root: str, table: str, run: str | None = None)
 
 def publish(sessions: DataFrame, root: str, run: str, tables: list[str]) -> None:
     """Make a run's tables current for the sessions, all at once: one file, which a single rename puts in its place. A table in
-    which the run has no row of such a session is empty for it."""
-    keys = sessions.select(*KEY).distinct().withColumn("run", F.lit(run))
+    which the run has no row of such a session is empty for it. Of two runs that name a session, the one published last is current,
+    whichever began first."""
+    keys = sessions.select(*KEY).distinct().withColumns({"at": F.lit(new_run()), "run": F.lit(run)})
     rows = keys.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
     rows.select(*_MARKER.fieldNames()).coalesce(1).write.mode("append").parquet(f"{root}/{MARKERS}")
 
@@ -68,7 +69,7 @@ def publish(sessions: DataFrame, root: str, run: str, tables: list[str]) -> None
 def _runs(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Each session of the table with its current run and the replaced ones (old)."""
     marks = spark.read.schema(_MARKER).parquet(f"{root}/{MARKERS}").filter(F.col("table") == table)
-    per = marks.groupBy(*KEY).agg(F.max("run").alias("run"), F.collect_set("run").alias("old"))
+    per = marks.groupBy(*KEY).agg(F.max_by("run", "at").alias("run"), F.collect_set("run").alias("old"))
     return per.withColumn("old", F.array_except("old", F.array("run")))
 
 
