@@ -30,7 +30,8 @@ from tapebook.llm.common import columns, drop_table, grown, write_table
 FAN = 32
 #: A text is the template's if it stands on all of at least so many different pages.
 TEMPLATE_PAGES = 12
-#: Elements are nested so deep at most; deeper ones stand beside each other, as in browsers (which stop at some hundred).
+#: Elements are nested so deep at most; deeper ones stand beside each other, as in browsers (which stop at some hundred). Their blocks
+#: are the same, and what is skipped is skipped at any depth.
 DEPTH = 100
 #: A task's wrappers are handed on when it holds those of so many hosts.
 HOSTS = 2_000
@@ -52,12 +53,22 @@ _SKIPPED_NAMES = frozenset(
     "cookie-notice cookie-banner consent gdpr banner menu nav navbar navigation main-nav footer header masthead share sharing social related recommended subscribe newsletter "
     "breadcrumb breadcrumbs popup modal login signup toolbar pagination widget complementary search".split()
 )
+#: Words that names of such containers are made of, and words that only say where or what kind of box it is.
+_SKIPPED_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion sidebar comment comments disqus replies notice notices cookie cookies consent gdpr "
+    "menu nav navbar navigation share sharing social related recommended subscribe newsletter breadcrumb breadcrumbs popup modal pagination".split()
+)
+_FRAME_WORDS = frozenset(
+    "area banner bar block bottom box buttons container footer form group holder icons inner inline items left links list more outer panel post posts articles stories reader readers "
+    "right row section site slot strip thread top unit user users visitor widget wrap wrapper zone".split()
+)
 #: Names of containers that hold it.
 _MAIN_NAMES = frozenset("article article-body articlebody post-content entry-content main-content story post content".split())
 
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _STOPS = re.compile(r"[>\"']")
+_WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
 
 
 # ---------------------------------------------------------------- pages as nested elements
@@ -112,6 +123,16 @@ class _Tags:
         return self.page.find(">", at)
 
 
+@lru_cache(4096)
+def _boilerplate(name: str) -> bool:
+    """Whether a container's name says that it holds no main text: a listed name, or words that are all of the two lists, one of
+    them a telling one (reader-comments, adSlot; not related-work, share-price)."""
+    if name.lower() in _SKIPPED_NAMES:
+        return True
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return not words.isdisjoint(_SKIPPED_WORDS) and words <= _SKIPPED_WORDS | _FRAME_WORDS
+
+
 def _skipped(label: str, inside: bool) -> bool:
     """Whether an element holds no main text; inside: it stands in an article's (or another root's) own content."""
     tag, _, names = label.partition(" ")
@@ -119,7 +140,7 @@ def _skipped(label: str, inside: bool) -> bool:
         return True
     if tag == "article":
         return any("comment" in n for n in names.split())
-    return tag in _CONTAINERS and not _SKIPPED_NAMES.isdisjoint(names.lower().split())
+    return tag in _CONTAINERS and any(map(_boilerplate, names.split()))
 
 
 def _clean(held: list[str]) -> str:
@@ -159,12 +180,16 @@ def parse(page: str) -> Element:
     stack, tags = [root], [""]
     opened: dict[str, int] = {}  # how often each tag is on the stack
     beside: dict[str, int] = {}  # and how often it is open without being there, for its depth
+    outer: dict[str, int] | None = None  # the same of what is around the skipped element at the end of the stack
     ends, low, at, n = _Tags(page), None, 0, len(page)
 
     def close(k: int) -> None:
+        nonlocal beside, outer
         for tag in tags[k:]:
             opened[tag] -= 1
         del stack[k:], tags[k:]
+        if outer is not None and k <= DEPTH + 1:
+            beside, outer = outer, None
 
     def last(tag: str) -> int:
         return len(tags) - 1 - tags[::-1].index(tag) if tags[-1] != tag else len(tags) - 1
@@ -197,6 +222,7 @@ def parse(page: str) -> Element:
                 continue
             if beside.get(tag):
                 beside[tag] -= 1
+                stack[-1].children.append(Element(tag))
             elif opened.get(tag):
                 close(last(tag))
             continue
@@ -220,9 +246,11 @@ def parse(page: str) -> Element:
         stack[-1].children.append(e)
         if tag in _VOID or attributes.endswith("/"):
             continue
-        if len(stack) > DEPTH:
+        if len(stack) > DEPTH + 1 or len(stack) == DEPTH + 1 and not _skipped(e.label, True):
             beside[tag] = beside.get(tag, 0) + 1
             continue
+        if len(stack) == DEPTH + 1:
+            beside, outer = {}, beside
         stack.append(e)
         tags.append(tag)
         opened[tag] = opened.get(tag, 0) + 1

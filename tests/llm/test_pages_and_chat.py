@@ -109,6 +109,26 @@ def test_names_inside_the_article(spark, pages_of):
     assert {r["text"] for r in got} == {"Title\na\nb\nc\nd"}
 
 
+def read_alone(page):
+    return wrappers.read(page, json.dumps(wrappers.skeleton(wrappers.parse(page))))
+
+
+@pytest.mark.parametrize("name", ["comment-section", "reader-comments", "user-comments", "ad-slot", "promo-box", "site-notice", "related-posts", "adSlot", "ad_unit_12", "share-bar top"])
+def test_names_made_of_telling_words(name):
+    assert read_alone(f"<body><article><p>a</p><div class='{name}'><p>no</p></div><p>b</p></article></body>") == "a\nb"
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-price", "notice-of-meeting", "address", "adapter", "layout-with-sidebar", "post-list", "comments-open", "sectionTop"])
+def test_names_that_only_look_so(name):
+    assert read_alone(f"<body><article><p>a</p><div class='{name}'><p>c</p></div><p>b</p></article></body>") == "a\nc\nb"
+
+
+@pytest.mark.parametrize("depth", [1, 90, 95, 96, 97, 98, 99, 100, 101, 150, 2000])
+def test_depth_changes_nothing(depth):
+    inner = "<p>a</p>b<nav><div><p>no</p></div><nav>no</nav></nav><form>no</form><ul><li>c<li>d</ul><div class='ad-slot'><div>no</div>no</div>e"
+    assert read_alone("<body><article>" + "<div>" * depth + inner + "</div>" * depth + "<p>f</p></article><footer>no</footer></body>") == "a\nb\nc\nd\ne\nf"
+
+
 HOSTILE = {
     "unclosed tags": "<a " * 350_000, "one long tag": "<a " * 350_000 + ">", "quotes": "<a '>'" * 100_000, "open quotes": '<a "' * 200_000 + ">", "comments": "<!--" * 200_000,
     "deep": "<div>" * 10_000 + "deep" + "</div>" * 10_000, "deep and open": "<div><p>" * 10_000, "scripts": "<script>" * 100_000, "ends": "</div>" * 100_000,
