@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from tapebook.schemas import SESSION_STARTS
 
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean(cell: Column) -> Column:
-    """Null as empty, NUL characters dropped, Unicode white space stripped."""
-    return F.regexp_replace(F.translate(F.coalesce(cell, F.lit("")), "\0", ""), r"(?U)^\s+|\s+$", "")
+    """Null as empty, NUL characters dropped, Unicode white space stripped; only the ends are looked at."""
+    return F.btrim(F.replace(F.coalesce(cell, F.lit("")), F.lit("\0")), F.lit(WHITE_SPACE))
 
 
 def to_int(cell: Column, strict: bool = True) -> Column:
-    """A bigint; blank is null; bad text fails, or is null where not strict."""
+    """A bigint; blank is null; bad text fails, or is null where not strict. A cell that is a number as it stands is not cleaned."""
     text = F.nullif(clean(cell), F.lit(""))
-    return text.cast("bigint") if strict else text.try_cast("bigint")
+    return F.coalesce(cell.try_cast("bigint"), text.cast("bigint") if strict else text.try_cast("bigint"))
 
 
 def parse_ts_ms(cell: Column) -> Column:

@@ -115,10 +115,18 @@ def _indexed(rows: DataFrame, times: DataFrame, range_ms: int) -> DataFrame:
     not over rows, and joined to them."""
     span = F.expr(f"ts_ms div {range_ms}")
     counts = times.groupBy(*KEY, span.alias("span")).agg(F.count("*").alias("here"))
-    spans = counts.groupBy(*KEY).agg(F.collect_list(F.struct("span", "here")).alias("spans"), F.max("span").alias("last"), F.sum("here").alias("n"))
-    total = lambda some: F.aggregate(F.filter("spans", some), F.lit(0).cast("long"), lambda done, x: done + x["here"])
-    until = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda s: F.struct(s.alias("span"), total(lambda x: x["span"] <= s).alias("until")))
-    known = spans.select(*KEY, "n", F.inline(until))
+    spans = counts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("span", "here"))).alias("spans"), F.sum("here").alias("n"))
+    # one pass over a session's ranges in order: the ranges from first to span - 1 are empty, so before holds for them
+    none = F.expr("struct(0L AS next, 0L AS done, cast(array() AS array<struct<first: bigint, span: bigint, before: bigint, until: bigint>>) AS told)")
+
+    def step(so_far, x):
+        done = so_far["done"] + x["here"]
+        here = F.struct(so_far["next"].alias("first"), x["span"].alias("span"), so_far["done"].alias("before"), done.alias("until"))
+        return F.struct((x["span"] + 1).alias("next"), done.alias("done"), F.concat(so_far["told"], F.array(here)).alias("told"))
+
+    told = spans.select(*KEY, "n", F.inline(F.aggregate("spans", none, step)["told"]))
+    known = told.withColumn("at_span", F.explode(F.sequence("first", "span")))
+    known = known.select(*KEY, "n", F.col("at_span").alias("span"), F.when(F.col("at_span") == F.col("span"), F.col("until")).otherwise(F.col("before")).alias("until"))
     left = Window.partitionBy(*KEY, "span").orderBy(F.desc("ts_ms")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("span", span).join(known, [*KEY, "span"])
     return placed.withColumn("at", F.col("until") - F.sum(F.col("is_quote").cast("int")).over(left)).drop("span", "until", "is_quote")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,34 +31,47 @@ def as_of(requests: DataFrame, times: DataFrame) -> DataFrame:
     return found.withColumns({"found_ts": F.col("found.ts_ms"), "found_event": F.col("found.event_id")}).drop("found")
 
 
-def of_sessions(df: DataFrame, requests: DataFrame, by: list[str] = KEY) -> DataFrame:
-    """df's rows whose session (or by) requests ask for. Up to PRUNED of them are named in the filter, so that the folders of others
-    are not even opened; more are joined."""
+def asked_of(requests: DataFrame, by: list[str] = KEY) -> Callable[[DataFrame], DataFrame]:
+    """What keeps a table's rows whose session (or by) requests ask for; null keys are nobody's. Up to PRUNED of them are named in a filter,
+    so that the folders of others are not even opened, and requests are not read again; more are joined. by: a symbol, then numbers."""
     keys = requests.select(*by).distinct()
     few = keys.limit(PRUNED + 1).collect()
-    if len(few) <= PRUNED:
-        for k in by:
-            df = df.filter(F.col(k).isin(sorted({r[k] for r in few if r[k] is not None})))
+    if len(few) > PRUNED:
+        return lambda df: df.join(keys, by, "left_semi")
+    known = [r for r in few if None not in tuple(r)]
+    each = {k: sorted({r[k] for r in known}) for k in by}
+    together = ["\0".join(map(str, r)) for r in known]
+
+    def kept(df: DataFrame) -> DataFrame:
+        for k, values in each.items():
+            df = df.filter(F.col(k).isin(values))
         # The columns one by one name folders that no request asks for; together they do not.
-        df = df.filter(F.concat_ws("\0", *[F.col(k).cast("string") for k in by]).isin(["\0".join(map(str, r)) for r in few if None not in r]))
-    return df.join(keys, by, "left_semi")
+        return df.filter(F.concat_ws("\0", *[F.col(k).cast("string") for k in by]).isin(together))
+
+    return kept
+
+
+def of_sessions(df: DataFrame, requests: DataFrame, by: list[str] = KEY) -> DataFrame:
+    """df's rows whose session (or by) requests ask for."""
+    return asked_of(requests, by)(df)
 
 
-def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:
+def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None, mine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Requests with found_ts and the checkpoint's levels down to the request's depth (null level if there is none).
 
     ties "all": the levels of all quotes at that time; "last": of the one with the greatest event_id. times: times_of(points),
-    where it is stored. Only the asked sessions are read, of both."""
+    where it is stored. mine: asked_of(requests), where it is known. Only the asked sessions are read, of both."""
     if ties not in ("all", "last"):
         raise ValueError(f"ties is all or last, not {ties}")
-    asked = as_of(requests, of_sessions(times_of(points) if times is None else times, requests)).withColumnRenamed("ts_ms", "asked_ts")
-    levels = of_sessions(points, requests).withColumnRenamed("ts_ms", "found_ts").drop("correction_abs_qty", "quote_anchor_match", "correction_price_changed")
+    mine = mine or asked_of(requests)
+    asked = as_of(requests, mine(times_of(points) if times is None else times)).withColumnRenamed("ts_ms", "asked_ts")
+    levels = mine(points).withColumnRenamed("ts_ms", "found_ts").drop("correction_abs_qty", "quote_anchor_match", "correction_price_changed")
     a, p = asked.alias("a"), levels.alias("p")
     on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in (*KEY, "found_ts")] + [F.col("p.level") <= F.col("a.depth")]
     if ties == "last":
         on.append(F.col("a.found_event") == F.col("p.event_id"))
-    mine = [c for c in levels.columns if c not in (*KEY, "found_ts")]
-    return a.join(p, on, "left").select(*[f"a.{c}" for c in asked.columns if c != "found_event"], *[f"p.{c}" for c in mine])
+    own = [c for c in levels.columns if c not in (*KEY, "found_ts")]
+    return a.join(p, on, "left").select(*[f"a.{c}" for c in asked.columns if c != "found_event"], *[f"p.{c}" for c in own])
 
 
 def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:
@@ -67,7 +82,8 @@ def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataF
     values |= {c: F.coalesce(c, F.lit(False)) for c in ("raw_price_match", "raw_qty_match")}
     level = F.struct("level", "event_id", *[values[c].alias(c) for c in _LEVEL[1:]])
     times = times_of(points) if times is None else times
-    rows = found_levels(requests, points, ties, times)
+    mine = asked_of(requests)
+    rows = found_levels(requests, points, ties, times, mine)
     listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, level))), lambda x: F.struct(*[x[c].alias(c) for c in _LEVEL]))
     header = F.struct("checkpoint_id", "quote_seq", "event_id", "session")
     grouped = rows.groupBy("request_id", *KEY, "asked_ts", "depth", "found_ts").agg(
@@ -77,7 +93,7 @@ def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataF
         F.coalesce(F.sum("correction_cost"), F.lit(0)).alias("correction_cost"),
         F.coalesce(F.sum("inter_quote_drift_abs_qty"), F.lit(0)).alias("inter_quote_drift_abs_qty"),
     )
-    known = of_sessions(times, requests).select(*KEY).distinct().withColumn("known", F.lit(True))
+    known = mine(times).select(*KEY).distinct().withColumn("known", F.lit(True))
     status = F.when(F.col("known").isNull(), "missing_session").when(F.col("found_ts").isNull(), "before_first").when(F.col("h.event_id").isNull(), "empty").otherwise("found")
     return grouped.join(known, KEY, "left").select("request_id", *KEY, "asked_ts", "depth", status.alias("status"), "h.*", F.col("found_ts").alias("ts_ms"), "asks", "bids", "correction_cost", "inter_quote_drift_abs_qty")
 

@@ -58,6 +58,39 @@ def test_cells(spark):
             one(spark, bad, to_int if bad else parse_ts_ms)
 
 
+def test_cleaning_equals_a_regular_expression(spark):
+    """Every code point of the basic plane around a word, and numbers among signs, blanks, controls and NULs."""
+    points = [chr(c) for c in range(0xFFFE) if not 0xD800 <= c < 0xE000]
+    odd = ["7", "+7", "-0", "007", " 7", "7　", "\x017\x7f", "7\x85", "7\x001", "\0 7 \0", "7 1", "1.5", "1.", "+", "", " ", "９", "0x7", "1e3", "7L", "9223372036854775807", "9223372036854775808", "-9223372036854775809", None]
+    df = spark.createDataFrame([(c + "a b" + c,) for c in points] + [(x,) for x in odd], "x string")
+    by_pattern = F.regexp_replace(F.translate(F.coalesce("x", F.lit("")), "\0", ""), r"(?U)^\s+|\s+$", "")
+    number = F.nullif(by_pattern, F.lit("")).try_cast("bigint")
+    both = df.select("x", clean(F.col("x")).alias("c"), by_pattern.alias("p"), to_int(F.col("x"), strict=False).alias("i"), number.alias("n"))
+    assert both.filter("NOT (c <=> p AND i <=> n)").collect() == []
+    assert both.filter("n = 7").count() == 8 and both.filter("c = 'a b'").count() == 26
+    for bad in ("1.5", "9223372036854775808", "7 1"):
+        with pytest.raises(Exception):
+            one(spark, bad, to_int)
+
+
+def test_quotes_are_counted_over_ranges_without_any(spark):
+    """Changes before the first quote, in ranges that have none, in the quotes' own ranges and behind the last, in ranges of five."""
+    times = spark.createDataFrame([("a", 1, t) for t in (12, 13, 31)] + [("b", 1, 0)], "symbol string, trade_date long, ts_ms long")
+    rows = spark.createDataFrame([("a", 1, t) for t in (0, 11, 12, 13, 14, 22, 30, 31, 34, 35)] + [("b", 1, 0), ("b", 1, 1), ("c", 1, 1)], "symbol string, trade_date long, ts_ms long").withColumn("is_quote", F.lit(False))
+    both = rows.unionByName(times.withColumn("is_quote", F.lit(True)))
+    got = {(r["symbol"], r["ts_ms"]): (r["at"], r["n"]) for r in book._indexed(both, times, 5).collect()}
+    assert got == {("a", t): (at, 3) for t, at in ((0, 0), (11, 0), (12, 0), (13, 1), (14, 2), (22, 2), (30, 2), (31, 2), (34, 3))} | {("b", 0): (0, 1), ("b", 1): (1, 1)}
+
+
+def test_asked_sessions_by_filter_and_by_join(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), (None, 1), ("c", None)], "symbol string, trade_date long")
+    asked = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 1), ("c", None)], "symbol string, trade_date long")
+    for most in (seek.PRUNED, 1):
+        monkeypatch.setattr(seek, "PRUNED", most)
+        assert sorted(map(tuple, seek.of_sessions(df, asked).collect())) == [("a", 1), ("b", 2)]
+        assert seek.of_sessions(df, asked.filter("symbol = 'd'")).count() == 0
+
+
 def test_session_labels(spark):
     times = [33_299_999, 33_300_000, 33_900_000, 41_400_000, 46_800_000, 54_000_000]
     df = spark.createDataFrame([(t,) for t in times], "t long").orderBy("t").select(session_label(F.col("t")))
