@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapebook.schemas import DEPTH, KEY
@@ -12,6 +12,9 @@ from tapebook.schemas import DEPTH, KEY
 #: Asked sessions that a filter names.
 PRUNED = 1000
 _LEVEL = ("level", "price_int", "qty", "source", "raw_price_int", "raw_qty", "raw_price_match", "raw_qty_match", "correction_cost", "inter_quote_drift_abs_qty")
+_LEVELS = "array<struct<level:bigint,price_int:bigint,qty:bigint,source:string,raw_price_int:bigint,raw_qty:bigint,raw_price_match:boolean,raw_qty_match:boolean,correction_cost:bigint,inter_quote_drift_abs_qty:bigint>>"
+_HEADER = ("checkpoint_id", "quote_seq", "event_id", "session")
+_SUMS = ("correction_cost", "inter_quote_drift_abs_qty")
 
 
 def times_of(points: DataFrame) -> DataFrame:
@@ -56,46 +59,48 @@ def of_sessions(df: DataFrame, requests: DataFrame, by: list[str] = KEY) -> Data
     return asked_of(requests, by)(df)
 
 
-def found_levels(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None, mine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Requests with found_ts and the checkpoint's levels down to the request's depth (null level if there is none).
+def _answers(asked: DataFrame, levels: DataFrame, ties: str, shown: Callable[[Column], Column]) -> DataFrame:
+    """What is found at each session, found_ts and depth that asked has: h (the header), asks, bids and the sums over them.
 
-    ties "all": the levels of all quotes at that time; "last": of the one with the greatest event_id. times: times_of(points),
-    where it is stored. mine: asked_of(requests), where it is known. Only the asked sessions are read, of both."""
-    if ties not in ("all", "last"):
-        raise ValueError(f"ties is all or last, not {ties}")
-    mine = mine or asked_of(requests)
-    asked = as_of(requests, mine(times_of(points) if times is None else times)).withColumnRenamed("ts_ms", "asked_ts")
-    levels = mine(points).withColumnRenamed("ts_ms", "found_ts").drop("correction_abs_qty", "quote_anchor_match", "correction_price_changed")
-    a, p = asked.alias("a"), levels.alias("p")
-    on = [F.col(f"a.{k}") == F.col(f"p.{k}") for k in (*KEY, "found_ts")] + [F.col("p.level") <= F.col("a.depth")]
-    if ties == "last":
-        on.append(F.col("a.found_event") == F.col("p.event_id"))
-    own = [c for c in levels.columns if c not in (*KEY, "found_ts")]
-    return a.join(p, on, "left").select(*[f"a.{c}" for c in asked.columns if c != "found_event"], *[f"p.{c}" for c in own])
-
-
-def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None) -> DataFrame:
-    """One row per request: its checkpoint's header (that of the first row by side and level, the smaller event_id first), asks and bids (level order),
-    correction_cost and inter_quote_drift_abs_qty over the returned levels, and status: found, missing_session, before_first or empty."""
+    The levels of a time are listed once, whatever the depths asked of them, and each depth's lists are cut from these."""
+    last = ties == "last"
+    wanted = asked.filter("found_ts IS NOT NULL").groupBy(*KEY, "found_ts").agg(F.max("found_event").alias("found_event"), F.collect_set("depth").alias("depths"))
+    rows = levels.filter("level IS NOT NULL").withColumnRenamed("ts_ms", "found_ts").join(wanted, [*KEY, "found_ts"])
+    rows = rows.filter("event_id = found_event") if last else rows
     zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("visible_price_int", "visible_qty", "correction_cost", "inter_quote_drift_abs_qty")}
     values = {c: F.col(c) for c in _LEVEL} | {"price_int": zero["visible_price_int"], "qty": zero["visible_qty"], "correction_cost": zero["correction_cost"], "inter_quote_drift_abs_qty": zero["inter_quote_drift_abs_qty"]}
     values |= {c: F.coalesce(c, F.lit(False)) for c in ("raw_price_match", "raw_qty_match")}
     level = F.struct("level", "event_id", *[values[c].alias(c) for c in _LEVEL[1:]])
-    times = times_of(points) if times is None else times
-    mine = asked_of(requests)
-    rows = found_levels(requests, points, ties, times, mine)
     listed = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, level))), lambda x: F.struct(*[x[c].alias(c) for c in _LEVEL]))
-    header = F.struct("checkpoint_id", "quote_seq", "event_id", "session")
-    grouped = rows.groupBy("request_id", *KEY, "asked_ts", "depth", "found_ts").agg(
-        F.min_by(header, F.when(F.col("level").isNotNull(), F.struct("side", "level", "event_id"))).alias("h"),
-        listed("ask").alias("asks"),
-        listed("bid").alias("bids"),
-        F.coalesce(F.sum("correction_cost"), F.lit(0)).alias("correction_cost"),
-        F.coalesce(F.sum("inter_quote_drift_abs_qty"), F.lit(0)).alias("inter_quote_drift_abs_qty"),
-    )
-    known = mine(times).select(*KEY).distinct().withColumn("known", F.lit(True))
+    first = lambda side: F.min_by(F.struct("level", "checkpoint_id", "quote_seq", "event_id", "session"), F.when(F.col("side") == side, F.struct("level", "event_id")))
+    per = rows.groupBy(*KEY, "found_ts").agg(F.first("depths").alias("depths"), listed("ask").alias("asks"), listed("bid").alias("bids"), first("ask").alias("a"), first("bid").alias("b"))
+    cut = lambda c: F.filter(c, lambda x: x["level"] <= F.col("depth")).alias(c)
+    head = lambda c: F.when(F.col(f"{c}.level") <= F.col("depth"), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in _HEADER]))
+    each = per.withColumn("depth", F.explode("depths")).select(*KEY, "found_ts", "depth", F.coalesce(head("a"), head("b")).alias("h"), cut("asks"), cut("bids"))
+    total = lambda c: sum((F.aggregate(side, F.lit(0).cast("bigint"), lambda so_far, x: so_far + x[c]) for side in ("asks", "bids")), F.lit(0)).alias(c)
+    return each.select(*KEY, "found_ts", "depth", "h", shown(F.col("asks")).alias("asks"), shown(F.col("bids")).alias("bids"), *[total(c) for c in _SUMS])
+
+
+def seek(requests: DataFrame, points: DataFrame, ties: str = "all", times: DataFrame | None = None, shown: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per request: its checkpoint's header (that of the first row by side and level, the smaller event_id first), asks and bids (level order,
+    down to the request's depth), correction_cost and inter_quote_drift_abs_qty over the returned levels, and status: found, missing_session, before_first or empty.
+
+    ties "all": the levels of all quotes at the latest time; "last": of the one with the greatest event_id. times: times_of(points),
+    where it is stored. shown: what to make of asks and bids. Only the asked sessions are read, of both. Requests that find the same time
+    to the same depth share an answer, which is made once and meets them at the end, so that no list is dealt out per request."""
+    if ties not in ("all", "last"):
+        raise ValueError(f"ties is all or last, not {ties}")
+    shown = shown or (lambda levels: levels)
+    mine = asked_of(requests)
+    times = mine(times_of(points) if times is None else times)
+    known = times.select(*KEY).distinct().withColumn("known", F.lit(True))
+    asked = as_of(requests, times).withColumnRenamed("ts_ms", "asked_ts").join(known, KEY, "left")
+    answers = _answers(asked, mine(points), ties, shown)
+    found = asked.join(answers, [*KEY, "found_ts", "depth"], "left")
     status = F.when(F.col("known").isNull(), "missing_session").when(F.col("found_ts").isNull(), "before_first").when(F.col("h.event_id").isNull(), "empty").otherwise("found")
-    return grouped.join(known, KEY, "left").select("request_id", *KEY, "asked_ts", "depth", status.alias("status"), "h.*", F.col("found_ts").alias("ts_ms"), "asks", "bids", "correction_cost", "inter_quote_drift_abs_qty")
+    none = shown(F.array().cast(_LEVELS))
+    lists = [F.coalesce(c, none).alias(c) for c in ("asks", "bids")]
+    return found.select("request_id", *KEY, "asked_ts", "depth", status.alias("status"), *[F.col(f"h.{c}").alias(c) for c in _HEADER], F.col("found_ts").alias("ts_ms"), *lists, *[F.coalesce(c, F.lit(0)).alias(c) for c in _SUMS])
 
 
 def load_checkpoint(points: DataFrame, symbol: str, trade_date: int, ts_ms: int, depth: int = DEPTH, ties: str = "last"):

@@ -212,32 +212,37 @@ def visible_summary(spark, d):
     return validate.visible_summary(_Replayed(spark, d).points)
 
 
-def _sought(spark, d, ties: str) -> DataFrame:
-    df = seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), ties)
+def _sought(spark, d, ties: str, shown=None) -> DataFrame:
+    """Every request of tape A answered. The index of checkpoints is that of the tape's quotes: each has one."""
+    r = _Replayed(spark, d)
+    return seek.seek(written(requests_a(spark, d)), r.points, ties, seek.times_of(r.events.filter("event_type = 'quote'")), shown)
+
+
+def _batch(spark, d, ties: str) -> DataFrame:
     text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
-    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[text(x[k]) for k in ("level", "price_int", "qty", "raw_price_int", "raw_qty", "correction_cost")])), ",").alias(c)
-    return df.select("request_id", *KEY, "asked_ts", "depth", "status", "ts_ms", "checkpoint_id", said("asks"), said("bids"), "correction_cost", "inter_quote_drift_abs_qty")
+    said = lambda levels: F.array_join(F.transform(levels, lambda x: F.concat_ws(":", *[text(x[k]) for k in ("level", "price_int", "qty", "raw_price_int", "raw_qty", "correction_cost")])), ",")
+    return _sought(spark, d, ties, said).select("request_id", *KEY, "asked_ts", "depth", "status", "ts_ms", "checkpoint_id", "asks", "bids", "correction_cost", "inter_quote_drift_abs_qty")
 
 
 @_query
 def seek_batch_all(spark, d):
-    return _sought(spark, d, "all")
+    return _batch(spark, d, "all")
 
 
 @_query
 def seek_batch_last(spark, d):
-    return _sought(spark, d, "last")
+    return _batch(spark, d, "last")
 
 
 @_query
 def seek_depth(spark, d):
-    df = seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), "last")
+    df = _sought(spark, d, "last")
     return df.select("request_id", "depth", (F.size("asks") + F.size("bids")).cast("long").alias("n_levels"), F.size("asks").cast("long").alias("n_asks"), "correction_cost", "inter_quote_drift_abs_qty")
 
 
 @_query
 def seek_status(spark, d):
-    return seek.seek(requests_a(spark, d), written(_Replayed(spark, d).points), "last").groupBy("status").agg(F.count("*").alias("n"))
+    return _sought(spark, d, "last").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @_query

@@ -247,6 +247,18 @@ def test_seek(spark):
             seek.load_checkpoint(points, *bad)
 
 
+def test_requests_share_their_answers(spark):
+    """300 requests find one time: a list is made for each of the two depths, not for each request, and equal requests have rows of their own."""
+    points = points_of(spark)
+    rows = [(i, "X.SZ", 20260424, 36_003_000 + i % 7, 1 + 2 * (i % 2)) for i in range(300)] + [(7, "X.SZ", 20260424, 36_003_000, 3)] * 2
+    asked = spark.createDataFrame(rows, "request_id long, symbol string, trade_date long, ts_ms long, depth long")
+    made = seek._answers(seek.as_of(asked, seek.times_of(points)), points, "all", F.size)
+    assert sorted((r["depth"], r["asks"], r["bids"], r["h"]["quote_seq"]) for r in made.collect()) == [(1, 2, 0, 9), (3, 6, 0, 9)]
+    got = seek.seek(asked, points, "all", shown=F.size).collect()
+    assert len(got) == 302 and {(r["depth"], r["asks"], r["bids"], r["status"], r["checkpoint_id"]) for r in got} == {(1, 2, 0, "found", "20260424/9"), (3, 6, 0, "found", "20260424/9")}
+    assert sum(r["request_id"] == 7 for r in got) == 3
+
+
 def test_diagnostics(spark):
     """Three mismatches of two minutes, the later one with more; two windows hold them, and the opening's first quote counts."""
     open_, late = 34_200_750, 53_900_000
