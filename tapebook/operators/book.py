@@ -55,21 +55,21 @@ def lifecycle(legs: DataFrame) -> DataFrame:
     """Legs of named orders with gen (adds of the order so far), book_side and book_price (where the order rests),
     rem_before, removed, rem_after, and what an add replaces: prev_rem at prev_side and prev_price.
 
-    One shuffle, by session and order id. Blank ids can rest nowhere and are left out; log() has their failures."""
+    One shuffle and one sort, by session and order id. An order's last add carries what was taken from the order before it, so that
+    generations need no windows of their own. Blank ids can rest nowhere and are left out; log() has their failures."""
     life = Window.partitionBy(*KEY, "order_id").orderBy("event_id", "leg_no")
-    gen = Window.partitionBy(*KEY, "order_id", "gen").orderBy("event_id", "leg_no")
+    so_far, before = (life.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
     is_add = F.col("kind") == "add"
-    first = lambda c: F.when(F.col("gen") > 0, F.first(c).over(gen))
-    taken = F.coalesce(F.sum(F.when(~is_add, F.col("qty"))).over(gen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         legs.filter((F.col("kind") != "bad") & (F.col("order_id") != ""))
-        .withColumn("gen", F.sum(is_add.cast("bigint")).over(life))
-        .withColumns({"book_side": first("side"), "book_price": first("price_int"), "add_qty": first("qty"), "taken": taken})
-        .withColumn("rem_before", F.when(is_add | (F.col("gen") == 0), F.lit(0)).otherwise(F.greatest(F.col("add_qty") - F.col("taken"), F.lit(0))).cast("bigint"))
+        .withColumns({"gen": F.sum(is_add.cast("bigint")).over(so_far), "taken": F.coalesce(F.sum(F.when(~is_add, F.col("qty"))).over(before), F.lit(0))})
+        .withColumn("own", F.last(F.when(is_add, F.struct("side", "price_int", "qty", "taken")), ignorenulls=True).over(so_far))
+        .withColumns({"book_side": F.col("own.side"), "book_price": F.col("own.price_int")})
+        .withColumn("rem_before", F.when(is_add | (F.col("gen") == 0), F.lit(0)).otherwise(F.greatest(F.col("own.qty") - (F.col("taken") - F.col("own.taken")), F.lit(0))).cast("bigint"))
         .withColumn("removed", F.when(is_add, F.lit(0)).otherwise(F.least("qty", "rem_before")).cast("bigint"))
         .withColumn("rem_after", F.when(is_add, F.col("qty")).otherwise(F.col("rem_before") - F.col("removed")))
         .withColumns({n: F.when(is_add, F.lag(c).over(life)) for n, c in (("prev_rem", "rem_after"), ("prev_side", "book_side"), ("prev_price", "book_price"))})
-        .drop("add_qty", "taken")
+        .drop("own", "taken")
     )
 
 

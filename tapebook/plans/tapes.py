@@ -114,7 +114,10 @@ def requests_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tape_b_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replayable events of tape B with its quotes: one row per order (an add, and a quote if its status is P) and per
-    lineitem (a cancel or a trade against the order's side)."""
+    lineitem (a cancel or a trade against the order's side).
+
+    event_id is what a session's events are ordered by, not their number: a replay needs no more than an order's events in order, and
+    a symbol has a twentieth of all rows, too many for a window. At one time and priority orders come before lines, these by their columns."""
     clock = lambda day: (F.datediff(F.to_date(day), F.lit("1995-01-01").cast("date")) * 9000 + 33_000_000).cast("bigint")
     symbol = lambda key: F.concat(F.lit("S"), (F.col(key) % 20).cast("string"))
     buy = lambda key: F.floor(F.col(key) / 20) % 2 == 0
@@ -129,15 +132,16 @@ def tape_b_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = o.filter("o_orderstatus = 'P'").select(symbol("o_orderkey").alias("symbol"), day.alias("trade_date"), clock("o_orderdate").alias("ts_ms"), F.lit("quote").alias("event_type"), F.col("o_orderkey").cast("bigint").alias("source_seq"))
     li = _table(spark, sf_dir, "lineitem")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
-    nth = F.row_number().over(Window.partitionBy(symbol("l_orderkey")).orderBy(*keys))
     ident = F.col("l_orderkey").cast("string")
     cancel = F.col("l_returnflag") == "R"
     out = li.select(
         symbol("l_orderkey").alias("symbol"), day.alias("trade_date"), clock("l_shipdate").alias("ts_ms"), F.when(cancel, "order_cancel").otherwise("trade").alias("event_type"),
-        (F.lit(1_000_000_000) + nth).cast("bigint").alias("source_seq"), F.when(cancel, ident).alias("exchange_order_id"), F.col("l_quantity").cast("bigint").alias("qty"),
+        F.col("l_orderkey").cast("bigint").alias("source_seq"), F.when(cancel, ident).alias("exchange_order_id"), F.col("l_quantity").cast("bigint").alias("qty"),
         F.when(~cancel, F.when(buy("l_orderkey"), "S").otherwise("B")).alias("aggressor_side"),
         F.when(~cancel, F.when(buy("l_orderkey"), "").otherwise(ident)).alias("ask_order_id"), F.when(~cancel, F.when(buy("l_orderkey"), ident).otherwise("")).alias("bid_order_id"),
+        F.lit(1).alias("line"), *keys[1:],
     )
     rows = add.unionByName(out, allowMissingColumns=True).unionByName(quote, allowMissingColumns=True).withColumn("session", F.lit("tape_b"))
     priority = F.when(F.col("event_type") == "quote", 3).when(F.col("event_type") == "trade", 2).otherwise(1)
-    return rows.withColumn("event_id", F.row_number().over(Window.partitionBy(*KEY).orderBy("ts_ms", priority, "source_seq")).cast("bigint"))
+    rows = rows.withColumn("event_id", F.struct("ts_ms", priority.alias("priority"), F.coalesce("line", F.lit(0)).alias("line"), "source_seq", *keys[1:]))
+    return rows.drop("line", *keys[1:])

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from fold import fold
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from tapebook.functions.cells import aggressor, clean, minute_label, or_unknown,
 from tapebook.operators import book, diagnostics, seek, validate
 from tapebook.operators.numbering import numbered_by
 from tapebook.operators.tape import event_tape
+from tapebook.plans import oracle
+from tapebook.plans.tapes import tape_b_events
 from tapebook.schemas import CHECKPOINTS, EVENTS, MISSING_ORDER_REPORT, QUOTES, ORDERS, TRADES, VALIDATION_REPORT
 
 
@@ -229,6 +232,30 @@ def points_of(spark):
     return rows_of(spark, CHECKPOINTS, rows)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_order_is_sorted_once_and_a_session_never(spark, sf):
+    events = tape_b_events(spark, sf)
+    assert "Window" not in plan_of(events) and "Exchange" not in plan_of(events)
+    plan = plan_of(book.lifecycle(book.legs(events)))
+    assert plan.count(" Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_events_of_tape_b_are_in_the_order_of_the_sql(spark, sf):
+    """Lines of one order, time and priority by their columns, behind the order itself."""
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    numbered = oracle._with("SELECT symbol, event_id, event_type, qty, coalesce(nullif(exchange_order_id, ''), nullif(ask_order_id, ''), nullif(bid_order_id, '')) AS order_id, ts_ms FROM b_tape WHERE event_type <> 'quote'", oracle._B)
+    want = [r[2:] for r in sorted(con.sql(numbered).fetchall(), key=lambda r: (r[4], r[1]))]
+    rows = tape_b_events(spark, sf).filter("event_type <> 'quote'")
+    ident = F.coalesce("exchange_order_id", F.expr("nullif(ask_order_id, '')"), F.expr("nullif(bid_order_id, '')"))
+    got = rows.select("event_type", F.col("qty"), ident.alias("order_id"), "ts_ms", "event_id").orderBy("order_id", "event_id").drop("event_id").collect()
+    assert [tuple(r) for r in got] == want and len(want) > 6000
+
+
 def test_seek(spark):
     points = points_of(spark)
     asked = spark.createDataFrame(
