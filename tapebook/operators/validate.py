@@ -13,13 +13,18 @@ LEVELS = 2 * DEPTH
 
 
 def compared(quotes: DataFrame, events: DataFrame, top: DataFrame) -> DataFrame:
-    """Twenty rows a quote: the quote's level beside the rebuilt level of the same position (null if there is none)."""
+    """Twenty rows a quote: the quote's level beside the rebuilt level of the same position (null if there is none).
+
+    A book is one row of its time and meets the quotes as such; only then are quotes and book spread over the levels, so that no
+    level is dealt out by itself."""
     ids = events.filter("event_type = 'quote'").select(*KEY, F.col("source_seq").alias("seq"), "event_id")
-    wide = quotes.join(ids, [*KEY, "seq"])
-    rows = quote_levels(wide, *KEY, F.col("seq").alias("quote_seq"), "event_id", "ts_ms", "session")
-    book = top.select(*KEY, "ts_ms", "side", "level", F.col("price_int").alias("actual_price_int"), F.col("qty").alias("actual_qty"))
+    place = F.when(F.col("side") == "ask", F.col("level")).otherwise(-F.col("level"))
+    book = top.groupBy(*KEY, "ts_ms").agg(F.map_from_entries(F.collect_list(F.struct(place, F.struct("price_int", "qty")))).alias("book"))
+    wide = quotes.join(ids, [*KEY, "seq"]).join(book, [*KEY, "ts_ms"], "left")
+    rows = quote_levels(wide, *KEY, F.col("seq").alias("quote_seq"), "event_id", "ts_ms", "session", "book").withColumn("book", F.try_element_at("book", place))
+    rows = rows.withColumns({"actual_price_int": F.col("book.price_int"), "actual_qty": F.col("book.qty")}).drop("book")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    return rows.join(book, [*KEY, "ts_ms", "side", "level"], "left").withColumns({"price_match": same("expected_price_int", "actual_price_int"), "qty_match": same("expected_qty", "actual_qty")})
+    return rows.withColumns({"price_match": same("expected_price_int", "actual_price_int"), "qty_match": same("expected_qty", "actual_qty")})
 
 
 def validation_report(levels: DataFrame) -> DataFrame:

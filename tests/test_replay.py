@@ -223,6 +223,19 @@ def test_checkpoints_cost_what_differs(spark):
     assert (summary["checked_quotes"], summary["correction_cost"], summary["continuous_pm_match_rate"], summary["continuous_am_match_rate"]) == (2, 26, 1.0, 0.0)
 
 
+def test_no_level_is_dealt_out_by_itself(spark):
+    """Quotes and books meet as one row each: after the last shuffle come twenty rows a quote, the level missing in the book among them."""
+    t = 47_000_123
+    events = [add(1, "p", "B", 512, 70, ts_ms=t - 5), add(2, "q", "S", 520, 11, ts_ms=t - 4), event(8, "quote", source_seq=31, ts_ms=t), event(9, "quote", source_seq=32, ts_ms=t - 9)]
+    quotes = [quote(31, t, {("bid", 1): (512, 70), ("ask", 1): (520, 10), ("ask", 2): (530, 1)}), quote(32, t - 9, {("bid", 1): (512, 70)})]
+    levels, _, _ = compared(spark, events, quotes)
+    plan = plan_of(levels)
+    assert plan.index("Generate inline(array(") < plan.index("Exchange") and levels.count() == 40
+    found = {(r["quote_seq"], r["side"], r["level"]): (r["actual_price_int"], r["actual_qty"], r["price_match"], r["qty_match"]) for r in levels.filter("level < 3").collect()}
+    assert found[31, "bid", 1] == (512, 70, True, True) and found[31, "ask", 1] == (520, 11, True, False) and found[31, "ask", 2] == (None, None, False, False)
+    assert found[32, "bid", 1] == (None, None, False, False) and found[31, "bid", 2] == (None, None, False, False)
+
+
 def points_of(spark):
     """Three checkpoints of one session, the last two at one time, with four levels of asks and none of bids; and one of another day."""
     rows = []
