@@ -24,7 +24,8 @@ def _placed(table: DataFrame, key: list[str], name: str) -> DataFrame:
     runs = table.groupBy(*key, "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = runs.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1)
-    bases = bases.select(F.col("_part").alias("_of"), "_base", *[F.col(k).alias(f"_key_{k}") for k in key])
+    # written, so that its size is known when the join is planned, and df is not dealt out again where it is small
+    bases = written(bases.select(F.col("_part").alias("_of"), "_base", *[F.col(k).alias(f"_key_{k}") for k in key]))
     same = [F.col("_part") == F.col("_of"), *[F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key]]
     out = table.join(bases, same).withColumn(name, F.col("_base") + F.col("_id"))
     return out.select(*[c for c in table.columns if c not in ("_id", "_part", name)], name)

@@ -33,7 +33,7 @@ def _query(f: Query) -> Query:
 
 class _Replayed:
     """Tape A with everything derived from it. Quotes and the report are written when first asked for and read again, as the tape
-    is by its numbering; the rest are plans over them."""
+    is by its numbering, which goes over orders and trades twice, so that they are written too; the rest are plans over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.tape: Tape = tape_a(spark, sf_dir)
@@ -44,7 +44,7 @@ class _Replayed:
 
     @cached_property
     def events(self) -> DataFrame:
-        return event_tape_(self.quotes, self.tape.orders, self.tape.trades)
+        return event_tape_(self.quotes, written(self.tape.orders), written(self.tape.trades))
 
     @cached_property
     def _replay(self) -> tuple[DataFrame, DataFrame]:

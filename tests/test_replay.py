@@ -178,6 +178,13 @@ def test_numbers_by_ranges(spark, parts):
     assert got == want and numbered_by(df.filter("t < 0"), ["k"], ["t", "i"], "n").count() == 0
 
 
+def test_numbered_rows_stay_where_they_are(spark):
+    """What ranges add is known before the rows are joined to it: they are not dealt out again."""
+    df = spark.createDataFrame([(i % 3, i) for i in range(50)], "k long, t long")
+    plan = plan_of(numbered_by(df, ["k"], ["t"], "n", 4))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_tape_over_several_ranges(spark):
     rows = random_tape(9, 300)
     names = [c for c in EVENTS.fieldNames() if c not in ("event_id", "priority", "payload_ref", "event_type", "source_seq")]
